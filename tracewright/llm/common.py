@@ -79,6 +79,7 @@ def crc_mod(col: Column, m: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(m)).cast("int")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ as UTF-8: bytes.split() parts at just these characters."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+    """Words [^\\x20\\x09-\\x0D]+ as UTF-8: bytes.split() parts at just these characters, and bytes.lower() lowers A-Z alone."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return (data.lower() if lower else data).split()

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .op1_shard import op1_shard
+from .op3_near_dedup import op3_near_dedup
 from .op4_quality_rules import op4_quality_rules
+from .op5_pii import op5_pii
+from .op6_pack import op6_pack
+from .op8_secrets import op8_secrets
 from .op10_mix import op10_mix
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_shard, op4_quality_rules, op10_mix)}
+    return {f.__name__: f for f in (op1_shard, op3_near_dedup, op4_quality_rules, op5_pii, op6_pack, op8_secrets, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

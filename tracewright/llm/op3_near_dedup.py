@@ -4,9 +4,11 @@ Each document's shingles are hashed once; its sketch is the k least hashes. Docu
  1. Inverted lists of retained values. Two sets with similarity t share, but for about one pair in 10**8 at t itself, at least `need` of their k least
     values. So a class only needs to stand in the lists of its k - need + 1 rarest values (a prefix filter, values ordered by list length), and a class
     of which fewer than `need` values occur elsewhere stands in none.
- 2. Long lists are not paired off. The most central member of each list is compared with the others (a star); links merge components, and a list
-    whose members are all of one component is done. Lists still split have another star while that saves pairs, and in the end each pair of members
-    of different components is compared. So no link between components is lost, and a group of n near copies costs about n comparisons.
+ 2. Shingles that no other such class has are counted for each class. A link needs an intersection of no more than the smaller rest, which rules out
+    classes and pairs exactly.
+    Long lists are not paired off. The most central member of each list is compared with the others (a star); links merge components, and a list
+    whose members are all of one component is done. In the lists still split, pairs of members of different components are compared if the counts
+    allow a link. So no link between components is lost, and a group of n copies that resemble their centre costs about n comparisons.
  3. The union sketch (k least values of both) estimates the similarity and drops pairs far below the threshold.
  4. Full sets confirm each link, exactly, in integers.
  5. Components by least-label propagation with pointer jumping, on tables.
@@ -30,8 +32,6 @@ from .common import documents, map_columns, materialise, small_batches, words_of
 K = 64
 #: Standard deviations of the shared count that separate `need` from its mean at the threshold.
 MARGIN = 6.5
-#: Another star for split lists while they hold more pairs than this many times their members; and the most of them.
-PAIRS, STARS = 20, 8
 _WORDS_KEPT = 1_000_000
 _U = np.uint64
 
@@ -151,6 +151,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     return map_columns(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb"), "a long, b long", make)
 
 
+def full_sets(texts: DataFrame, width: int) -> DataFrame:
+    def make():
+        return lambda c: {"cid": c["cid"], "shingles": [shingle_set(t, width) for t in c["text"]]}
+
+    return map_columns(texts, "cid long, shingles array<long>", make)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the least node reachable) for the nodes of links (a, b)."""
     edges = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "dedup-edges")
@@ -185,38 +192,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     involved = classes.join(listed.select("cid").distinct(), "cid", "left_semi")
     involved = materialise(involved.select("cid", "rep.did", "rep.text_hash", "sketch"), "dedup-involved")
     texts = docs.select(_least_id().alias("did"), F.xxhash64("text").alias("text_hash"), "text").join(involved.select("cid", "did", "text_hash"), ["did", "text_hash"])
-    texts = materialise(texts.select("cid", "text"), "dedup-texts").dropDuplicates(["cid"])
+    texts = materialise(texts.dropDuplicates(["did", "text_hash"]).select("cid", "text"), "dedup-texts")
+
+    owned = full_sets(texts, width).select("cid", F.explode("shingles").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("cid")).where("c = 1")
+    owned = owned.groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
+    listed = listed.join(owned, "cid", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0)))
+    listed = materialise(listed.where(F.lit(den) * F.col("rest") >= F.lit(num) * F.col("n")).select("v", "cid", "n", "rest", F.col("cid").alias("comp")), "dedup-rare")
+
+    def allowed(n, m, r, q):
+        """Whether sets of n and m shingles, of which r and q occur elsewhere, can reach the threshold."""
+        shared = F.least(r, q)
+        return F.lit(den) * shared >= F.lit(num) * (n + m - shared)
 
-    like = lambda x, y: F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)
-    ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    second = lambda df: df.select("v", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "rest", "comp")])
+    fits = allowed(F.col("n"), F.col("n2"), F.col("rest"), F.col("rest2")) & (F.col("comp") != F.col("comp2"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         close = materialise(estimated(pairs.distinct(), involved, k, num, den), "dedup-close")
         return materialise(confirmed(close, texts, width, num, den), "dedup-links")
 
-    members, links, comps = listed.withColumn("comp", F.col("cid")), None, None
-    for star in range(STARS + 1):
-        order = F.struct("central", "cid", "n", "comp") if star == 0 else F.struct(F.xxhash64("cid", F.lit(star)).alias("h"), "cid", "n", "comp")
-        lists = members.groupBy("v").agg(F.max(order).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi")
-        if star:
-            sizes = members.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("v").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-            left = sizes.agg(F.sum("rows").alias("rows"), (F.sum(F.col("rows") * F.col("rows").cast("double") - F.col("own")) / 2).alias("pairs")).first()
-            if not left["rows"]:
-                break
-            if star == STARS or left["pairs"] <= PAIRS * left["rows"]:
-                split = members.join(sizes.select("v"), "v").select("v", "cid", "n", "comp")
-                other = split.select("v", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "comp")])
-                pairs = split.join(other, (split["v"] == other["v"]) & (F.col("cid") < F.col("cid2")) & (F.col("comp") != F.col("comp2")) & like(F.col("n"), F.col("n2")))
-                links = links.union(linked(pairs.select(F.col("cid").alias("a"), F.col("cid2").alias("b"))))
-                comps = components(links)
-                break
-        heads = lists.select("v", *[F.col(f"l.{c}").alias(f"{c}2") for c in ("cid", "n", "comp")])
-        pairs = members.join(heads, "v").where((F.col("comp") != F.col("comp2")) & like(F.col("n"), F.col("n2")))
-        found = linked(pairs.select(*ends(F.col("cid"), F.col("cid2"))))
-        links = found if links is None else links.union(found)
-        comps = components(links)
-        merged = listed.join(comps.withColumnRenamed("node", "cid"), "cid", "left")
-        members = materialise(merged.select("v", "cid", "n", "central", F.coalesce("comp", "cid").alias("comp")), "dedup-members")
+    heads = listed.groupBy("v").agg(F.max(F.struct(F.col("rest") / F.col("n"), "cid", "n", "rest", "comp")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    heads = second(heads.select("v", "l.cid", "l.n", "l.rest", "l.comp"))
+    pairs = listed.join(heads, "v").where(fits)
+    links = linked(pairs.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")))
+    comps = components(links)
+    members = listed.drop("comp").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    members = materialise(members.join(heads.select("v", F.col("cid2").alias("head")), "v"), "dedup-members")
+    split = members.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi and c > 2").select("v")
+    rest = members.where("cid <> head").join(split, "v")  # the head has been compared with all
+    pairs = rest.join(second(rest), "v").where((F.col("cid") < F.col("cid2")) & fits)
+    more = linked(pairs.select(F.col("cid").alias("a"), F.col("cid2").alias("b")))
+    if not more.isEmpty():
+        comps = components(links.union(more))
 
     named = classes.select("cid", "least").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     first = named.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -58,11 +58,12 @@ def schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, block (from 0 in its source), release, deadline, slot, position (gapless from 0 over all rows, in slot order)."""
+    """doc_id, tie (hash of the text), source, block (from 0 in its source), release, deadline, slot, position (gapless from 0 over all rows, in slot order)."""
     spark = docs.sparkSession
-    rows = materialise(docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source")), "mix-rows")
+    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), F.coalesce(F.col("source"), F.lit("")).alias("source")), "mix-rows")
     counts = {r[0]: r[1] for r in rows.groupBy("source").agg(F.count(F.lit(1))).collect()}  # a row for each source, as many as weights
-    named = "doc_id long, source string, block long, release long, deadline long, slot long, position long"
+    named = "doc_id long, tie long, source string, block long, release long, deadline long, slot long, position long"
     if not counts:
         return spark.createDataFrame([], named)
     missing = set(counts) - set(weights or counts)
@@ -75,18 +76,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     period = sum(share.values())
     table = spark.createDataFrame([(*x, share[x[0]]) for x in schedule(share)], "source string, k long, release0 long, deadline0 long, slot0 long, per_period long")
     sizes = spark.createDataFrame(list(share.items()), "source string, per_period long")
-    numbered = ranked(rows, ["source"], ["doc_id"], "n")
+    numbered = ranked(rows, ["source"], ["doc_id", "tie"], "n")
     blocks = numbered.join(F.broadcast(sizes), "source").withColumn("block", F.floor(F.col("n") / block)).withColumn("turn", F.floor(F.col("block") / F.col("per_period"))).withColumn("k", F.pmod("block", "per_period"))
     placed = blocks.join(F.broadcast(table.drop("per_period")), ["source", "k"])
     up = F.col("turn") * F.lit(period)
-    placed = placed.select("doc_id", "source", "block", (F.col("release0") + up).alias("release"), (F.col("deadline0") + up).alias("deadline"), (F.col("slot0") + up).alias("slot"), "turn", F.pmod("n", F.lit(block)).alias("in_block"))
+    placed = placed.select("doc_id", "tie", "source", "block", (F.col("release0") + up).alias("release"), (F.col("deadline0") + up).alias("deadline"), (F.col("slot0") + up).alias("slot"), "turn", F.pmod("n", F.lit(block)).alias("in_block"))
     placed = materialise(placed, "mix-placed")
     in_slot = placed.groupBy("turn", "slot").agg(F.count(F.lit(1)).alias("rows"))  # a slot's rows are one block
     in_turn = in_slot.groupBy("turn").agg(F.sum("rows").alias("rows"))
     earlier = ranked_sum(in_turn)
     within = Window.partitionBy("turn").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = in_slot.withColumn("before", F.coalesce(F.sum("rows").over(within), F.lit(0))).join(earlier, "turn").select("slot", (F.col("before") + F.col("turn_start")).alias("start"))
-    return placed.join(starts, "slot").select("doc_id", "source", "block", "release", "deadline", "slot", (F.col("start") + F.col("in_block")).cast("long").alias("position"))
+    return placed.join(starts, "slot").select("doc_id", "tie", "source", "block", "release", "deadline", "slot", (F.col("start") + F.col("in_block")).cast("long").alias("position"))
 
 
 def ranked_sum(turns: DataFrame) -> DataFrame:
@@ -98,5 +99,13 @@ def ranked_sum(turns: DataFrame) -> DataFrame:
     return turns.withColumn("b", block).withColumn("i", inner).join(starts, "b").select("turn", (F.col("i") + F.col("s")).alias("turn_start"))
 
 
+def interleaved(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
+    """documents in the order of their positions: dealt by ranges of it, and sorted within each."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    at = mix(docs, weights, block).groupBy(key.alias("__id"), F.col("tie").alias("__tie")).agg(F.min("position").alias("__position"))
+    found = docs.withColumns({"__id": key, "__tie": F.xxhash64("text")}).join(at, ["__id", "__tie"])
+    return found.repartitionByRange("__position").sortWithinPartitions("__position").select(docs.columns)
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir))
+    return mix(documents(spark, sf_dir)).drop("tie")

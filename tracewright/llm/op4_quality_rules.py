@@ -98,3 +98,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     book = decide(ledger(documents(spark, sf_dir)))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+def accepted(docs: DataFrame, version: str = CURRENT) -> DataFrame:
+    """The documents that a policy keeps, row by row, with the columns of documents."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    names = [x.split()[0] for x in MEASURES.split(", ")]
+
+    def make():
+        return lambda c: c | {f"_{n}": v for n, v in zip(names, zip(*map(measure, c["text"])), strict=True)}
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    measured = map_columns(slim, columns + ", " + ", ".join(f"_{x}" for x in MEASURES.split(", ")), make)
+    bad = [F.expr(_prefixed(rule, names)) for name, rule in RULES if BITS[name] & (POLICIES[version] | BASE)]
+    for rule in bad:
+        measured = measured.where(~rule)
+    return measured.select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _prefixed(rule: str, names: list[str]) -> str:
+    return " ".join(f"_{x}" if x in names else x for x in rule.split())

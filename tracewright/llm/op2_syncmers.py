@@ -61,8 +61,9 @@ def range_of(col: Column, bounds: list[int]) -> Column:
     return F.when(col.isNull(), 0).otherwise(F.greatest(coarse - 1, F.lit(0)) * g + fine)
 
 
-def with_next(df: DataFrame, id_col: str, payload: list[str]) -> DataFrame:
-    """df with next_<name> of each payload column: that of the row with the next id, and after the last, of the first. df has a column tie."""
+def with_next(df: DataFrame, id_col: str, payload: list[str], prepare=lambda x: x) -> DataFrame:
+    """prepare(df) with next_<name> of each payload column: that of the row with the next id, and after the last, of the first. df has a column tie.
+    prepare adds columns row by row; it runs once, after the guards are in."""
     spark = df.sparkSession
     n = df.select(id_col).count()
     parts = min(RANGES, n // RANGE_ROWS)
@@ -73,20 +74,20 @@ def with_next(df: DataFrame, id_col: str, payload: list[str]) -> DataFrame:
     dealt = df.withColumn("__range", range_of(F.col(id_col), bounds).cast("int")).withColumn("__guard", F.lit(0))
     heads = sorted((r["__range"], r["h"]["i"], r["h"]["tie"]) for r in dealt.groupBy("__range").agg(F.min(F.struct(F.col(id_col).alias("i"), "tie")).alias("h")).collect())  # a row for each range
     if not heads:
-        return df.select("*", *[F.col(p).alias(f"next_{p}") for p in payload])
+        return prepare(df).select("*", *[F.col(p).alias(f"next_{p}") for p in payload])
     guards = spark.createDataFrame([(heads[i - 1][0], *heads[i][1:]) for i in range(len(heads))], "__to int, __id long, __tie long")
     first = df.join(F.broadcast(guards), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie")))
     first = first.withColumn("__range", F.col("__to")).withColumn("__guard", F.lit(1)).select(dealt.columns)
     order = Window.partitionBy("__range").orderBy("__guard", F.col(id_col).asc_nulls_first(), "tie")
-    out = dealt.unionByName(first).withColumns({f"next_{p}": F.lead(p).over(order) for p in payload})
+    out = prepare(dealt.unionByName(first)).withColumns({f"next_{p}": F.lead(p).over(order) for p in payload})
     return out.where("__guard = 0").drop("__range", "__guard")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_sketch(rows.withColumn("tie", F.xxhash64("text")), "text", "sketch")
-    rows = with_next(rows, "doc_id", ["text", "sketch"]).withColumn("n_chars", F.length("text").cast("long"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = with_next(rows, "doc_id", ["text", "sketch"], lambda x: with_sketch(x, "text", "sketch")).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).select("doc_id", "n_chars", "edited", "edited_sha256", "sketch", "next_sketch")

@@ -4,11 +4,11 @@ Each document's shingles are hashed once; its sketch is the k least hashes. Docu
  1. Inverted lists of retained values. Two sets with similarity t share, but for about one pair in 10**8 at t itself, at least `need` of their k least
     values. So a class only needs to stand in the lists of its k - need + 1 rarest values (a prefix filter, values ordered by list length), and a class
     of which fewer than `need` values occur elsewhere stands in none.
- 2. Shingles that no other such class has are counted for each class. A link needs an intersection of no more than the smaller rest, which rules out
-    classes and pairs exactly.
-    Long lists are not paired off. The most central member of each list is compared with the others (a star); links merge components, and a list
-    whose members are all of one component is done. In the lists still split, pairs of members of different components are compared if the counts
-    allow a link. So no link between components is lost, and a group of n copies that resemble their centre costs about n comparisons.
+ 2. Shingles that no other such class has are counted for each class, which bounds intersections exactly.
+    Long lists are not paired off. The most central member of each list (whose retained values stand in the longest lists) is compared with the others
+    on full sets (a star); links merge components, and a list whose members are all of one component is done. In the lists still split, two members of
+    different components are compared only if their overlaps with the head, and what else of them occurs elsewhere, leave room for a link. So no link
+    between components is lost, and a group of n copies that resemble their centre costs about n comparisons.
  3. The union sketch (k least values of both) estimates the similarity and drops pairs far below the threshold.
  4. Full sets confirm each link, exactly, in integers.
  5. Components by least-label propagation with pointer jumping, on tables.
@@ -122,8 +122,8 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int)
     return map_columns(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb"), "a long, b long", make)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) with den * intersection >= num * union of the full sets."""
+def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """a, b, shared, union: sizes over the full sets of pairs (a, b)."""
     side = lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}"))
 
     def make():
@@ -137,18 +137,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
             return recent[cid]
 
         def step(c):
-            out = {"a": [], "b": []}
+            shared, union = [], []
             for a, b, x, y in zip(c["a"], c["b"], c["ta"], c["tb"], strict=True):
                 p, q = of(a, x), of(b, y)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                if den * shared >= num * (len(p) + len(q) - shared):
-                    out["a"].append(a)
-                    out["b"].append(b)
-            return out
+                shared.append(len(np.intersect1d(p, q, assume_unique=True)))
+                union.append(len(p) + len(q) - shared[-1])
+            return {"a": c["a"], "b": c["b"], "shared": shared, "union": union}
 
         return step
 
-    return map_columns(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb"), "a long, b long", make)
+    return map_columns(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb"), "a long, b long, shared long, union long", make)
 
 
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -186,8 +184,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     least = need(k, num, den)
     wanted = F.least(F.lit(least), F.ceil(F.col("n") * num / den))  # shared values of a linked pair
     by_class = Window.partitionBy("cid")
-    listed = values.join(often, "v").withColumn("central", F.count(F.lit(1)).over(by_class)).withColumn("rank", F.row_number().over(by_class.orderBy("df", "v")))
-    listed = listed.where(F.col("rank") <= F.col("central") - wanted + 1).select("v", "cid", "n", "central")
+    listed = values.join(often, "v").withColumns({"shared": F.count(F.lit(1)).over(by_class), "central": F.sum("df").over(by_class)}).withColumn("rank", F.row_number().over(by_class.orderBy("df", "v")))
+    listed = listed.where(F.col("rank") <= F.col("shared") - wanted + 1).select("v", "cid", "n", "central")
     listed = materialise(listed, "dedup-lists")
     involved = classes.join(listed.select("cid").distinct(), "cid", "left_semi")
     involved = materialise(involved.select("cid", "rep.did", "rep.text_hash", "sketch"), "dedup-involved")
@@ -197,31 +195,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     owned = full_sets(texts, width).select("cid", F.explode("shingles").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("cid")).where("c = 1")
     owned = owned.groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
     listed = listed.join(owned, "cid", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0)))
-    listed = materialise(listed.where(F.lit(den) * F.col("rest") >= F.lit(num) * F.col("n")).select("v", "cid", "n", "rest", F.col("cid").alias("comp")), "dedup-rare")
-
-    def allowed(n, m, r, q):
-        """Whether sets of n and m shingles, of which r and q occur elsewhere, can reach the threshold."""
-        shared = F.least(r, q)
-        return F.lit(den) * shared >= F.lit(num) * (n + m - shared)
-
-    second = lambda df: df.select("v", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "rest", "comp")])
-    fits = allowed(F.col("n"), F.col("n2"), F.col("rest"), F.col("rest2")) & (F.col("comp") != F.col("comp2"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        close = materialise(estimated(pairs.distinct(), involved, k, num, den), "dedup-close")
-        return materialise(confirmed(close, texts, width, num, den), "dedup-links")
-
-    heads = listed.groupBy("v").agg(F.max(F.struct(F.col("rest") / F.col("n"), "cid", "n", "rest", "comp")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    heads = second(heads.select("v", "l.cid", "l.n", "l.rest", "l.comp"))
-    pairs = listed.join(heads, "v").where(fits)
-    links = linked(pairs.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")))
+    listed = materialise(listed.where(F.lit(den) * F.col("rest") >= F.lit(num) * F.col("n")).select("v", "cid", "n", "rest", "central", F.col("cid").alias("comp")), "dedup-rare")
+
+    confirmed = F.lit(den) * F.col("shared") >= F.lit(num) * F.col("union")
+    heads = listed.groupBy("v").agg(F.max(F.struct("central", "cid")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("v", F.col("l.cid").alias("head"))
+    members = materialise(listed.join(heads, "v"), "dedup-members")
+    star = members.where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
+    star = materialise(overlaps(star, texts, width), "dedup-star")
+    links = star.where(confirmed).select("a", "b")
     comps = components(links)
-    members = listed.drop("comp").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    members = materialise(members.join(heads.select("v", F.col("cid2").alias("head")), "v"), "dedup-members")
-    split = members.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi and c > 2").select("v")
-    rest = members.where("cid <> head").join(split, "v")  # the head has been compared with all
-    pairs = rest.join(second(rest), "v").where((F.col("cid") < F.col("cid2")) & fits)
-    more = linked(pairs.select(F.col("cid").alias("a"), F.col("cid2").alias("b")))
+
+    # Members of a list have their overlap with its head in common: two of them share no more than the smaller overlap, and of the rest that occurs
+    # anywhere else no more than the smaller one.
+    members = members.join(star.select(F.col("a").alias("head"), F.col("b").alias("cid"), "shared"), ["head", "cid"]).drop("comp")
+    members = members.join(comps.withColumnRenamed("node", "cid"), "cid", "left")
+    members = materialise(members.select("v", "cid", "n", "rest", F.col("shared").alias("core"), F.coalesce("comp", "cid").alias("comp")), "dedup-members")
+    second = members.select("v", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "rest", "core", "comp")])
+    most = F.least("rest", "rest2", F.least("core", "core2") + F.least(F.col("rest") - F.col("core"), F.col("rest2") - F.col("core2")))
+    fits = (F.lit(den) * most >= F.lit(num) * (F.col("n") + F.col("n2") - most)) & (F.col("comp") != F.col("comp2")) & (F.col("cid") < F.col("cid2"))
+    split = members.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
+    pairs = members.join(split, "v").join(second, "v").where(fits).select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
+    close = materialise(estimated(pairs, involved, k, num, den), "dedup-close")
+    more = materialise(overlaps(close, texts, width).where(confirmed).select("a", "b"), "dedup-links")
     if not more.isEmpty():
         comps = components(links.union(more))
 

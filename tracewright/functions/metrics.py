@@ -22,3 +22,12 @@ def regression_metrics(df: DataFrame, y: str, p: str, keys: list[str] | None = N
         F.avg(F.abs(b - a)).alias("avg_error"),
         (F.abs(F.sum(b - a)) / F.greatest(F.sum(F.abs(a)), F.lit(1e-6))).alias("aggregated_error"),
     )
+
+
+def losses(df: DataFrame, y: str, p: str, delta: float = 0.1, share: float = 0.2) -> DataFrame:
+    """Huber loss of the relative error, aggregate bias, and their weighted total."""
+    a, b = F.col(y).cast("double"), F.col(p).cast("double")
+    rel = relative_error(a, b)
+    q = F.least(rel, F.lit(delta))
+    out = df.agg(F.avg(0.5 * q * q + delta * (rel - q)).alias("huber"), (F.abs(F.sum(b - a)) / F.greatest(F.sum(F.abs(a)), F.lit(1e-6))).alias("bias"))
+    return out.withColumn("total", F.col("huber") + share * F.col("bias"))

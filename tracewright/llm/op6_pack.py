@@ -34,6 +34,14 @@ PART_ROWS = 4096
 CACHE = 400_000
 
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
+#: Texts of these characters alone (ASCII without the apostrophe, and Latin letters) fall into runs of letters and of others, whatever stands beside them.
+_SIMPLE = re.compile("[\x00-\x26\x28-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[^a-z\u00df-\u00f6\u00f8-\u00ff \t\n\r\x0b\x0c]+")
+
+
+def chunks(text: str) -> list[str]:
+    """Parts that the tokenizer treats on their own: lower-cased runs where the text is simple, else what stands between blanks."""
+    return _RUNS.findall(text.lower()) if _SIMPLE.fullmatch(text) else [x for x in _SPACE.split(text) if x]
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -60,7 +68,7 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text, with the end id."""
-        parts = [[x for x in _SPACE.split(t or "") if x] for t in texts]
+        parts = [chunks(t or "") for t in texts]
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older

@@ -100,10 +100,10 @@ def acc_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.accuracy_importance(_matches(spark, sf_dir), ["user_id"]).select("user_id", "event_id", F.col("acc_importance").cast("long").alias("acc_importance"))
 
 
-@query("SELECT d.doc_id, d.source, CAST(l.quality AS BIGINT) AS quality FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)")
+@query("SELECT d.doc_id, d.source, CAST(coalesce(l.quality, -1) AS BIGINT) AS quality FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)")
 def summary_join_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, l = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return J.last_wins_join(d, l, ["doc_id"], [F.desc("quality")], "left").select("doc_id", "source", F.col("quality").cast("long").alias("quality"))
+    return J.last_wins_join(d, l, ["doc_id"], [F.desc("quality")], "left").select("doc_id", "source", F.coalesce("quality", F.lit(-1)).cast("long").alias("quality"))
 
 
 @query("""WITH b AS (SELECT doc_id * 2 AS b_id, md5(text) AS h, doc_id AS v FROM documents), i AS (SELECT b_id, min(v) AS v FROM b GROUP BY b_id), h AS (SELECT h, min(v) AS v FROM b GROUP BY h)

@@ -73,24 +73,61 @@ def test_fingerprints(docs):
     assert got["near_edited"].between(0, 1).all() and got["near_next"].between(0, 1).all()
 
 
-def test_near_duplicates(docs):
-    got = op3_near_dedup.near_duplicates(docs, 3, 85, 100).toPandas()
+def components_of(all_texts, num=85):
+    """Brute force: shingle set and least reachable number of each text."""
     sets = {}
-    for i, t in enumerate(texts()):
+    for i, t in enumerate(all_texts):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets[i] = frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
     root = {i: i for i in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and sets[a]:
-                    root[a] = root[b] = min(root[a], root[b])
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return sets, {i: top(i) for i in sets}
+
+
+def test_near_duplicates(docs):
+    got = op3_near_dedup.near_duplicates(docs, 3, 85, 100).toPandas()
+    sets, root = components_of(texts())
     for r in got.dropna(subset=["doc_id"]).itertuples():
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], r.doc_id == root[r.doc_id])
     assert op3_near_dedup.deduplicated(docs, width=3, num=85).count() == len(set(root.values())) + 1
     assert op3_near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_crowded_near_duplicates(spark):
+    """A large group around one text whose members lie on both sides of the threshold, edited from few words, with edits of edits, chains, and texts that
+    are halves of longer ones."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(40)}"
+    base = [f"b{i}" for i in range(120)]
+
+    def edited(w, n):
+        w = list(w)
+        for _ in range(n):
+            w[rng.randrange(len(w))] = word()
+        return w
+
+    found = [base, *[edited(base, rng.randint(0, 10)) for _ in range(220)]]
+    found += [edited(found[rng.randrange(len(found))], rng.randint(0, 3)) for _ in range(220)]
+    half = [f"h{i}" for i in range(90)]
+    found += [edited(half, rng.randint(0, 5)) for _ in range(40)] + [[*edited(half, rng.randint(0, 2)), *edited(base, rng.randint(0, 2))] for _ in range(40)]
+    found += [[f"c{i}" for i in range(3 * k, 3 * k + 60)] for k in range(12)]
+    rng.shuffle(found)
+    all_texts = [" ".join(w) for w in found]
+    _, root = components_of(all_texts)
+    got = op3_near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string"), 3, 85, 100).toPandas()
+    assert dict(zip(got["doc_id"], got["component_id"], strict=True)) == root
+
+
 def test_rules(docs):
     for t in texts():
         n, chars, symbols, dup, repeat, *_ = op4_quality_rules.measure(t)

@@ -7,8 +7,8 @@ Each document's shingles are hashed once; its sketch is the k least hashes. Docu
  2. Shingles that no other such class has are counted for each class, which bounds intersections exactly.
     Long lists are not paired off. The most central member of each list (whose retained values stand in the longest lists) is compared with the others
     on full sets (a star); links merge components, and a list whose members are all of one component is done. In the lists still split, two members of
-    different components are compared only if their overlaps with the head, and what else of them occurs elsewhere, leave room for a link. So no link
-    between components is lost, and a group of n copies that resemble their centre costs about n comparisons.
+    different components are compared only if they share one of their rarest shingles beyond the head, or if the head holds enough of both for a link.
+    So no link between components is lost, and a group of n copies that resemble their centre costs about n comparisons.
  3. The union sketch (k least values of both) estimates the similarity and drops pairs far below the threshold.
  4. Full sets confirm each link, exactly, in integers.
  5. Components by least-label propagation with pointer jumping, on tables.
@@ -171,6 +171,55 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def beyond_head(members: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members (head, cid, n, core, comp) whose link needs shingles that their head lacks.
+
+    Two members share at most the smaller core (overlap with the head) of the head's shingles. A partner has at least num / den of a member's shingles, so
+    a member needs n * num / den - core of its others in common with it, and any such partner holds one of its rarest others (a prefix filter again)."""
+    side = lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}"))
+
+    def make():
+        recent: dict[int, np.ndarray] = {}
+
+        def of(cid, text):
+            if cid not in recent:
+                if len(recent) > 64:
+                    recent.clear()
+                recent[cid] = shingle_set(text, width)
+            return recent[cid]
+
+        def step(c):
+            beyond = [np.setdiff1d(shingle_set(t, width), of(h, x), assume_unique=True) for t, h, x in zip(c["tcid"], c["head"], c["thead"], strict=True)]
+            return {**{x: c[x] for x in ("head", "cid", "n", "core", "comp")}, "beyond": beyond}
+
+        return step
+
+    both = members.join(side("cid"), "cid").join(side("head"), "head").select("head", "cid", "n", "core", "comp", "tcid", "thead")
+    others = map_columns(both, "head long, cid long, n long, core long, comp long, beyond array<long>", make)
+    others = materialise(others.select("head", "cid", "n", "core", "comp", F.explode("beyond").alias("r")), "dedup-beyond")
+    often = others.groupBy("head", "r").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    by_member = Window.partitionBy("head", "cid")
+    others = others.join(often, ["head", "r"]).withColumns({"most": F.count(F.lit(1)).over(by_member), "rank": F.row_number().over(by_member.orderBy("df", "r"))})
+    wanted = F.greatest(F.lit(1), F.ceil(F.col("n") * num / den) - F.col("core"))
+    others = materialise(others.where(F.col("rank") <= F.col("most") - wanted + 1).drop("rank", "df"), "dedup-beyond")
+    second = others.select("head", "r", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "core", "comp", "most")])
+    shared = F.least("core", "core2") + F.least("most", "most2")
+    fits = (F.lit(den) * shared >= F.lit(num) * (F.col("n") + F.col("n2") - shared)) & (F.col("comp") != F.col("comp2")) & (F.col("cid") < F.col("cid2"))
+    return others.join(second, ["head", "r"]).where(fits).select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
+
+
+def within_head(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members whose link needs nothing but shingles of their head: both lie in a larger one. They meet by logarithms of sizes: a core
+    admits partners of size core * (num + den) / num - n at most."""
+    part = lambda n: F.floor(F.log(n) * 100)
+    low, high = F.ceil(F.col("n") * num / den), F.floor(F.col("core") * (num + den) / num) - F.col("n")
+    deep = members.where(F.lit(den) * F.col("core") >= F.lit(num) * F.col("n"))
+    first = deep.where(high >= low).withColumn("part", F.explode(F.sequence(part(low), part(high))))
+    second = deep.select("head", part(F.col("n")).alias("part"), *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "core", "comp")])
+    fits = (F.lit(num) * (F.col("n") + F.col("n2")) <= F.lit(num + den) * F.least("core", "core2")) & (F.col("comp") != F.col("comp2")) & (F.col("cid") != F.col("cid2"))
+    return first.join(second, ["head", "part"]).where(fits).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, k: int = K) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept."""
     rows = materialise(sketches(docs, width, k), "dedup-rows")
@@ -205,16 +254,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     links = star.where(confirmed).select("a", "b")
     comps = components(links)
 
-    # Members of a list have their overlap with its head in common: two of them share no more than the smaller overlap, and of the rest that occurs
-    # anywhere else no more than the smaller one.
+    # Only members of lists that are still split go on, each once for a head.
     members = members.join(star.select(F.col("a").alias("head"), F.col("b").alias("cid"), "shared"), ["head", "cid"]).drop("comp")
-    members = members.join(comps.withColumnRenamed("node", "cid"), "cid", "left")
-    members = materialise(members.select("v", "cid", "n", "rest", F.col("shared").alias("core"), F.coalesce("comp", "cid").alias("comp")), "dedup-members")
-    second = members.select("v", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "rest", "core", "comp")])
-    most = F.least("rest", "rest2", F.least("core", "core2") + F.least(F.col("rest") - F.col("core"), F.col("rest2") - F.col("core2")))
-    fits = (F.lit(den) * most >= F.lit(num) * (F.col("n") + F.col("n2") - most)) & (F.col("comp") != F.col("comp2")) & (F.col("cid") < F.col("cid2"))
+    members = members.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     split = members.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
-    pairs = members.join(split, "v").join(second, "v").where(fits).select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
+    members = members.join(split, "v", "left_semi").select("head", "cid", "n", F.col("shared").alias("core"), "comp").distinct()
+    members = materialise(members, "dedup-members")
+    pairs = beyond_head(members, texts, width, num, den).union(within_head(members, num, den)).distinct()
     close = materialise(estimated(pairs, involved, k, num, den), "dedup-close")
     more = materialise(overlaps(close, texts, width).where(confirmed).select("a", "b"), "dedup-links")
     if not more.isEmpty():

@@ -6,9 +6,9 @@ Each document's shingles are hashed once; its sketch is the k least hashes. Docu
     of which fewer than `need` values occur elsewhere stands in none.
  2. Shingles that no other such class has are counted for each class, which bounds intersections exactly.
     Long lists are not paired off. The most central member of each list (whose retained values stand in the longest lists) is compared with the others
-    on full sets (a star); links merge components, and a list whose members are all of one component is done. In the lists still split, two members of
-    different components are compared only if they share one of their rarest shingles beyond the head, or if the head holds enough of both for a link.
-    So no link between components is lost, and a group of n copies that resemble their centre costs about n comparisons.
+    on full sets (a star); links merge components, and a list whose members are all of one component is done. In the lists still split, members are
+    described by how they differ from what most of them share, and two of different components are compared only if enough of their differences can
+    agree (beyond_star). So no link between components is lost, and a group of n copies that resemble their centre costs about n comparisons.
  3. The union sketch (k least values of both) estimates the similarity and drops pairs far below the threshold.
  4. Full sets confirm each link, exactly, in integers.
  5. Components by least-label propagation with pointer jumping, on tables.
@@ -171,12 +171,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def beyond_head(members: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of members (head, cid, n, core, comp) whose link needs shingles that their head lacks.
+#: Turns a shingle into a mark of its absence.
+_ABSENT = np.int64(0x5DEECE66D1CE4E5B)
 
-    Two members share at most the smaller core (overlap with the head) of the head's shingles. A partner has at least num / den of a member's shingles, so
-    a member needs n * num / den - core of its others in common with it, and any such partner holds one of its rarest others (a prefix filter again)."""
+
+def differences(members: DataFrame, texts: DataFrame, width: int, shift: DataFrame | None = None) -> DataFrame:
+    """members with `marks`: how a member's set differs from its head's, or from its head's as shift (head, marks) alters it. A shingle that only the
+    member has is a mark, and one that it lacks is a mark too, turned by _ABSENT."""
     side = lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"t{x}"))
+    both = members.join(side("cid"), "cid").join(side("head"), "head")
+    both = both.join(shift.select("head", F.col("marks").alias("shift")), "head", "left") if shift else both.withColumn("shift", F.lit(None).cast("array<long>"))
 
     def make():
         recent: dict[int, np.ndarray] = {}
@@ -188,36 +192,68 @@ def beyond_head(members: DataFrame, texts: DataFrame, width: int, num: int, den:
                 recent[cid] = shingle_set(text, width)
             return recent[cid]
 
+        def marks(text, head, head_text, shift):
+            own, other = shingle_set(text, width), of(head, head_text)
+            found = np.concatenate([np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True) ^ _ABSENT])
+            if not shift:
+                return found
+            shift = np.array(shift, np.int64)
+            # a mark of the shift that the member has is none from the shifted set; one that it lacks is the opposite mark
+            return np.concatenate([np.setdiff1d(found, shift), np.setdiff1d(shift, found) ^ _ABSENT])
+
         def step(c):
-            beyond = [np.setdiff1d(shingle_set(t, width), of(h, x), assume_unique=True) for t, h, x in zip(c["tcid"], c["head"], c["thead"], strict=True)]
-            return {**{x: c[x] for x in ("head", "cid", "n", "core", "comp")}, "beyond": beyond}
+            found = [marks(*x) for x in zip(c["tcid"], c["head"], c["thead"], c["shift"], strict=True)]
+            return {**{x: c[x] for x in ("head", "cid", "n", "comp")}, "far": [len(x) for x in found], "marks": found}
 
         return step
 
-    both = members.join(side("cid"), "cid").join(side("head"), "head").select("head", "cid", "n", "core", "comp", "tcid", "thead")
-    others = map_columns(both, "head long, cid long, n long, core long, comp long, beyond array<long>", make)
-    others = materialise(others.select("head", "cid", "n", "core", "comp", F.explode("beyond").alias("r")), "dedup-beyond")
-    often = others.groupBy("head", "r").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    return map_columns(both.select("head", "cid", "n", "comp", "tcid", "thead", "shift"), "head long, cid long, n long, comp long, far long, marks array<long>", make)
+
+
+def consensus(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """head, marks: what tells most members of a head from it."""
+    marks = differences(members, texts, width).select("head", F.explode("marks").alias("r")).groupBy("head", "r").agg(F.count(F.lit(1)).alias("df"))
+    size = members.groupBy("head").agg(F.count(F.lit(1)).alias("members"))
+    return marks.where("df > 1").join(size, "head").where("2 * df > members").groupBy("head").agg(F.collect_list("r").alias("marks"))
+
+
+def beyond_star(members: DataFrame, texts: DataFrame, links: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """More links, and pairs (a, b) that may be links, among members (head, cid, n, comp) of one head.
+
+    Let `far` be a member's distance (size of the symmetric difference) from any fixed set C, here the consensus of the members. Two sets are linked if
+    their distance is at most h * (n + n2), h = (den - num) / (den + num), and it is far + far2 - 2 * (marks in common). With x = far - h * n they are
+    linked just if they have (x + x2) / 2 marks in common. So
+     - where x + x2 <= 0 they are linked. Both are then linked to the member of least x, which is linked to all it can be so.
+     - otherwise some of their marks must agree, and a prefix filter over marks finds them: a member looks among its rarest marks only, the fewer the
+       larger x + x2 is. The farther of two looks for nearer ones level by level of x; the nearer is found at its own level.
+    x is kept as an integer: x * (den + num)."""
+    x = F.lit(num + den) * F.col("far") - F.lit(den - num) * F.col("n")
+    near = differences(members, texts, width, consensus(members, texts, width)).withColumn("x", x)
+    near = materialise(near, "dedup-marks")
+    centre = near.groupBy("head").agg(F.min(F.struct("x", "cid")).alias("c")).select("head", F.col("c.x").alias("cx"), F.col("c.cid").alias("centre"))
+    sure = near.join(centre, "head").where((F.col("x") + F.col("cx") <= 0) & (F.col("cid") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
+    sure = materialise(sure, "dedup-sure")
+    comps = components(links.union(sure))
+    near = near.drop("comp").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+    unit = 2 * (num + den)
+    marks = near.select("head", "cid", F.explode("marks").alias("r"))
+    often = marks.groupBy("head", "r").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     by_member = Window.partitionBy("head", "cid")
-    others = others.join(often, ["head", "r"]).withColumns({"most": F.count(F.lit(1)).over(by_member), "rank": F.row_number().over(by_member.orderBy("df", "r"))})
-    wanted = F.greatest(F.lit(1), F.ceil(F.col("n") * num / den) - F.col("core"))
-    others = materialise(others.where(F.col("rank") <= F.col("most") - wanted + 1).drop("rank", "df"), "dedup-beyond")
-    second = others.select("head", "r", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "core", "comp", "most")])
-    shared = F.least("core", "core2") + F.least("most", "most2")
-    fits = (F.lit(den) * shared >= F.lit(num) * (F.col("n") + F.col("n2") - shared)) & (F.col("comp") != F.col("comp2")) & (F.col("cid") < F.col("cid2"))
-    return others.join(second, ["head", "r"]).where(fits).select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
-
-
-def within_head(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of members whose link needs nothing but shingles of their head: both lie in a larger one. They meet by logarithms of sizes: a core
-    admits partners of size core * (num + den) / num - n at most."""
-    part = lambda n: F.floor(F.log(n) * 100)
-    low, high = F.ceil(F.col("n") * num / den), F.floor(F.col("core") * (num + den) / num) - F.col("n")
-    deep = members.where(F.lit(den) * F.col("core") >= F.lit(num) * F.col("n"))
-    first = deep.where(high >= low).withColumn("part", F.explode(F.sequence(part(low), part(high))))
-    second = deep.select("head", part(F.col("n")).alias("part"), *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "core", "comp")])
-    fits = (F.lit(num) * (F.col("n") + F.col("n2")) <= F.lit(num + den) * F.least("core", "core2")) & (F.col("comp") != F.col("comp2")) & (F.col("cid") != F.col("cid2"))
-    return first.join(second, ["head", "part"]).where(fits).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct()
+    marks = marks.join(often, ["head", "r"]).withColumns({"most": F.count(F.lit(1)).over(by_member), "rank": F.row_number().over(by_member.orderBy("df", "r"))})
+    marks = materialise(marks.select("head", "cid", "r", "most", "rank"), "dedup-ranked")
+    level = F.signum("x") * F.floor(F.log(F.lit(1) + F.abs("x") / unit) * 6)
+    own = near.select("head", "cid", "x", "comp", level.cast("int").alias("level")).join(marks.where("rank = 1").select("head", "cid", "most"), ["head", "cid"])
+    levels = own.groupBy("head", "level").agg(F.min("x").alias("lo"), F.min("comp").alias("first"), F.max("comp").alias("last"))
+    agreed = lambda total: F.greatest(F.lit(1), F.ceil(total / unit))
+    found = own.withColumn("deep", F.col("most") - agreed(2 * F.col("x")) + 1).where("deep > 0")
+    seek = own.drop("level").join(levels, "head").where((F.col("lo") <= F.col("x")) & ((F.col("first") != F.col("comp")) | (F.col("last") != F.col("comp"))))
+    seek = seek.withColumn("deep", F.col("most") - agreed(F.col("x") + F.col("lo")) + 1).where("deep > 0")
+    place = lambda side: side.drop("most").join(marks, ["head", "cid"]).where("rank <= deep").select("head", "level", "r", "cid", "x", "comp", "most")
+    second = place(found).select("head", "level", "r", *[F.col(c).alias(f"{c}2") for c in ("cid", "x", "comp", "most")])
+    fits = (F.col("x2") <= F.col("x")) & (F.col("comp") != F.col("comp2")) & (F.col("x") + F.col("x2") <= F.lit(unit) * F.least("most", "most2"))
+    pairs = place(seek).join(second, ["head", "level", "r"]).where(fits)
+    return sure, pairs.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, k: int = K) -> DataFrame:
@@ -258,13 +294,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     members = members.join(star.select(F.col("a").alias("head"), F.col("b").alias("cid"), "shared"), ["head", "cid"]).drop("comp")
     members = members.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     split = members.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
-    members = members.join(split, "v", "left_semi").select("head", "cid", "n", F.col("shared").alias("core"), "comp").distinct()
-    members = materialise(members, "dedup-members")
-    pairs = beyond_head(members, texts, width, num, den).union(within_head(members, num, den)).distinct()
+    members = materialise(members.join(split, "v", "left_semi").select("head", "cid", "n", "comp").distinct(), "dedup-members")
+    sure, pairs = beyond_star(members, texts, links, width, num, den)
+    links = links.union(sure)
     close = materialise(estimated(pairs, involved, k, num, den), "dedup-close")
     more = materialise(overlaps(close, texts, width).where(confirmed).select("a", "b"), "dedup-links")
-    if not more.isEmpty():
-        comps = components(links.union(more))
+    comps = components(links.union(more))
 
     named = classes.select("cid", "least").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     first = named.groupBy("comp").agg(F.min("least").alias("component_id"))

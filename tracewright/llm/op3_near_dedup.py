@@ -32,7 +32,7 @@ from .common import documents, map_columns, materialise, small_batches, words_of
 K = 64
 #: Standard deviations of the shared count that separate `need` from its mean at the threshold.
 MARGIN = 6.5
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 200_000
 _U = np.uint64
 
 

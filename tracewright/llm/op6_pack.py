@@ -31,7 +31,7 @@ CELL_BITS = 12
 #: Documents for which a cell gets one more part.
 PART_ROWS = 4096
 #: Distinct chunks whose ids a worker remembers, in each of two generations.
-CACHE = 400_000
+CACHE = 150_000
 
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 #: Texts of these characters alone (ASCII without the apostrophe, and Latin letters) fall into runs of letters and of others, whatever stands beside them.

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import math
+import os
 import re
 import zlib
 
@@ -31,17 +32,21 @@ CELL_BITS = 12
 #: Documents for which a cell gets one more part.
 PART_ROWS = 4096
 #: Distinct chunks whose ids a worker remembers, in each of two generations.
-CACHE = 150_000
+CACHE = 200_000
+#: Chunks that the tokenizer gets at once.
+BATCH = 256
 
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 #: Texts of these characters alone (ASCII without the apostrophe, and Latin letters) fall into runs of letters and of others, whatever stands beside them.
 _SIMPLE = re.compile("[\x00-\x26\x28-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[^a-z\u00df-\u00f6\u00f8-\u00ff \t\n\r\x0b\x0c]+")
+_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 def chunks(text: str) -> list[str]:
     """Parts that the tokenizer treats on their own: lower-cased runs where the text is simple, else what stands between blanks."""
-    return _RUNS.findall(text.lower()) if _SIMPLE.fullmatch(text) else [x for x in _SPACE.split(text) if x]
+    simple = _SIMPLE.fullmatch(text) and "<|" not in text  # where the tokenizer's special tokens begin
+    return _RUNS.findall(text.lower()) if simple else [x for x in _SPACE.split(text) if x]
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -52,38 +57,71 @@ def tokenizer_path(path: str | None) -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Memory(dict):
+    """Ids of chunks. A chunk not yet met gets an empty buffer and waits in `new` until it is filled; the generation before is asked first."""
+
+    def __init__(self, older: dict):
+        self.older, self.new = older, []
+
+    def __missing__(self, chunk: str):
+        found = self.older.get(chunk)
+        if found is None:
+            found = bytearray()
+            self.new.append(chunk)
+        self[chunk] = found
+        return found
+
+
 class Encoder:
-    """Ids of whole texts. The tokenizer drops white space and nothing in it reaches across, so each chunk between ASCII blanks is encoded on its own
-    and remembered."""
+    """Ids of whole texts. The tokenizer drops white space and nothing in it reaches across, so each chunk is encoded on its own and remembered. New
+    chunks that are words of Latin letters are encoded many in one text, and parted where a token ends a word."""
 
     def __init__(self, path: str | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Memory({})
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         if self.size > 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u2") for at in range(0, len(texts), BATCH) for e in self.tokenizer.encode_batch_fast(texts[at : at + BATCH], add_special_tokens=False)]
+
+    def _fill(self, new: list[str]) -> None:
+        words, others = [], []
+        for x in new:
+            (words if _WORD.fullmatch(x) else others).append(x)
+        groups = [words[at : at + BATCH] for at in range(0, len(words), BATCH)]
+        for group, ids in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(group):  # a tokenizer that marks no ends of words
+                others += group
+                continue
+            data, at = ids.tobytes(), 0
+            for x, end in zip(group, (2 * ends).tolist(), strict=True):
+                self.known[x] += data[at:end]
+                at = end
+        for x, ids in zip(others, self._encoded(others), strict=True):
+            self.known[x] += ids.tobytes()
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text, with the end id."""
-        parts = [chunks(t or "") for t in texts]
         if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = []
-        for x in dict.fromkeys(x for p in parts for x in p if x not in known):
-            if x in older:
-                known[x] = older[x]
-            else:
-                new.append(x)
-        for at in range(0, len(new), 2048):
-            some = new[at : at + 2048]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, "<u2").tobytes()
+            self.known.older = {}
+            self.known = _Memory(self.known)
+        known = self.known
+        found = [list(map(known.__getitem__, chunks(t or ""))) for t in texts]
+        self._fill(known.new)
         end = np.array([END], "<u2").tobytes()
-        return [b"".join(map(known.__getitem__, p)) + end for p in parts]
+        out = [b"".join(f) + end for f in found]
+        for x in known.new:
+            known[x] = bytes(known[x])
+        known.new = []
+        return out
 
 
 @functools.lru_cache(maxsize=2)

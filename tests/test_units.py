@@ -3,8 +3,11 @@
 from pyspark.sql import functions as F
 
 from tracewright.functions import arrays as A
+from tracewright.functions import python as P
 from tracewright.functions import text as X
+from tracewright.operators import scoring as C
 from tracewright.operators import segment as G
+from tracewright.operators.baseline import fit_line
 
 
 def one(spark, *cols):
@@ -36,3 +39,24 @@ def test_macros():
     assert G.spans(parts) == [(0, 1), (1, 3), (3, 7), (7, 8)]
     steps = [G.macro([f"word {i} here"], 0, 1, i, 40) for i in range(40)]
     assert len(G.compressed(steps, 26)) == 26
+
+
+def test_budget_and_scorer(spark):
+    df = spark.createDataFrame([(1, ["aaaa", "bbb", "cc", "d"]), (2, []), (3, ["aaaaaaaaaa", "b"])], "id long, steps array<string>")
+    fitted = C.fit_budget(df, "steps", 5)
+    assert [(r.id, r.steps, r.n_head, r.n_tail, r.n_cut) for r in fitted.orderBy("id").collect()] == [(1, ["aaaa", "d"], 1, 1, 2), (2, [], 0, 0, 0), (3, ["b"], 0, 1, 1)]
+    assert [r.id for r in C.cut_log(fitted, ["id"]).orderBy("id").collect()] == [1, 3]
+    prompts = spark.createDataFrame([(1, "ab"), (2, None)], "id long, prompt string")
+    scored = C.score(prompts, "prompt", lambda: lambda ps: [(p.upper(), [float(len(p)), float("nan")]) for p in ps], batch=1)
+    assert [(r.output, r.avg_logp) for r in scored.orderBy("id").collect()] == [("AB", 2.0), ("", 0.0)]
+    empty = C.score(prompts, "prompt").first()
+    assert empty.output == "" and empty.avg_logp != empty.avg_logp
+    assert one(spark, C.is_match(F.lit("1"), F.lit("1")), C.is_match(F.lit("1"), F.lit("")), C.is_match(F.lit(None).cast("string"), F.lit("2"), 0)) == (1, None, 0)
+
+
+def test_line_and_nfkc(spark):
+    line = fit_line(spark.createDataFrame([(1.0, 1.0), (3.0, 2.0)], "y double, x double"), "y", "x")
+    assert (line.slope, line.intercept) == (2.0, -1.0)
+    flat, none = spark.createDataFrame([(4.0, 1.0)], "y double, x double"), spark.createDataFrame([], "y double, x double")
+    assert fit_line(flat, "y", "x").intercept == 4.0 and fit_line(none, "y", "x").intercept == 0.0
+    assert one(spark, P.nfkc(F.lit("\ufb01\u2460")), P.nfkc(F.lit(None).cast("string"))) == ("fi1", None)

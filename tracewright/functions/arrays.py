@@ -66,3 +66,22 @@ def masked_mean(vectors: Column, mask: Column) -> Column:
 def mean_finite(x: Column) -> Column:
     ok = F.filter(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return F.when(F.size(ok) > 0, F.aggregate(ok, F.lit(0.0), lambda a, v: a + v) / F.size(ok)).otherwise(F.lit(float("nan")))
+
+
+def head_tail_steps(steps: Column, sizes: Column, budget: int) -> Column:
+    """Struct kept, n_head, n_tail: leading steps while they fit the budget, then trailing ones in what is left. sizes: array<long>, one for each step."""
+
+    def fitting(a: Column, room: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+        def add(s, x):
+            fits = s["open"] & (s["used"] + x <= room)
+            return F.struct(F.when(fits, s["used"] + x).otherwise(s["used"]).alias("used"), F.when(fits, s["n"] + 1).otherwise(s["n"]).alias("n"), fits.alias("open"))
+
+        return F.aggregate(a, start, add)
+
+    head = fitting(sizes, F.lit(budget).cast("long"))
+    rest = F.reverse(F.slice(sizes, head["n"] + 1, F.size(sizes)))
+    tail = fitting(rest, F.lit(budget) - head["used"])
+    kept = F.concat(F.slice(steps, F.lit(1), head["n"]), F.slice(steps, F.size(steps) - tail["n"] + 1, tail["n"]))
+    return F.struct(kept.alias("kept"), head["n"].alias("n_head"), tail["n"].alias("n_tail"))

@@ -1,0 +1,19 @@
+"""Functions that the JVM has no form of, as Arrow UDFs."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility composition; null stays null."""
+
+    @F.pandas_udf("string")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+    return f(c)

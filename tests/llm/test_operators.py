@@ -201,6 +201,16 @@ def test_language_model(spark, docs):
         assert sum(q.values()) + 10 ** model.alpha[h] * (1 - sum(uni[w] for w in q)) == pytest.approx(1)
 
 
+def test_language_model_beyond_broadcast(docs, monkeypatch):
+    """What is broadcast decides only where a count is looked up."""
+    score = lambda: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in op9_katz.scored(docs).collect())
+    expect = score()
+    for words, pairs in ((1 << 22, 500), (200, 500)):
+        monkeypatch.setattr(op9_katz, "MOST_WORDS", words)
+        monkeypatch.setattr(op9_katz, "MOST_PAIRS", pairs)
+        assert score() == expect
+
+
 def test_mixing(docs):
     got = op10_mix.mix(docs, block=4).toPandas()
     assert sorted(got["position"]) == list(range(docs.count()))

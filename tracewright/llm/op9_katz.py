@@ -2,10 +2,11 @@
 
 Counts are gathered over all training rows. Good-Turing: log n_r is fitted by a line a + b log r (Gale and Sampson), so a count r is discounted by
 (1 + 1/r)**(b + 1), below 1 for every r. Unigrams keep d(c) c / N; what is left is the probability of the one unknown type. A pair (h, w) counted at least
-`cut` times keeps d(c) c / c(h); all others fall to alpha(h) P(w), with alpha(h) = (1 - sum of kept) / (1 - sum of P(w) over kept w), so that each history
-sums to 1 exactly. cut is a relative frequency, max(2, N / 2**21): counts add up to N, so no more than 2**21 pairs are kept, and no pair can be kept of
-which a word is rarer than cut; so pairs are only counted among words that frequent, without loss. The tables of frequent words and of pairs thereby have
-a proven bound and are broadcast; every rarer word finds its count by a join. A text starts after an end.
+CUT times, at every size of input, keeps d(c) c / c(h); all others fall to alpha(h) P(w), with alpha(h) = (1 - sum of kept) / (1 - sum of P(w) over kept w),
+so that each history sums to 1 exactly. A text starts after an end.
+
+Words and pairs above a relative frequency are broadcast: counts add up to N, so no more than MOST_WORDS and MOST_PAIRS of them. This decides only where a
+count is looked up. All kept pairs stand in a table; those that are not broadcast, and rarer words, find their counts by joins.
 
 Null text: as an empty one (one end). Null doc_id: crc32 of empty text. Repeated rows: each its own row. Empty table: no rows.
 """
@@ -25,9 +26,11 @@ from .common import STEP, crc_mod, documents, materialise, small_batches, words_
 
 #: Words and pairs above these relative frequencies are broadcast: at most so many of each.
 MOST_WORDS, MOST_PAIRS = 1 << 22, 1 << 21
+#: Least count of a pair that is kept, at every size.
+CUT = 2
 #: Entries at which a task passes on what it has counted.
 FLUSH = 400_000
-#: Counts from the cut on that the line is fitted to.
+#: Counts, from 1 for words and from CUT for pairs, that the line is fitted to.
 FITTED = 200
 END = b""
 
@@ -86,56 +89,77 @@ def indexed(text: str | None, index: dict[bytes, int], end: int) -> np.ndarray:
     return out
 
 
-def pair_counts(texts: DataFrame, words, end: int, wide: int) -> DataFrame:
-    """key (history * wide + word), c, over pairs of indexed words. words: a broadcast list in order of id."""
+def pair_keys(x: np.ndarray, wide: int) -> np.ndarray:
+    """(history + 1) * (wide + 1) + word + 1 of each pair; -1 stands for a word outside the index."""
+    return (x[:-1] + 1) * (wide + 1) + x[1:] + 1
+
+
+def rare_pairs(text: str | None, x: np.ndarray, keys: np.ndarray) -> list[tuple[int, bytes]]:
+    """Key of each pair with a word outside the index, and its words outside the index around a newline, which no word holds."""
+    seq = [END, *words_of(text, lower=True), END]
+    name = [b"" if i >= 0 else w for i, w in zip(x.tolist(), seq, strict=True)]
+    at = np.flatnonzero((x[:-1] < 0) | (x[1:] < 0))
+    return [(k, name[i] + b"\n" + name[i + 1]) for i, k in zip(at.tolist(), keys[at].tolist(), strict=True)]
+
+
+def pair_counts(texts: DataFrame, words, end: int) -> DataFrame:
+    """key and rare (see pair_keys and rare_pairs; rare is empty where both words are indexed), c. words: a broadcast list in order of id."""
 
     def run(batches):
-        index = {w: i for i, w in enumerate(words.value[:wide])}
-        waiting, n = [], 0
+        index = {w: i for i, w in enumerate(words.value)}
+        wide = len(index)
+        waiting, n, seen = [], 0, Counter()
 
         def out():
             keys, c = np.unique(np.concatenate(waiting), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c.astype(np.int64))], ["key", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([b""] * len(keys), pa.binary()), pa.array(c.astype(np.int64))], ["key", "rare", "c"])
+
+        def out_rare():
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int64()), pa.array([r for _, r in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["key", "rare", "c"])
 
         for some in _texts(batches):
             for t in some:
                 x = indexed(t, index, end)
-                keep = (x[:-1] >= 0) & (x[1:] >= 0)
-                waiting.append((x[:-1] * wide + x[1:])[keep])
+                keys = pair_keys(x, wide)
+                waiting.append(keys[(x[:-1] >= 0) & (x[1:] >= 0)])
+                seen.update(rare_pairs(t, x, keys))
                 n += len(waiting[-1])
             if n > 8 * FLUSH:
-                yield out()
+                yield from out()
                 waiting, n = [], 0
+            if len(seen) > FLUSH:
+                yield from out_rare()
+                seen.clear()
         if n:
-            yield out()
+            yield from out()
+        if seen:
+            yield from out_rare()
 
-    return texts.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(run, "key long, rare binary, c long").groupBy("key", "rare").agg(F.sum("c").alias("c"))
 
 
 class Model:
-    """Arrays for a worker: words in order of falling count, their log probabilities, alphas, and the kept pairs by key."""
+    """Arrays for a worker: words in order of falling count, their log probabilities, alphas, and the broadcast pairs by key (history * wide + word)."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, n: int, kinds: int, slope: float, keys: np.ndarray, pairs: np.ndarray, wide: int, slope2: float, unknown: float):
-        self.words, self.wide, self.end = words, wide, -1
+    def __init__(self, words: list[bytes], counts: np.ndarray, n: int, kinds: int, slope: float, unknown: float):
+        self.words, self.counts, self.wide, self.end = words, counts, len(words), words.index(END) if words else -1
         self.base = np.log10((counts + 0.1) / (n + 0.1 * (kinds + 1)))
-        p = kept_share(counts, slope) * counts / n if n else np.zeros(0)
-        self.uni = np.log10(p) if n else p
-        self.n, self.kinds, self.slope, self.unknown = n, kinds, slope, unknown
-        h, w = keys // wide if wide else keys, keys % wide if wide else keys
-        q = kept_share(pairs, slope2) * pairs / counts[h] if len(keys) else np.zeros(0)
-        held = np.bincount(h, q, minlength=len(words)) if len(keys) else np.zeros(len(words))
-        lower = np.bincount(h, p[w], minlength=len(words)) if len(keys) else np.zeros(len(words))
-        self.alpha = np.log10((1 - held) / (1 - lower))
-        self.keys, self.pair = keys, np.log10(q) if len(keys) else q
-
-    def text(self, text: str | None, index: dict[bytes, int]) -> tuple[int, int, float, float, Counter]:
-        """Tokens, indexed ones, sums of base and model over what is indexed, and the other words, whose unigrams are still to be added."""
+        self.p = kept_share(counts, slope) * counts / n if n else np.zeros(0)
+        self.uni = np.log10(self.p)
+        self.n, self.kinds, self.slope, self.slope2, self.unknown = n, kinds, slope, -2.0, unknown
+        self.alpha = np.zeros(len(words))
+        self.keys, self.pair = np.empty(0, np.int64), np.empty(0)
+
+    def text(self, text: str | None, index: dict[bytes, int]) -> tuple[int, int, float, float, Counter, np.ndarray, list]:
+        """Tokens, indexed ones, sums of base and model over what is indexed, the other words, whose unigrams and alphas are still to be added, and the
+        pairs that are not broadcast, of indexed words and of others."""
         x = indexed(text, index, self.end)
         h, w = x[:-1], x[1:]
         known = w >= 0
         base = float(self.base[w[known]].sum())
         score = np.where(known, self.uni[np.where(known, w, 0)], 0.0) + np.where(h >= 0, self.alpha[np.where(h >= 0, h, 0)], 0.0) if len(self.words) else np.zeros(len(w))
-        both = np.flatnonzero(known & (h >= 0) & (w < self.wide) & (h < self.wide))
+        both = np.flatnonzero(known & (h >= 0))
+        hit = np.zeros(len(both), bool)
         if len(self.keys) and len(both):
             k = h[both] * self.wide + w[both]
             at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
@@ -143,11 +167,42 @@ class Model:
             score[both[hit]] = self.pair[at[hit]]
         words = words_of(text, lower=True)
         other = Counter(words[i] if i < len(words) else END for i in np.flatnonzero(~known))
-        return len(w), int(known.sum()), base, float(score.sum()), other
+        keys = pair_keys(x, self.wide)
+        return len(w), int(known.sum()), base, float(score.sum()), other, keys[both[~hit]], rare_pairs(text, x, keys) if self.words else []
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of all unigram counts."""
+def _found(df: DataFrame, word: str, table: DataFrame, value: str) -> DataFrame:
+    """df with a value of the table for its words; null where df has no word or the table lacks it. Rows without a word are kept out of the join."""
+    have = df.where(F.col(word).isNotNull()).join(table.select(F.col("word").alias(word), value), word, "left").select(*df.columns, value)
+    return have.unionByName(df.where(F.col(word).isNull()).withColumn(value, F.lit(None).cast(table.schema[value].dataType)))
+
+
+def annotated(bigrams: DataFrame, model: Model, unigrams: DataFrame) -> DataFrame:
+    """key, rare, c, h (id, or -1), hs (a history outside the index), q (share kept), p (unigram probability of the word)."""
+    sent = bigrams.sparkSession.sparkContext.broadcast((model.counts, model.p))
+
+    def run(batches):
+        counts, p = sent.value
+        wide = len(counts) + 1
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            h, w = key // wide - 1, key % wide - 1
+            names = [r.split(b"\n") if r else (None, None) for r in batch.column(1).to_pylist()]
+            hs = pa.array([a or None for a, _ in names], pa.binary())
+            ws = pa.array([b or None for _, b in names], pa.binary())
+            hc = pa.array(counts[np.maximum(h, 0)], pa.float64(), mask=h < 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h), hs, ws, hc, pa.array(p[np.maximum(w, 0)], pa.float64(), mask=w < 0)], ["key", "rare", "c", "h", "hs", "ws", "hc", "p"])
+
+    rows = bigrams.select("key", "rare", "c").mapInArrow(run, "key long, rare binary, c long, h long, hs binary, ws binary, hc double, p double")
+    rows = _found(_found(rows, "hs", unigrams.select("word", F.col("c").alias("h_count")), "h_count"), "ws", unigrams.select("word", F.col("c").alias("w_count")), "w_count")
+    share = lambda c, slope: F.pow(1 + 1 / c, F.lit(slope + 1)) * c
+    hc, p = F.coalesce("hc", F.col("h_count").cast("double")), F.coalesce("p", share(F.col("w_count").cast("double"), model.slope) / F.lit(float(model.n)))
+    return rows.select("key", "rare", "c", "h", "hs", (share(F.col("c").cast("double"), model.slope2) / hc).alias("q"), p.alias("p"))
+
+
+def gathered(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame | None, DataFrame | None]:
+    """The model; the table of all unigram counts; log alphas of histories outside the index (word, la); the kept pairs (key, rare, q, p, h, hs) that are not
+    broadcast. The last two are None without training rows."""
     spark = docs.sparkSession
     train = docs.where(crc_mod(F.col("doc_id"), 10) != 0)
     unigrams = materialise(word_counts(train), "katz-unigrams")
@@ -156,32 +211,52 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     slope = line(dict(map(tuple, unigrams.where(F.col("c") <= FITTED).groupBy("c").count().collect())))  # FITTED rows at most
     by_count = [(r[0], r[1]) for r in unigrams.groupBy("c").count().collect()] if n else []  # distinct counts: below sqrt(2 N)
     unknown = 1 - sum(float(kept_share(c, slope)) * c * k for c, k in by_count) / n if n else 1.0
-    cut1, cut2 = max(2, math.ceil(n / MOST_WORDS)), max(2, math.ceil(n / MOST_PAIRS))
+    cut1, cut2 = max(2, math.ceil(n / MOST_WORDS)), max(CUT, math.ceil(n / MOST_PAIRS))
     top = unigrams.where((F.col("c") >= cut1) | (F.length("word") == 0)).toArrow()
     found = sorted(zip(top["c"].to_pylist(), top["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
     words, counts = [w for _, w in found], np.array([c for c, _ in found], np.float64)
-    wide = int((counts >= cut2).sum())
-    end = words.index(END) if words else -1
-    if words and end >= wide:
-        words.insert(0, words.pop(end))
-        counts = np.insert(np.delete(counts, end), 0, counts[end])
-        wide, end = wide + 1, 0
-    keys, pairs, slope2 = np.empty(0, np.int64), np.empty(0), -2.0
-    if wide:
-        sent = spark.sparkContext.broadcast(words)
-        bigrams = materialise(pair_counts(train, sent, end, wide).where(F.col("c") >= cut2), "katz-bigrams")
-        slope2 = line(dict(map(tuple, bigrams.where(F.col("c") < cut2 + FITTED).groupBy("c").count().collect())))
-        kept = bigrams.toArrow()
-        order = np.argsort(kept["key"].to_numpy())
-        keys, pairs = kept["key"].to_numpy()[order], kept["c"].to_numpy()[order].astype(np.float64)
-    model = Model(words, counts, n, kinds, slope, keys, pairs, wide, slope2, unknown)
-    model.end = end
-    return model, unigrams
+    model = Model(words, counts, n, kinds, slope, unknown)
+    if not words:
+        return model, unigrams, None, None
+    bigrams = materialise(pair_counts(train, spark.sparkContext.broadcast(words), model.end).where(F.col("c") >= CUT), "katz-bigrams")
+    model.slope2 = line(dict(map(tuple, bigrams.where(F.col("c") < CUT + FITTED).groupBy("c").count().collect())))
+    pairs = materialise(annotated(bigrams, model, unigrams), "katz-pairs")
+    alpha = (1 - F.sum("q")) / (1 - F.sum("p"))
+    by_id = pairs.where("h >= 0").groupBy("h").agg(F.log10(alpha).alias("la")).toArrow()  # as many rows as indexed words at most
+    model.alpha[by_id["h"].to_numpy()] = by_id["la"].to_numpy()
+    by_word = pairs.where("h < 0").groupBy(F.col("hs").alias("word")).agg(F.log10(alpha).alias("la"))
+    near = (F.length("rare") == 0) & (F.col("c") >= cut2)
+    kept = pairs.where(near).select("key", "q").toArrow()
+    keys = kept["key"].to_numpy()
+    keys = (keys // (model.wide + 1) - 1) * model.wide + keys % (model.wide + 1) - 1
+    order = np.argsort(keys)
+    model.keys, model.pair = keys[order], np.log10(kept["q"].to_numpy()[order])
+    return model, unigrams, materialise(by_word, "katz-alphas"), pairs.where(~near)
+
+
+def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the table of all unigram counts."""
+    return gathered(docs)[:2]
+
+
+def gains(pairs: DataFrame, alphas: DataFrame, model: Model) -> DataFrame:
+    """key, rare, gain: log q - log p - log alpha(h) of pairs that are not broadcast."""
+    sent = pairs.sparkSession.sparkContext.broadcast(model.alpha)
+
+    def run(batches):
+        alpha = sent.value
+        for batch in batches:
+            h = batch.column(2).to_numpy()
+            la = np.where(h >= 0, alpha[np.maximum(h, 0)], batch.column(4).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(batch.column(3).to_numpy() - la, pa.float64())], ["key", "rare", "gain"])
+
+    rows = _found(pairs.select("key", "rare", "h", "hs", (F.log10("q") - F.log10("p")).alias("lq")), "hs", alphas, "la")
+    return rows.select("key", "rare", "h", "lq", F.coalesce("la", F.lit(0.0)).alias("la")).mapInArrow(run, "key long, rare binary, gain double")
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    model, unigrams = fit(docs)
+    model, unigrams, alphas, pairs = gathered(docs)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
@@ -193,21 +268,30 @@ def scored(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
                 got = [m.text(t, index) for t in part.column(2).to_pylist()]
-                starts = np.cumsum([0, *(len(g[4]) for g in got)]).astype(np.int32)
+                starts = lambda i: pa.array(np.cumsum([0, *(len(g[i]) for g in got)]).astype(np.int32))  # noqa: B023, E731
                 other = pa.StructArray.from_arrays([pa.array([w for g in got for w in g[4]], pa.binary()), pa.array([k for g in got for k in g[4].values()], pa.int64())], ["word", "tf"])
                 cols = [part.column(0), part.column(1), *(pa.array([g[i] for g in got], t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()), (3, pa.float64())))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(starts), other)], [*names, "other"])
+                rare = pa.StructArray.from_arrays([pa.array([k for g in got for k, _ in g[6]], pa.int64()), pa.array([r for g in got for _, r in g[6]], pa.binary())], ["key", "rare"])
+                lists = [(starts(4), other), (starts(5), pa.array(np.concatenate([g[5] for g in got]))), (starts(6), rare)]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.ListArray.from_arrays(*x) for x in lists)], [*names, "other", "pairs", "rare"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), "text")
-    rows = slim.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, other array<struct<word:binary,tf:long>>")
+    rows = slim.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, other array<struct<word:binary,tf:long>>, pairs array<long>, rare array<struct<key:long,rare:binary>>")
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "katz-rows")
-    words = rows.select("row", F.explode("other").alias("o")).select("row", "o.word", "o.tf").join(unigrams, "word", "left")
+    words = rows.select("row", F.explode("other").alias("o")).select("row", "o.word", "o.tf").join(unigrams.join(alphas, "word", "left") if alphas is not None else unigrams.withColumn("la", F.lit(None).cast("double")), "word", "left")
     c = F.coalesce("c", F.lit(0)).cast("double")
     share = F.pow(1 + 1 / c, F.lit(model.slope + 1)) * c / F.lit(float(model.n or 1))
     base = F.log10((c + 0.1) / F.lit(model.n + 0.1 * (model.kinds + 1)))
     uni = F.when(c > 0, F.log10(F.when(c > 0, share))).otherwise(math.log10(model.unknown))
-    sums = words.select("row", F.when(c > 0, F.col("tf")).otherwise(0).alias("k"), (F.col("tf") * base).alias("b"), (F.col("tf") * uni).alias("s")).groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
-    out = rows.drop("other").join(sums, "row", "left")
+    sums = words.select("row", F.when(c > 0, F.col("tf")).otherwise(0).alias("k"), (F.col("tf") * base).alias("b"), (F.col("tf") * (uni + F.coalesce("la", F.lit(0.0)))).alias("s"))
+    if pairs is not None:
+        gain = materialise(gains(pairs, alphas, model), "katz-gains")
+        near = rows.select("row", F.explode("pairs").alias("key")).join(gain.where(F.length("rare") == 0).select("key", "gain"), "key")
+        far = rows.select("row", F.explode("rare").alias("o")).select("row", "o.key", "o.rare").join(gain.where(F.length("rare") > 0), ["key", "rare"])
+        more_of = [x.select("row", F.lit(0).alias("k"), F.lit(0.0).alias("b"), F.col("gain").alias("s")) for x in (near, far)]
+        sums = sums.unionByName(more_of[0]).unionByName(more_of[1])
+    sums = sums.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
+    out = rows.drop("other", "pairs", "rare").join(sums, "row", "left")
     more = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", more("n_known", "k").cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), more("base_score", "b").alias("base_score"), more("score", "s").alias("score"))
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -222,3 +223,15 @@ def test_mixing(docs):
         assert all(abs(done[x] - a * t / 64) < 1 for x, a in share.items())
     assert op10_mix.interleaved(docs).count() == docs.count()
     assert op10_mix.mix(docs.limit(0)).count() == 0
+
+
+def test_mixing_keeps_given_weights():
+    """Deviation from the weights given, not from rounded ones, over a long schedule."""
+    weights = {"a": 0.7, "b": 0.2, "c": 0.0999, "d": 0.0001}
+    total, done = sum(map(Fraction, weights.values())), Counter()
+    blocks = {s: int(20000 * w) + 1 for s, w in weights.items()}
+    for s, _, _, _, slot in op10_mix.schedule(weights, blocks):
+        done[s] += 1
+        for x, w in weights.items():
+            assert done[x] == blocks[x] or abs(done[x] - Fraction(w) / total * (slot + 1)) < 1
+    assert done == blocks

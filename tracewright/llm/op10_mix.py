@@ -3,10 +3,9 @@
 A source's rows are cut into blocks of equal size. With weight w, its k-th block (from 1) is released at slot floor((k - 1) / w) and due at ceil(k / w).
 Earliest-deadline-first among released blocks then gives each slot to one source, and every source stays within one block of its share.
 
-Weights are rounded to whole slots of a period. At the end of a period all shares are met exactly, so one period's schedule, which depends on the weights
-alone, is worked out on the driver and repeated: block k of a source falls into slot period * ((k - 1) div a) + place[(k - 1) mod a], a being the
-source's slots in a period. Rows find their slot by arithmetic and a join with that table. A source whose blocks are spent leaves its slots empty; the
-others keep their proportions. All rows are placed once.
+Weights are used as exact fractions over the whole schedule. It depends on the weights and the numbers of blocks alone: the driver works it out, holding one
+block of each source at a time, and writes it to a table in chunks; rows find their slot by a join. A source whose blocks are spent leaves its slots empty;
+the others keep their proportions. All rows are placed once.
 
 Null source: a source of its own, named ''. Null doc_id: as any other. Repeated rows: each placed. Empty table: no rows.
 """
@@ -15,21 +14,26 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, ranked
+from .common import documents, materialise, ranked, scratch
 
 BLOCK = 64
 #: Target weights where none are given: shares of rows to this power, which lifts small sources.
 TEMPER = 0.5
-#: Slots of a period, for each source: the grain of weights.
-GRAIN = 64
+#: Blocks of the schedule that the driver holds at once.
+CHUNK = 1 << 17
 
 
 def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots for each source, at least one, that add up to the period (largest remainder)."""
+    """Whole slots for each source, at least one, that add up to the period (largest remainder): for schedules that must repeat. mix doesn't round."""
     total = sum(weights.values())
     exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
     got = {s: math.floor(x) for s, x in exact.items()}
@@ -38,23 +42,45 @@ def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
     return {s: n + 1 for s, n in got.items()}
 
 
-def schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, k from 0, release, deadline, slot) over one period of sum(slots) slots; every block runs within its window."""
-    period = sum(slots.values())
-    waiting = [((k * period) // a, -((-(k + 1) * period) // a), s, k) for s, a in slots.items() for k in range(a)]
-    waiting.sort()
+def schedule(weights: dict[str, float], blocks: dict[str, int] | None = None) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, k from 0, release, deadline, slot) of every block, in order of slot; each runs within its window. blocks: of each source; if None, whole
+    weights give one period."""
+    blocks = blocks or weights
+    total = sum(map(Fraction, weights.values()))
+    pace = {s: (r.numerator, r.denominator) for s, w in weights.items() for r in [total / Fraction(w)]}  # slots from block to block
+    window = lambda s, k: (k * pace[s][0] // pace[s][1], -(-(k + 1) * pace[s][0] // pace[s][1]))
+    waiting = [(0, window(s, 0)[1], s, 0) for s in weights if blocks[s] > 0]
+    heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
-    out, at = [], 0
-    for slot in range(period):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            release, due, s, k = waiting[at]
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, due, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (due, s, k, release))
-            at += 1
         due, s, k, release = heapq.heappop(ready)
         if not release <= slot < due:
             raise ArithmeticError(f"block {k} of {s} misses its window")
-        out.append((s, k, release, due, slot))
-    return out
+        yield s, k, release, due, slot
+        if k + 1 < blocks[s]:
+            heapq.heappush(waiting, (*window(s, k + 1), s, k + 1))
+        slot += 1
+
+
+def schedule_table(spark: SparkSession, weights: dict[str, float], counts: dict[str, int], block: int) -> DataFrame:
+    """source, block, release, deadline, slot, start (rows of all earlier slots)."""
+    path = f"{scratch(spark)}/mix-schedule-{uuid.uuid4().hex}"
+    names = ["source", "block", "release", "deadline", "slot", "start"]
+    at, plan = 0, schedule(weights, {s: -(-n // block) for s, n in counts.items()})
+    while chunk := list(islice(plan, CHUNK)):
+        starts = []
+        for s, k, *_ in chunk:
+            starts.append(at)
+            at += min(block, counts[s] - k * block)
+        columns = [*map(list, zip(*chunk, strict=True)), starts]
+        spark.createDataFrame(pa.table([pa.array(x, pa.int64() if i else pa.string()) for i, x in enumerate(columns)], names)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
@@ -72,31 +98,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     target = {s: (weights[s] if weights else n**TEMPER) for s, n in counts.items()}
     if min(target.values()) <= 0:
         raise ValueError("target weights must be above 0")
-    share = quotas(target, GRAIN * len(target))
-    period = sum(share.values())
-    table = spark.createDataFrame([(*x, share[x[0]]) for x in schedule(share)], "source string, k long, release0 long, deadline0 long, slot0 long, per_period long")
-    sizes = spark.createDataFrame(list(share.items()), "source string, per_period long")
-    numbered = ranked(rows, ["source"], ["doc_id", "tie"], "n")
-    blocks = numbered.join(F.broadcast(sizes), "source").withColumn("block", F.floor(F.col("n") / block)).withColumn("turn", F.floor(F.col("block") / F.col("per_period"))).withColumn("k", F.pmod("block", "per_period"))
-    placed = blocks.join(F.broadcast(table.drop("per_period")), ["source", "k"])
-    up = F.col("turn") * F.lit(period)
-    placed = placed.select("doc_id", "tie", "source", "block", (F.col("release0") + up).alias("release"), (F.col("deadline0") + up).alias("deadline"), (F.col("slot0") + up).alias("slot"), "turn", F.pmod("n", F.lit(block)).alias("in_block"))
-    placed = materialise(placed, "mix-placed")
-    in_slot = placed.groupBy("turn", "slot").agg(F.count(F.lit(1)).alias("rows"))  # a slot's rows are one block
-    in_turn = in_slot.groupBy("turn").agg(F.sum("rows").alias("rows"))
-    earlier = ranked_sum(in_turn)
-    within = Window.partitionBy("turn").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = in_slot.withColumn("before", F.coalesce(F.sum("rows").over(within), F.lit(0))).join(earlier, "turn").select("slot", (F.col("before") + F.col("turn_start")).alias("start"))
-    return placed.join(starts, "slot").select("doc_id", "tie", "source", "block", "release", "deadline", "slot", (F.col("start") + F.col("in_block")).cast("long").alias("position"))
-
-
-def ranked_sum(turns: DataFrame) -> DataFrame:
-    """Rows of all earlier turns, in two levels so that no task sees all turns: 1,024 turns at once, then whole thousands."""
-    block = F.floor(F.col("turn") / 1024)
-    sums = turns.groupBy(block.alias("b")).agg(F.sum("rows").alias("s"))
-    starts = sums.select("b", F.coalesce(F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"))
-    inner = F.coalesce(F.sum("rows").over(Window.partitionBy("b").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return turns.withColumn("b", block).withColumn("i", inner).join(starts, "b").select("turn", (F.col("i") + F.col("s")).alias("turn_start"))
+    table = schedule_table(spark, target, counts, block)
+    numbered = ranked(rows, ["source"], ["doc_id", "tie"], "n").withColumn("block", F.floor(F.col("n") / block))
+    return numbered.join(table, ["source", "block"]).select("doc_id", "tie", "source", "block", "release", "deadline", "slot", (F.col("start") + F.pmod("n", F.lit(block))).cast("long").alias("position"))
 
 
 def interleaved(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:

@@ -165,3 +165,11 @@ def three_segment_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem").where("l_quantity * 2 >= l_linenumber + 40").select("l_orderkey", "l_partkey", (F.col("l_quantity").cast("int") * 2).alias("a"), F.col("l_linenumber").alias("b")).distinct()
     q = A.three_quotas(F.col("a"), F.col("b"), F.lit(3), F.lit(100))
     return d.select("l_orderkey", "l_partkey", q["x0"].cast("long").alias("first_a"))
+
+
+@query()
+def three_segment_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three quotas over the whole table, with three segments of varying length; a brute-force test stands for SQL."""
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_quantity").cast("int") * 2).alias("a"), (F.col("l_linenumber") * 9).cast("int").alias("b"), F.pmod("l_partkey", F.lit(60)).cast("int").alias("c")).distinct()
+    q = A.three_quotas(F.col("a"), F.col("b"), F.col("c"), F.lit(100))
+    return d.select("*", *[q[f"x{i}"].cast("long").alias(f"quota_{x}") for i, x in enumerate("abc")])

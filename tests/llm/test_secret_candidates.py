@@ -1,0 +1,38 @@
+"""Secrets in places that a narrow candidate pattern would miss."""
+
+import base64
+
+from tracewright.llm import op8_secrets
+
+
+def b64(x, url=False):
+    return (base64.urlsafe_b64encode if url else base64.b64encode)(x).decode().rstrip("=")
+
+
+def kinds(text):
+    return [(text[s:e], k) for s, e, k in op8_secrets.confirmed_spans(text)]
+
+
+BODY = bytes([2, 1, 0, 4, 130, 0, 200]) + bytes((7 * i + 251) % 256 for i in range(200))
+KEY = bytes([0x30, 0x81, len(BODY) + 0]) + BODY
+
+
+def test_candidates():
+    assert op8_secrets.is_der(KEY)
+    for head in (b'{"alg":"HS256"}', b'{\n "alg":"HS256"}', b'\n{"alg":"HS256"}'):
+        token = f"{b64(head, True)}.{b64(b'{\"sub\":1}', True)}.{b64(b'signature', True)}"
+        assert kinds(f"the key is {token}. Next") == [(token, "jwt")] == kinds(f"({token})")
+        assert kinds(f"{token}.more") == []
+    plain, url = b64(KEY), b64(KEY, True)
+    assert plain != url
+    assert kinds(f"KEY={plain}") == [(plain, "der")]
+    assert kinds(f"the {url}, it") == [(url, "der")]
+    lines = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+    for cut in ("\n", "\r\n", "\n  ", "\\n"):
+        block = cut.join(lines)
+        assert kinds(f"key:{cut}{block}{cut}thanks{cut}a lot") == [(block, "der")]
+        pem = f"-----BEGIN PRIVATE KEY-----{cut}{block}{cut}-----END PRIVATE KEY-----"
+        assert (pem, "pem") in kinds(pem)
+    magic = b64(b"openssh-key-v1\0" + bytes(range(200)))
+    block = "\n".join(magic[i : i + 70] for i in range(0, len(magic), 70))
+    assert (block, "sshkey") in kinds(f"see\n{block}\n")

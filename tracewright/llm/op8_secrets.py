@@ -27,9 +27,14 @@ _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_.-])")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])")
+_JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})(?!\.?[A-Za-z0-9_-])")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])*)-----END \1-----")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])")
+_BASE64_URL = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,}={0,2}(?![A-Za-z0-9_=-])")
+#: Lines of a wrapped run: breaks may be escaped, as in JSON.
+_BREAK = r"(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n)"
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)+={{0,2}}")
+_LINE = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]+={0,2}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
 #: Names that open a public key's first string, and the magic of an OpenSSH private key.
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
@@ -89,7 +94,7 @@ def decoded(run: str, url: bool = False) -> bytes | None:
 
 def is_signed_token(head: str, body: str, signature: str) -> bool:
     data = decoded(head, url=True)
-    if not data or data[:1] != b"{" or decoded(body, url=True) is None or decoded(signature, url=True) is None:
+    if not data or data.lstrip()[:1] != b"{" or decoded(body, url=True) is None or decoded(signature, url=True) is None:
         return False
     try:
         header = json.loads(data)
@@ -104,6 +109,42 @@ def structured(data: bytes | None) -> str | None:
     return "der" if is_der(data) else "sshkey" if is_ssh(data) else None
 
 
+def decoded_any(run: str) -> bytes | None:
+    return decoded(run, url="-" in run or "_" in run)
+
+
+def wrapped_spans(text: str) -> list[tuple[int, int, str]]:
+    """Keys in lines without BEGIN and END. A first line's DER header gives the length; other keys end with their lines of one width and the next."""
+    found = []
+    for m in _WRAPPED.finditer(text):
+        lines = [(x.start(), x.end()) for x in _LINE.finditer(text, m.start(), m.end())]
+        i = 0
+        while i < len(lines):
+            s, e = lines[i]
+            head = decoded_any(text[s : s + 8]) if e - s >= 16 else None
+            ends = []
+            if head and head[0] == 0x30:
+                n = head[1] & 0x7F if head[1] & 0x80 else 0
+                size = 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]
+                j, chars = i, 0
+                while j < len(lines) and n <= 4 and chars < -(-size * 4 // 3):
+                    chars += len(text[slice(*lines[j])].rstrip("="))
+                    j += 1
+                ends = [j]
+            elif head and (head[:4] == _SSH_MAGIC[:4] or head[:3] == b"\0\0\0"):
+                j = i
+                while j < len(lines) and lines[j][1] - lines[j][0] == e - s:
+                    j += 1
+                ends = [min(j + 1, len(lines)), j]
+            for j in ends:
+                if j > i + 1 and (kind := structured(decoded_any("".join(text[slice(*x)] for x in lines[i:j])))):
+                    found.append((s, lines[j - 1][1], kind))
+                    i = j - 1
+                    break
+            i += 1
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, rank of the kind, span as kind:start:end), in order."""
     found = []
@@ -121,13 +162,18 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            if structured(decoded("".join(m[2].split()))):
+            if structured(decoded("".join(m[2].replace("\\n", " ").replace("\\r", " ").split()))):
                 found.append((m.start(), m.end(), "pem"))
-    if "eyJ" in text or "ey" in text and "." in text:
+    if text.count(".") > 1:
         found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[1], m[2], m[3])]
     for m in _BASE64.finditer(text):
         if kind := structured(decoded(m[0])):
             found.append((m.start(), m.end(), kind))
+    for m in _BASE64_URL.finditer(text):
+        if ("-" in m[0] or "_" in m[0]) and (kind := structured(decoded(m[0], url=True))):
+            found.append((m.start(), m.end(), kind))
+    if "\n" in text or "\\n" in text:
+        found += wrapped_spans(text)
     for m in _HEX_ANY.finditer(text):
         if kind := structured(bytes.fromhex(m[0])):
             found.append((m.start(), m.end(), kind))

@@ -3,8 +3,8 @@
 The field scores candidate segments by features of the whole span (shape, digit count, checksum, separators, neighbours), and dynamic programming over
 segments of bounded length picks the boundaries and kinds of a stretch of text jointly. Weights are the maximum-likelihood fit, by stochastic gradient
 over forward-backward marginals, to annotated sentences that a seeded generator writes (filler, entities in many notations, and look-alikes such as
-versions, dates and numbers with a wrong checksum); TRAIN sentences is the documented bound. Scores are only worked out near a digit run, an at-sign or its
-spelled forms: elsewhere no entity segment is admissible, so this loses nothing.
+versions, dates and numbers with a wrong checksum); TRAIN sentences is the documented bound. Scores are only worked out in windows that hold every
+admissible segment (one with four digits, an at-sign or the word at, in any case), so this loses nothing.
 
 Base spans stay; a segment of the field is added where it overlaps none of them.
 
@@ -32,7 +32,7 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"@|[\[(]\x20?at\x20?[\])]|\x20at\x20[\w.-]+\x20dot\x20|\+[0-9]|[0-9][0-9\x20.()/-]{5,}[0-9]")
+_MAY = re.compile(r"[@0-9]|[Aa][Tt]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 
 
@@ -233,27 +233,44 @@ def fit(seed: int = 7) -> dict[str, list[float]]:
     return {f: w for f, w in weights.items() if any(abs(x) > 1e-2 for x in w)}
 
 
+def windows(tokens: list[str]) -> list[tuple[int, int]]:
+    """Ranges of tokens that hold every admissible segment (see segments), apart from each other."""
+    n, ranges, digits = len(tokens), [], []
+    for j, t in enumerate(tokens):
+        if t[0] in "0123456789":
+            digits.append((j, len(t)))
+            total = 0
+            for i, length in reversed(digits):
+                if i <= j - LONGEST:
+                    break
+                total += length
+                if total >= 4:
+                    ranges.append((max(0, j - LONGEST + 1), min(n, i + LONGEST)))
+                    break
+        elif t == "@" or t.lower() == "at":
+            ranges.append((max(0, j - LONGEST + 1), min(n, j + LONGEST)))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def field_spans(text: str, weights: dict) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the field's entities over the whole text."""
-    windows: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - 60), min(len(text), m.end() + 60)
-        while a and not text[a - 1].isspace() and m.start() - a < 120:
-            a -= 1
-        while b < len(text) and not text[b].isspace() and b - m.end() < 120:
-            b += 1
-        if windows and a <= windows[-1][1]:
-            windows[-1][1] = max(b, windows[-1][1])
-        else:
-            windows.append([a, b])
+    if not _MAY.search(text):
+        return []
+    tokens, places = [], []
+    for m in _TOKEN.finditer(text):
+        tokens.append(m[0])
+        places.append(m.start())
+    places.append(len(text))
     out = []
-    for a, b in windows:
-        tokens, places = [], []
-        for m in _TOKEN.finditer(text, a, b):
-            tokens.append(m[0])
-            places.append(m.start())
-        places.append(b)
-        out += [(k, places[i], places[j]) for i, j, k in decode(tokens, weights)]
+    for a, b in windows(tokens):
+        a = max(0, a - 1)  # neighbours are features
+        out += [(k, places[a + i], places[a + j]) for i, j, k in decode(tokens[a : b + 1], weights)]
     return out
 
 
@@ -262,7 +279,7 @@ def find(text: str | None, weights: dict) -> tuple[list[tuple[int, int, int]], l
     text = text or ""
     base = base_spans(text)
     taken = [(s, e) for _, s, e in base]
-    added = [x for x in field_spans(text, weights) if not any(x[1] < e and s < x[2] for s, e in taken)] if _TRIGGER.search(text) else []
+    added = [x for x in field_spans(text, weights) if not any(x[1] < e and s < x[2] for s, e in taken)]
     return base, sorted([*base, *added])
 
 

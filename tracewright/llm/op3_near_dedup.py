@@ -1,21 +1,23 @@
 """Near-duplicate groups by bottom-k sketches of one hash function.
 
-Each document's shingles are hashed once; its sketch is the k least hashes. Documents with equal shingle sets are one class from the start.
- 1. Inverted lists of retained values. Two sets with similarity t share, but for about one pair in 10**8 at t itself, at least `need` of their k least
-    values. So a class only needs to stand in the lists of its k - need + 1 rarest values (a prefix filter, values ordered by list length), and a class
-    of which fewer than `need` values occur elsewhere stands in none.
+Each document's shingles are hashed once; its sketch is the least hashes of its set. Documents with equal shingle sets are one class from the start.
+ 1. Inverted lists of retained values. A set of n keeps its n - ceil(t n) + m(n) least hashes (all, if it has no more), t being the threshold: linked sets
+    then share at least m of the smaller size of them (or all that they share), whatever the hashes. So a class only needs to stand in the lists of all but so many
+    (less one) of its retained values, the most frequent left out, and a class of which fewer values occur elsewhere stands in none. No link is lost.
  2. Shingles that no other such class has are counted for each class, which bounds intersections exactly.
     Long lists are not paired off. The most central member of each list (whose retained values stand in the longest lists) is compared with the others
-    on full sets (a star); links merge components, and a list whose members are all of one component is done. In the lists still split, members are
-    described by how they differ from what most of them share, and two of different components are compared only if enough of their differences can
-    agree (beyond_star). So no link between components is lost, and a group of n copies that resemble their centre costs about n comparisons.
- 3. The union sketch (k least values of both) estimates the similarity and drops pairs far below the threshold.
+    (a star); links merge components, and a list whose members are all of one component is done. The lists still split are gathered by the component of
+    their head; members are described by how they differ from what most of them share, and two of different components are compared only if enough of
+    their differences can agree (beyond_star). So a group of n copies that resemble their centre costs about n comparisons.
+ 3. The union sketch drops pairs: up to the lesser of the two largest retained values both sets are known, and what is shared beyond can't exceed the rest
+    of the smaller one. A bound is taken, not the mean, so that no link is lost.
  4. Full sets confirm each link, exactly, in integers.
  5. Components by least-label propagation with pointer jumping, on tables.
 
 Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Fewer words than a shingle has: the whole sequence is the one shingle. No words or null text: an empty
 set, linked with nothing, and kept. Null doc_id: linked like others; component_id is the least doc_id of the component, null if it has none, and such a
-document is kept only then. Repeated rows: of one class, the same result for each. Empty table: no rows.
+document is kept only then. Repeated rows: of one class, the same result for each. Very long texts: whole, with a sketch in proportion. Ties: none matter,
+as components don't depend on order. Extra columns, whatever their names: not read; deduplicated keeps them. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_columns, materialise, small_batches, words_of
+from .common import documents, free_name, map_columns, materialise, small_batches, words_of
 
-K = 64
-#: Standard deviations of the shared count that separate `need` from its mean at the threshold.
-MARGIN = 6.5
+#: Linked sets share so many retained values at least (if they have as many), or this share of the smaller set: more of them make longer sketches, but
+#: fewer classes in the lists.
+SHARED, SHARE_OF = 16, 0.15
 _WORDS_KEPT = 200_000
 _U = np.uint64
 
@@ -69,26 +71,32 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(x.view(np.int64))
 
 
-def need(k: int, num: int, den: int) -> int:
-    """Values that two sketches of k share, but for a tail of MARGIN deviations, if the similarity is num / den."""
-    t = num / den
-    return max(1, math.floor(k * t - MARGIN * math.sqrt(k * t * (1 - t))))
+def shared_values(n: int) -> int:
+    """Retained values that a set of n shares with a linked set that isn't smaller."""
+    return max(SHARED, math.ceil(SHARE_OF * n))
 
 
-def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int]:
-    """Values of the union sketch, and those of them that both hold."""
-    both, count = np.unique(np.concatenate([a, b]), return_counts=True)
-    return len(both[:k]), int((count[:k] > 1).sum())
+def kept_values(n: int, num: int, den: int) -> int:
+    """Length of the sketch of a set of n."""
+    return min(n, n - -(-n * num // den) + shared_values(n))
 
 
-def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
+def union_bound(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
+    """Most values that two sets of n and m can share, by their sketches (all values up to the last one kept; a sketch as long as its set is the set)."""
+    last_a = np.iinfo(np.int64).max if len(a) == n else a[-1]
+    last_b = np.iinfo(np.int64).max if len(b) == m else b[-1]
+    a, b = a[a <= min(last_a, last_b)], b[b <= min(last_a, last_b)]
+    return len(np.intersect1d(a, b, assume_unique=True)) + min(n - len(a), m - len(b))
+
+
+def sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, cid (class of equal sets), sketch."""
 
     def make():
         def step(c):
             sets = [shingle_set(t, width) for t in c["text"]]
             cid = [int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True) for s in sets]
-            return {"doc_id": c["doc_id"], "text_hash": c["text_hash"], "n_shingles": [len(s) for s in sets], "cid": cid, "sketch": [s[:k] for s in sets]}
+            return {"doc_id": c["doc_id"], "text_hash": c["text_hash"], "n_shingles": [len(s) for s in sets], "cid": cid, "sketch": [s[: kept_values(len(s), num, den)] for s in sets]}
 
         return step
 
@@ -100,26 +108,22 @@ def _least_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose union sketch doesn't rule the threshold out."""
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("sketch").alias(f"s{x}"))
+def estimated(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that the union sketch doesn't rule out."""
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
     def make():
-        least = need(k, num, den)
-
         def step(c):
             out = {"a": [], "b": []}
-            for a, b, x, y in zip(c["a"], c["b"], c["sa"], c["sb"], strict=True):
-                size, shared = union_estimate(np.array(x, np.int64), np.array(y, np.int64), k)
-                # a union sketch of fewer than k values is the whole union, and exact
-                if den * shared >= num * size if size < k else shared >= least:
+            for a, b, x, y, n, m in zip(c["a"], c["b"], c["sa"], c["sb"], c["na"], c["nb"], strict=True):
+                if (num + den) * union_bound(np.array(x, np.int64), np.array(y, np.int64), n, m) >= num * (n + m):
                     out["a"].append(a)
                     out["b"].append(b)
             return out
 
         return step
 
-    return map_columns(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb"), "a long, b long", make)
+    return map_columns(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb"), "a long, b long", make)
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -223,26 +227,26 @@ def beyond_star(members: DataFrame, texts: DataFrame, links: DataFrame, width: i
     Let `far` be a member's distance (size of the symmetric difference) from any fixed set C, here the consensus of the members. Two sets are linked if
     their distance is at most h * (n + n2), h = (den - num) / (den + num), and it is far + far2 - 2 * (marks in common). With x = far - h * n they are
     linked just if they have (x + x2) / 2 marks in common. So
-     - where x + x2 <= 0 they are linked. Both are then linked to the member of least x, which is linked to all it can be so.
+     - where x + x2 <= 0 they are linked. Both are then linked to the member of least x, which is linked to all it can be so; full sets confirm these.
      - otherwise some of their marks must agree, and a prefix filter over marks finds them: a member looks among its rarest marks only, the fewer the
-       larger x + x2 is. The farther of two looks for nearer ones level by level of x; the nearer is found at its own level.
+       larger x + x2 is. The farther of two looks for nearer ones level by level of x, which doubles from level to level; the nearer is found at its own.
     x is kept as an integer: x * (den + num)."""
     x = F.lit(num + den) * F.col("far") - F.lit(den - num) * F.col("n")
     near = differences(members, texts, width, consensus(members, texts, width)).withColumn("x", x)
     near = materialise(near, "dedup-marks")
     centre = near.groupBy("head").agg(F.min(F.struct("x", "cid")).alias("c")).select("head", F.col("c.x").alias("cx"), F.col("c.cid").alias("centre"))
     sure = near.join(centre, "head").where((F.col("x") + F.col("cx") <= 0) & (F.col("cid") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
-    sure = materialise(sure, "dedup-sure")
+    sure = materialise(overlaps(sure, texts, width).where(F.lit(den) * F.col("shared") >= F.lit(num) * F.col("union")).select("a", "b"), "dedup-sure")
     comps = components(links.union(sure))
     near = near.drop("comp").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
     unit = 2 * (num + den)
     marks = near.select("head", "cid", F.explode("marks").alias("r"))
-    often = marks.groupBy("head", "r").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    often = materialise(marks.groupBy("head", "r").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "dedup-often")
     by_member = Window.partitionBy("head", "cid")
     marks = marks.join(often, ["head", "r"]).withColumns({"most": F.count(F.lit(1)).over(by_member), "rank": F.row_number().over(by_member.orderBy("df", "r"))})
     marks = materialise(marks.select("head", "cid", "r", "most", "rank"), "dedup-ranked")
-    level = F.signum("x") * F.floor(F.log(F.lit(1) + F.abs("x") / unit) * 6)
+    level = F.signum("x") * F.floor(F.log2(F.lit(1) + F.abs("x") / unit))
     own = near.select("head", "cid", "x", "comp", level.cast("int").alias("level")).join(marks.where("rank = 1").select("head", "cid", "most"), ["head", "cid"])
     levels = own.groupBy("head", "level").agg(F.min("x").alias("lo"), F.min("comp").alias("first"), F.max("comp").alias("last"))
     agreed = lambda total: F.greatest(F.lit(1), F.ceil(total / unit))
@@ -256,49 +260,52 @@ def beyond_star(members: DataFrame, texts: DataFrame, links: DataFrame, width: i
     return sure, pairs.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, k: int = K) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept."""
-    rows = materialise(sketches(docs, width, k), "dedup-rows")
+    rows = materialise(sketches(docs, width, num, den), "dedup-rows")
     some = rows.where("n_shingles > 0")
     classes = some.groupBy("cid").agg(F.min(F.struct(_least_id().alias("did"), "text_hash")).alias("rep"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialise(classes, "dedup-classes")
 
-    # Inverted lists of retained values, and each class's rarest values.
+    # Inverted lists of retained values, and each class's rarest values. Counts are written, so that a crowded list is split like any skewed join.
     values = classes.select("cid", "n", F.explode("sketch").alias("v"))
-    often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    least = need(k, num, den)
-    wanted = F.least(F.lit(least), F.ceil(F.col("n") * num / den))  # shared values of a linked pair
+    often = materialise(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "dedup-often")
+    least = F.ceil(F.col("n") * num / den)  # size of the smallest set that can be linked, and of what they share
+    wanted = F.least(least, F.greatest(F.lit(SHARED), F.ceil(F.lit(SHARE_OF) * least)))
     by_class = Window.partitionBy("cid")
     listed = values.join(often, "v").withColumns({"shared": F.count(F.lit(1)).over(by_class), "central": F.sum("df").over(by_class)}).withColumn("rank", F.row_number().over(by_class.orderBy("df", "v")))
     listed = listed.where(F.col("rank") <= F.col("shared") - wanted + 1).select("v", "cid", "n", "central")
     listed = materialise(listed, "dedup-lists")
     involved = classes.join(listed.select("cid").distinct(), "cid", "left_semi")
-    involved = materialise(involved.select("cid", "rep.did", "rep.text_hash", "sketch"), "dedup-involved")
+    involved = materialise(involved.select("cid", "n", "rep.did", "rep.text_hash", "sketch"), "dedup-involved")
     texts = docs.select(_least_id().alias("did"), F.xxhash64("text").alias("text_hash"), "text").join(involved.select("cid", "did", "text_hash"), ["did", "text_hash"])
     texts = materialise(texts.dropDuplicates(["did", "text_hash"]).select("cid", "text"), "dedup-texts")
 
     owned = full_sets(texts, width).select("cid", F.explode("shingles").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("cid")).where("c = 1")
     owned = owned.groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
-    listed = listed.join(owned, "cid", "left").withColumn("rest", F.col("n") - F.coalesce("own", F.lit(0)))
-    listed = materialise(listed.where(F.lit(den) * F.col("rest") >= F.lit(num) * F.col("n")).select("v", "cid", "n", "rest", "central", F.col("cid").alias("comp")), "dedup-rare")
+    rest = involved.select("cid", "n").join(owned, "cid", "left").select("cid", (F.col("n") - F.coalesce("own", F.lit(0))).alias("rest"))
+    listed = listed.join(rest, "cid").where(F.lit(den) * F.col("rest") >= F.lit(num) * F.col("n"))
+    listed = materialise(listed.select("v", "cid", "n", "central"), "dedup-rare")
 
     confirmed = F.lit(den) * F.col("shared") >= F.lit(num) * F.col("union")
     heads = listed.groupBy("v").agg(F.max(F.struct("central", "cid")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("v", F.col("l.cid").alias("head"))
-    members = materialise(listed.join(heads, "v"), "dedup-members")
+    members = materialise(listed.join(materialise(heads, "dedup-heads"), "v"), "dedup-members")
     star = members.where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
-    star = materialise(overlaps(star, texts, width), "dedup-star")
-    links = star.where(confirmed).select("a", "b")
+    star = materialise(estimated(star, involved, num, den), "dedup-star")
+    links = materialise(overlaps(star, texts, width).where(confirmed).select("a", "b"), "dedup-links")
     comps = components(links)
 
-    # Only members of lists that are still split go on, each once for a head.
-    members = members.join(star.select(F.col("a").alias("head"), F.col("b").alias("cid"), "shared"), ["head", "cid"]).drop("comp")
-    members = members.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    split = members.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
-    members = materialise(members.join(split, "v", "left_semi").select("head", "cid", "n", "comp").distinct(), "dedup-members")
+    # Only members of lists that are still split go on, each once for the component of a head; the most central of them stands for that.
+    named = comps.withColumnRenamed("node", "cid")
+    members = members.join(named, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    split = members.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("cid") == F.col("head"), F.col("comp"))).alias("group")).where("lo < hi").select("v", "group")
+    members = materialise(members.join(materialise(split, "dedup-split"), "v").select("group", "cid", "n", "central", "comp").distinct(), "dedup-members")
+    lead = members.groupBy("group").agg(F.max(F.struct("central", "cid")).alias("l")).select("group", F.col("l.cid").alias("head"))
+    members = materialise(members.join(lead, "group").select("head", "cid", "n", "comp").distinct(), "dedup-members")
     sure, pairs = beyond_star(members, texts, links, width, num, den)
     links = links.union(sure)
-    close = materialise(estimated(pairs, involved, k, num, den), "dedup-close")
-    more = materialise(overlaps(close, texts, width).where(confirmed).select("a", "b"), "dedup-links")
+    close = materialise(estimated(pairs, involved, num, den), "dedup-close")
+    more = materialise(overlaps(close, texts, width).where(confirmed).select("a", "b"), "dedup-more")
     comps = components(links.union(more))
 
     named = classes.select("cid", "least").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -311,10 +318,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """documents with one of each group; repeated rows of the kept document go too."""
-    kept = near_duplicates(docs, **how).where("kept").select(_least_id().alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    named = docs.withColumns({"__id": _least_id(), "__hash": F.xxhash64("text")})
-    return named.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+    """docs, with all their columns, but one row of each group; repeated rows of the kept document go too."""
+    i, h = free_name(docs, "id"), free_name(docs, "hash")
+    kept = near_duplicates(docs, **how).where("kept").select(_least_id().alias(i), F.col("text_hash").alias(h)).distinct()
+    named = docs.withColumns({i: _least_id(), h: F.xxhash64("text")})
+    return named.join(kept, [i, h], "left_semi").dropDuplicates([i, h]).select(docs.columns)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

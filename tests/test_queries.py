@@ -1,6 +1,7 @@
 """Queries against their SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tracewright import catalog
@@ -19,7 +20,7 @@ def db():
 
 def rows(df):
     df = df[sorted(df.columns)].astype(object)
-    show = lambda x: "~" if x is None or x != x else f"{float(x):.6f}" if isinstance(x, int | float) and not isinstance(x, bool) else str(x)
+    show = lambda x: "~" if x is None or x is pd.NA or x != x else f"{float(x):.6f}" if isinstance(x, int | float) and not isinstance(x, bool) else str(x)
     return sorted(tuple(show(x.item() if hasattr(x, "item") else x) for x in r) for r in df.itertuples(index=False))
 
 

@@ -28,10 +28,30 @@ def test_quotas(spark):
     assert one(spark, q["x0"], q["x1"], q["x2"]) == (35, 10, 5)
 
 
+def test_text_rules(spark):
+    s = lambda x: F.lit(x)
+    assert one(spark, X.first_think_or_all(s("a <THINK> x\n</think> b")), X.first_think_or_all(s(" no "))) == ("x", " no ")
+    assert one(spark, X.without_think(s("a <Think>x</Think> b")), X.visible_or_all(s("pre < think >a</ think > rest")), X.visible_or_all(s(" pre "))) == ("a  b", "rest", "pre")
+    assert one(spark, X.stripped_bodies(s("<think> a </think><THINK>b</THINK>"))) == (["a", "b"],)
+    assert one(spark, X.masked(s("y = 7"), s(r"\boxed{7}")), X.masked(s("a ≈ -7"), s("-7")), X.masked(s(r"so \boxed{ 7 }"), s("7")), X.masked(s("x=7a"), s("7"))) == (f"y = {X.MASK}", f"a ≈ {X.MASK}", f"so {X.MASK}", f"x= {X.MASK}a")
+    assert one(spark, X.answer_norm(s(r" (\text{cm}1\; 2\,3\left) ")), X.answer_norm(F.lit(None).cast("string")), X.answer_norm(s("()"))) == ("123", "", "")
+    assert one(spark, X.final_answer_general(s("<think>q</think>\nFinal answer: 4\n5")), X.final_answer_general(s("a\n答案：6")), X.final_answer_general(s("a\nb "))) == ("4\n5", "6", "b")
+    assert one(spark, X.collapsed(s(" a \n b\t")), X.units(s("...")), X.units(s("")), X.units(s("a. b"))) == ("a b", ["..."], [], ["a", "b"])
+    assert one(spark, X.equal_chunks(s("abcdef"), 1), X.equal_chunks(s(""), 3), X.equal_chunks(s("   "), 3), X.equal_chunks(s("abcdef"), 3)) == (["abcdef"], [], ["   "], ["ab", "cd", "ef"])
+    assert one(spark, X.role(s("assume x is odd")), X.role(s("lets go")), X.role(s("hmm plug   in")), X.role(s("we denote")), X.role(s("a-b"))) == ("plan", "plan", "substitute", "introduce", "derive")
+    assert one(spark, A.weights_to_length(F.array(F.lit(1.0), F.lit(3.0)), s(1)), A.weights_to_length(F.array(F.lit(0.0)), s(1)), A.weights_to_length(F.array(F.lit(2.0)), s(0))) == ([1.0], [1.0], [])
+    assert one(spark, A.masked_mean(F.array(F.array(F.lit(1.0)), F.array(F.lit(3.0))), F.array(F.lit(0), F.lit(1)))) == ([3.0],)
+
+
 def test_sentences():
-    assert G.sentences("Ok. We add. Then $$a. b$$ holds. End") == ["Ok. We add.", "Then $$a. b$$ holds.", "End"]
-    assert G.sentences("1. First. Second", "v2") == ["First. Second"] or G.sentences("1. First. Second", "v2") == ["First.", "Second"]
-    assert G.sentences("") == [] and G.sentences("- a b c. d e f g.") == ["- a b c. d e f g."]
+    text = lambda t, v="v1": [x for _, _, x in G.sentences(t, v)]
+    assert text("Ok. We add. Then $$a. b$$ holds. End") == ["Ok. We add.", "Then $$a. b$$ holds.", "End"]
+    assert text("1. First. Second one", "v2") == ["First. Second one"] or text("1. First. Second one", "v2") == ["First.", "Second one"]
+    assert text("") == [] and text(None) == [] and text("- a b c. d e f g.") == ["a b c. d e f g."]
+    assert text("$$a$$\nnext line here") == ["$$a$$ next line here"]  # the restored block is short, its placeholder isn't
+    assert text("ﬁne words here.") == ["fine words here."] and text("ﬁne words here.", "v3") == ["ﬁne words here."]
+    found = G.sentences("Hmmm. One two three. Four five six!\n\n\nSeven eight")
+    assert found == [(0, 20, "Hmmm. One two three."), (21, 35, "Four five six!"), (37, 48, "Seven eight")]
 
 
 def test_macros():
@@ -39,6 +59,39 @@ def test_macros():
     assert G.spans(parts) == [(0, 1), (1, 3), (3, 7), (7, 8)]
     steps = [G.macro([f"word {i} here"], 0, 1, i, 40) for i in range(40)]
     assert len(G.compressed(steps, 26)) == 26
+    walls = [G.macro([f"the answer is {i} here"], 0, 1, i, 40) for i in range(40)]
+    assert len(G.compressed(walls, 26)) == 40
+    done = G.finished(G.compressed([G.macro([r"so \boxed{4}"], 0, 1, 0, 1)]), r"\boxed{4}")[0]
+    assert (done["role"], done["is_conclusion"], done["support_hint"], done["contains_boxed"], done["weak_conclude"]) == ("conclude", True, 1, 1, None)
+    assert G.compressed([G.macro(["thus it holds"], 0, 1, 0, 1)])[0]["weak_conclude"] == 1
+    assert G.candidates([{"mid": 1, "cheap_score": 0.1}, {"mid": 2, "cheap_score": 0.3}, {"mid": 3, "cheap_score": 0.3}], 2) == [2, 3]
+
+
+def naive(steps, most):
+    """Merging by looking at every pair each time."""
+    steps = [G.concluded(x) | {"rel_pos": round(i / len(steps), 3)} for i, x in enumerate(steps, 1)]
+    while len(steps) > most:
+        costs = [float("inf") if G.wall(a, b) else G.cost(a, b) for a, b in zip(steps, steps[1:], strict=False)]
+        if not costs or min(costs) == float("inf"):
+            break
+        i = costs.index(min(costs))
+        steps[i : i + 2] = [G.joined(steps[i], steps[i + 1])]
+    return [x["text"] for x in steps]
+
+
+def test_merging_against_all_pairs():
+    import random
+
+    rng = random.Random(2)
+    words = ["we plan", "x = 1", "check it", "let y be", "so now", "the answer is", "compute", "because", "thus", "long " * 20]
+    for n in (0, 1, 27, 60, 130):
+        parts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+        steps = [G.macro(parts, i, i + 1, i, n) for i in range(n)]
+        expect = naive(steps, 26)
+        if len(expect) <= 26:
+            assert [x["text"] for x in G.compressed(steps, 26)] == expect
+    plain = [G.macro([rng.choice(words[1:2] + words[6:8] + words[9:]) + f" {i}"], 0, 1, i, 200) for i in range(200)]
+    assert [x["text"] for x in G.compressed(plain, 26)] == naive(plain, 26)
 
 
 def test_budget_and_scorer(spark):

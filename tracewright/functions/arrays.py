@@ -11,10 +11,6 @@ def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
     return F.when(n == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)).cast("double") / n)
 
 
-def drop_one(steps: Column, k: Column) -> Column:
-    return F.filter(steps, lambda x, i: i != k)
-
-
 def weights_to_length(w: Column, n: Column) -> Column:
     """Padded with 1e-8 or cut to n, then scaled to sum 1; uniform where the sum isn't positive."""
     w = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.coalesce(F.get(w, i - 1), F.lit(1e-8)))
@@ -68,7 +64,7 @@ def mean_finite(x: Column) -> Column:
     return F.when(F.size(ok) > 0, F.aggregate(ok, F.lit(0.0), lambda a, v: a + v) / F.size(ok)).otherwise(F.lit(float("nan")))
 
 
-def head_tail_steps(steps: Column, sizes: Column, budget: int) -> Column:
+def head_tail_steps(steps: Column, sizes: Column, budget: int | Column) -> Column:
     """Struct kept, n_head, n_tail: leading steps while they fit the budget, then trailing ones in what is left. sizes: array<long>, one for each step."""
 
     def fitting(a: Column, room: Column) -> Column:
@@ -80,8 +76,9 @@ def head_tail_steps(steps: Column, sizes: Column, budget: int) -> Column:
 
         return F.aggregate(a, start, add)
 
-    head = fitting(sizes, F.lit(budget).cast("long"))
+    budget = F.lit(budget) if isinstance(budget, int) else budget
+    head = fitting(sizes, budget.cast("long"))
     rest = F.reverse(F.slice(sizes, head["n"] + 1, F.size(sizes)))
-    tail = fitting(rest, F.lit(budget) - head["used"])
+    tail = fitting(rest, budget.cast("long") - head["used"])
     kept = F.concat(F.slice(steps, F.lit(1), head["n"]), F.slice(steps, F.size(steps) - tail["n"] + 1, tail["n"]))
     return F.struct(kept.alias("kept"), head["n"].alias("n_head"), tail["n"].alias("n_tail"))

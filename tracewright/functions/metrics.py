@@ -31,3 +31,11 @@ def losses(df: DataFrame, y: str, p: str, delta: float = 0.1, share: float = 0.2
     q = F.least(rel, F.lit(delta))
     out = df.agg(F.avg(0.5 * q * q + delta * (rel - q)).alias("huber"), (F.abs(F.sum(b - a)) / F.greatest(F.sum(F.abs(a)), F.lit(1e-6))).alias("bias"))
     return out.withColumn("total", F.col("huber") + share * F.col("bias"))
+
+
+def described(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """count, mean, std (sample), min, quartiles (interpolated), max of a column's values that aren't null, within keys."""
+    x = F.col(value).cast("double")
+    q = {f"q{int(100 * p)}": F.percentile(x, F.lit(p)) for p in (0.25, 0.5, 0.75)}
+    cols = {"n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "low": F.min(x), **q, "high": F.max(x)}
+    return df.groupBy(*(keys or [])).agg(*[c.alias(n) for n, c in cols.items()])

@@ -10,11 +10,26 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
+def grouped(df: DataFrame, keys: list[str], order: str, variant: str = "variant", base: str = "last") -> DataFrame:
+    """One row for each key and variant: of repeated steps the last in the order, of repeated base rows the last or the first."""
+    rank = F.struct(F.col(order), F.xxhash64(*[F.col(c) for c in df.columns]))
+    pick = F.when(F.col(variant) == "base", F.lit(base == "first")).otherwise(F.lit(False))
+    row = F.struct(*df.columns)
+    best = df.groupBy(*keys, variant).agg(F.when(F.first(pick), F.min_by(row, rank)).otherwise(F.max_by(row, rank)).alias("__row"))
+    return best.select("__row.*")
+
+
 def base_value(keys: list[str], variant: str, value: str) -> Column:
     """The base row's value, beside every row of its key."""
     return F.max(F.when(F.col(variant) == "base", F.col(value))).over(Window.partitionBy(*keys))
 
 
+def dense(df: DataFrame, keys: list[str], step: str, value: str, out: str = "vector") -> DataFrame:
+    """keys and the values of steps 0 to the largest, 0 for steps that are missing."""
+    at = df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(step).cast("int").alias("k"), F.col(value).alias("v")))).alias("__m"), F.max(F.col(step).cast("int")).alias("__n"))
+    return at.select(*keys, F.transform(F.sequence(F.lit(0), F.col("__n")), lambda i: F.coalesce(F.try_element_at(F.col("__m"), i), F.lit(0.0))).alias(out))
+
+
 def logp_importance(df: DataFrame, keys: list[str], variant: str = "variant", value: str = "avg_logp") -> DataFrame:
     """raw_delta (base less drop) and importance (not below 0; 0 for what isn't finite) of each drop row. One shuffle, by key."""
     base = base_value(keys, variant, value)

@@ -27,6 +27,24 @@ def fallback_join(records: DataFrame, build: DataFrame, row: str, candidates: li
     return records.join(best, row, "left")
 
 
+def presence_key(record: Column) -> Column:
+    """Struct kind, key of a record (a map of its keys): the first kind whose keys it has, null or not; else the hash of prompt or question."""
+    has = lambda *names: F.lit(True) if not names else F.map_contains_key(record, F.lit(names[0])) & has(*names[1:])
+    of = lambda n: F.coalesce(F.try_element_at(record, F.lit(n)), F.lit("None"))
+    out = F.when(F.lit(False), F.struct(F.lit("").alias("kind"), F.lit("").alias("key")))
+    for kind, names in (("uuid+gen", ("uuid", "gen_index")), ("sid+gen", ("sample_id", "gen_index")), ("id", ("id",)), ("qid", ("qid",)), ("uuid", ("uuid",)), ("sid", ("sample_id",))):
+        out = out.when(has(*names), F.struct(F.lit(kind).alias("kind"), F.concat_ws("\x1f", *map(of, names)).alias("key")))
+    prompt = F.when(has("prompt"), F.try_element_at(record, F.lit("prompt"))).otherwise(F.try_element_at(record, F.lit("question")))
+    return out.otherwise(F.struct(F.lit("hash").alias("kind"), F.md5(F.coalesce(prompt, F.lit(""))).alias("key")))
+
+
+def attached(records: DataFrame, summaries: DataFrame, key: str, value: str, order: list[Column]) -> DataFrame:
+    """records with the summary of the same key (a struct as presence_key gives), null if there is none; the first summary in the order wins. Blank ones
+    don't count."""
+    table = one_per_key(summaries.where(F.trim(F.coalesce(F.col(value), F.lit(""))) != ""), [key], order).select(key, value)
+    return records.join(table, key, "left")
+
+
 def record_key(uuid: Column, sample_id: Column, ident: Column, qid: Column, prompt: Column) -> Column:
     """First identifier that is neither null nor empty, with its kind; else the hash of the prompt."""
     named = [F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{n}:"), c.cast("string"))) for n, c in (("uuid", uuid), ("sample_id", sample_id), ("id", ident), ("qid", qid))]

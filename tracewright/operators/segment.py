@@ -1,28 +1,38 @@
-"""Segmentation of traces into sentences and macro steps. Rules run in order and consume what follows, so a trace is one row of an Arrow map."""
+"""Segmentation of traces into sentences and macro steps. Rules run in order and consume what follows, so a trace is one row of an Arrow map; one row comes
+in and one goes out, and sentences and steps are exploded by Spark."""
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import text as X
+from ..sources.io import spread
 
-_BULLET = re.compile(r"^\s*(?:\d+[.)]|[-*•])\s+")
-_END = re.compile(r"(?<=[.!?])\s+")
-_LATEX = re.compile(r"(\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\))", re.S)
-_P = lambda p: re.compile(p.replace(r"\x{2265}", "≥").replace(r"\x{2264}", "≤"))
-_META, _EQ, _SYM, _CHECK, _CONT, _END_OF = map(_P, (X.META, X.EQUATION, X.SYMBOLIC, X.VERIFY, X.CONTINUATION, X.CONCLUDE))
-_ROLES = [(n, _P(p)) for n, p in X.ROLES]
-#: A shorter sentence joins the next one.
+_BULLET, _END, _LATEX = map(re.compile, (X.BULLET, X.SENTENCE_END, X.LATEX_BLOCK))
+_META, _EQ, _SYM, _CHECK, _CONT, _CONCLUDE = map(re.compile, (X.META, X.EQUATION, X.SYMBOLIC, X.VERIFY, X.CONTINUATION, X.CONCLUDE))
+_ROLES = [(name, re.compile(pattern)) for name, pattern in X.ROLES.items()]
+_HELD = re.compile(r"⟦LATEX_(\d+)⟧")
+#: A sentence of so many characters, or a shorter one, joins the next one.
 SHORT = 6
 #: Words up to which neighbours are packed where merging alone doesn't reach the target.
 PACK = 90
+#: Steps that a trace is merged down to.
+MOST = 26
+
+SENTENCE = "struct<sid:int,text:string,start:int,end:int,tokens:int>"
+STEP = (
+    "struct<mid:int,start_sid:int,end_sid:int,text:string,role:string,has_equation:boolean,is_check:boolean,is_conclusion:boolean,tokens:int,"
+    "rel_pos:double,len_chars:int,contains_boxed:int,support_hint:int,weak_conclude:int,cheap_score:double>"
+)
 
 
 def normal(text: str, fold: bool = True) -> str:
@@ -31,8 +41,18 @@ def normal(text: str, fold: bool = True) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
 
 
-def sentences(text: str, variant: str = "v1") -> list[str]:
-    """v1: bullets stand whole; v2: the marker goes and the rest is split; v3: v1 without compatibility folding."""
+def _parted(line: str) -> list[str]:
+    parts, start = [], 0
+    for m in _END.finditer(line):
+        parts.append(line[start : m.end(1)].strip())
+        start = m.end()
+    return [*parts, tail] if (tail := line[start:].strip()) else parts
+
+
+def sentences(text: str | None, variant: str = "v1") -> list[tuple[int, int, str]]:
+    """(start, end, sentence) in the normalised text. v1: a bulleted line stands whole, without its marker; v2: the marker goes and the rest is split; v3: v1
+    without compatibility folding. LaTeX blocks are held while lines are split and put back before short sentences join the next; a sentence that isn't
+    found as it stands (it was joined over a break) gets its place from the end of the one before."""
     text = normal(text or "", fold=variant != "v3")
     held: list[str] = []
 
@@ -43,30 +63,34 @@ def sentences(text: str, variant: str = "v1") -> list[str]:
     parts: list[str] = []
     for line in _LATEX.sub(hold, text).split("\n"):
         line = line.strip()
-        if not line:
-            continue
         mark = _BULLET.match(line)
+        rest = line[mark.end() :] if mark else line
         if mark and variant != "v2":
-            parts.append(line)
-        else:
-            parts += [x.strip() for x in _END.split(line[mark.end() :] if mark else line) if x.strip()]
-    out, i = [], 0
+            parts.append(rest)
+        elif line:
+            parts += _parted(rest)
+    if held:
+        parts = [_HELD.sub(lambda m: held[int(m[1])] if int(m[1]) < len(held) else m[0], x) for x in parts]
+    joined, i = [], 0
     while i < len(parts):
-        if i + 1 < len(parts) and (len(parts[i]) <= SHORT or _META.match(parts[i])):
-            out.append(f"{parts[i]} {parts[i + 1]}")
-            i += 2
-        else:
-            out.append(parts[i])
-            i += 1
-    return [re.sub(r"⟦LATEX_(\d+)⟧", lambda m: held[int(m[1])] if int(m[1]) < len(held) else m[0], x) for x in out]
+        x = parts[i].strip()
+        i += 1
+        if x:
+            if i < len(parts) and (len(x) <= SHORT or _META.match(x)):
+                x = f"{x} {parts[i]}".strip()
+                i += 1
+            joined.append(x)
+    out, cursor = [], 0
+    for x in joined:
+        at = text.find(x, cursor)
+        at = cursor if at < 0 else at
+        cursor = at + len(x)
+        out.append((at, cursor, x))
+    return out
 
 
 def role_of(text: str) -> str:
-    by = dict(_ROLES)
-    for name, test in (("plan", by["plan"]), ("introduce", by["introduce"]), ("derive", _EQ), ("substitute", by["substitute"]), ("intermediate", by["intermediate"]), ("check", _CHECK), ("conclude", _END_OF), ("derive", _SYM)):
-        if test.search(text):
-            return name
-    return "other"
+    return next((name for name, pattern in _ROLES if pattern.search(text)), "derive" if _SYM.search(text) else "other")
 
 
 def spans(parts: list[str]) -> list[tuple[int, int]]:
@@ -75,16 +99,16 @@ def spans(parts: list[str]) -> list[tuple[int, int]]:
     dense = [bool(_EQ.search(x) or _SYM.search(x)) for x in parts]
     while i < n:
         x, j = parts[i], i + 1
-        if _META.match(x):
-            j = min(n, i + 2)
+        if j < n and _META.match(x):
+            j += 1
         elif dense[i]:
             while j < n and dense[j]:
                 j += 1
         elif _CHECK.search(x):
             j = min(n, i + 4)
-        elif _CONT.match(x):
-            j = min(n, i + 2)
-        elif (_END_OF.search(x) or "\\boxed" in x) and j < n and (_END_OF.search(parts[j]) or _CHECK.search(parts[j])):
+        elif j < n and _CONT.match(x):
+            j += 1
+        elif j < n and (_CONCLUDE.search(x) or "\\boxed" in x) and (_CONCLUDE.search(parts[j]) or _CHECK.search(parts[j])):
             j += 1
         out.append((i, j))
         i = j
@@ -92,18 +116,31 @@ def spans(parts: list[str]) -> list[tuple[int, int]]:
 
 
 def macro(parts: list[str], a: int, b: int, at: int, of: int) -> dict:
-    text = " ".join(parts[a:b])
-    pos = round((at + 1) / max(1, of), 3)
+    """The step of parts[a:b], the one at `at` (from 0) of `of`."""
+    text = " ".join(parts[a:b]).strip()
+    pos, boxed = (at + 1) / max(1, of), "\\boxed" in text
     return {
-        "start_sid": a + 1, "end_sid": b, "text": text, "role": role_of(text), "has_equation": bool(_EQ.search(text)), "is_check": bool(_CHECK.search(text)), "is_conclusion": bool(_END_OF.search(text)),
-        "tokens": len(text.split()), "rel_pos": pos, "cheap_score": round(min(1.0, 0.2 * pos + 0.15 * min(1.0, len(text) / 120) + 0.1 * ("\\boxed" in text)), 3),
+        "start_sid": a + 1, "end_sid": b, "text": text, "role": role_of(text), "has_equation": bool(_EQ.search(text) or _SYM.search(text)), "is_check": bool(_CHECK.search(text)),
+        "is_conclusion": bool(_CONCLUDE.search(text)) or boxed, "tokens": len(text.split()), "rel_pos": round(pos, 3), "weak_conclude": None,
+        "cheap_score": round(min(1.0, 0.2 * pos + 0.15 * min(1, len(text) / 120) + 0.1 * boxed), 3),
     }
 
 
+def concluded(step: dict) -> dict:
+    """A boxed answer makes a conclusion; a concluding phrase alone is noted as a weak one."""
+    if "\\boxed" in step["text"]:
+        return step | {"is_conclusion": True, "role": "conclude"}
+    return step | {"weak_conclude": 1} if _CONCLUDE.search(step["text"]) else step
+
+
+def _final(text: str) -> bool:
+    low = text.lower()
+    return "\\boxed" in text or "final answer" in low or "answer is" in low
+
+
 def wall(a: dict, b: dict) -> bool:
     """Whether two neighbours must not merge."""
-    final = re.compile(r"\\boxed|(?i:final answer|answer is)")
-    if final.search(a["text"]) or final.search(b["text"]) or any(x["is_check"] and x["rel_pos"] >= 0.6 for x in (a, b)):
+    if _final(a["text"]) or _final(b["text"]) or any(x["is_check"] and x["rel_pos"] >= 0.6 for x in (a, b)):
         return True
     return a["role"] in ("introduce", "plan") and b["role"] in ("derive", "intermediate") and b["has_equation"]
 
@@ -113,63 +150,140 @@ def cost(a: dict, b: dict) -> float:
     work = [x["role"] in ("derive", "intermediate") for x in (a, b)]
     short, la, lb = min(a["tokens"], b["tokens"]), len(a["text"]), len(b["text"])
     c = 0.0 if a["role"] == b["role"] else 0.9 if work[0] != work[1] else 0.4
-    c += 0.8 * (a["has_equation"] != b["has_equation"]) - 0.8 * (short < 18) - 0.4 * (la < 60 and lb < 60) - 0.3 * bool(_CONT.match(b["text"]))
-    return c + 0.2 * abs(la - lb) / max(1, la, lb)
+    c += 0.8 * (a["has_equation"] != b["has_equation"])
+    c -= 0.8 * (short < 18)
+    c -= 0.4 * (la < 60 and lb < 60)
+    c -= 0.3 * bool(_CONT.match(b["text"]))
+    return c + 0.2 * (abs(la - lb) / max(1, la, lb))
 
 
 def joined(a: dict, b: dict) -> dict:
-    text = f"{a['text']} {b['text']}"
+    text = f"{a['text']} {b['text']}".strip()
     either = {k: a[k] or b[k] for k in ("has_equation", "is_check", "is_conclusion")}
     return a | either | {"end_sid": b["end_sid"], "text": text, "role": b["role"] if a["role"] == "other" else a["role"], "tokens": len(text.split())}
 
 
-def compressed(steps: list[dict], most: int = 26) -> list[dict]:
-    """Cheapest neighbours merge, leftmost first, until no more than `most` are left or walls stand between all; then neighbours are packed by words.
-    Positions and scores during merging are those from before it."""
-    steps = list(steps)
-    while len(steps) > most:
-        free = [(cost(a, b), i) for i, (a, b) in enumerate(zip(steps, steps[1:], strict=False)) if not wall(a, b)]
-        if not free:
-            break
-        i = min(free)[1]
-        steps[i : i + 2] = [joined(steps[i], steps[i + 1])]
+def _placed(steps: list[dict]) -> list[dict]:
+    return [x | {"rel_pos": round(i / len(steps), 3)} for i, x in enumerate(steps, 1)]
+
+
+def _merged(steps: list[dict], most: int) -> list[dict]:
+    """Cheapest neighbours merge, leftmost first, until no more than `most` are left or walls stand between all. A heap holds the pairs; an entry counts
+    only while neither step has changed since."""
+    n = len(steps)
+    after, before, changed = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
+    heap: list[tuple] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < n and not wall(steps[i], steps[after[i]]):
+            j = after[i]
+            heapq.heappush(heap, (cost(steps[i], steps[j]), i, j, changed[i], changed[j]))
+
+    for i in range(n):
+        offer(i)
+    left, gone = n, [False] * n
+    while left > most and heap:
+        _, i, j, ci, cj = heapq.heappop(heap)
+        if gone[i] or gone[j] or after[i] != j or changed[i] != ci or changed[j] != cj:
+            continue
+        steps[i] = joined(steps[i], steps[j])
+        gone[j], after[i] = True, after[j]
+        changed[i] += 1
+        left -= 1
+        if after[i] < n:
+            before[after[i]] = i
+        offer(before[i])
+        offer(i)
+    return [x for x, g in zip(steps, gone, strict=True) if not g]
+
+
+def compressed(steps: list[dict], most: int = MOST) -> list[dict]:
+    """Conclusions are marked, then neighbours merge; where that doesn't reach `most`, they are packed by words, and walls still hold. Positions and scores
+    during merging are those from before it."""
+    steps = _placed([concluded(x) for x in steps])
+    if len(steps) > most:
+        steps = _merged(steps, most)
     if len(steps) > most:
         packed: list[dict] = []
         for x in steps:
-            if packed and packed[-1]["tokens"] + x["tokens"] <= PACK:
+            if packed and not wall(packed[-1], x) and packed[-1]["tokens"] + x["tokens"] <= PACK:
                 packed[-1] = joined(packed[-1], x)
             else:
                 packed.append(x)
         steps = packed
-    return [x | {"rel_pos": round((i + 1) / len(steps), 3)} for i, x in enumerate(steps)]
+    return _placed(steps)
+
+
+def core(gold: str | None) -> str:
+    gold = (gold or "").strip()
+    m = re.match(X.BOXED_WHOLE, gold)
+    return m[1].strip() if m else gold
+
+
+def finished(steps: list[dict], gold: str | None) -> list[dict]:
+    """Steps with their numbers and final features; support_hint: the gold answer's core stands in the text."""
+    hint = core(gold)
+    return [x | {"mid": i, "len_chars": len(x["text"]), "contains_boxed": int("\\boxed" in x["text"]), "support_hint": int(bool(hint) and hint in x["text"])} for i, x in enumerate(steps, 1)]
+
 
+def candidates(steps: list[dict], k: int) -> list[int]:
+    """Numbers of the k steps of highest score, earlier ones first among equals."""
+    return [x["mid"] for x in sorted(steps, key=lambda x: -x["cheap_score"])[: max(0, k)]]
 
-def _mapped(df: DataFrame, schema: str, f) -> DataFrame:
-    target = to_arrow_schema(StructType.fromDDL(schema))
+
+def _mapped(df: DataFrame, inputs: list[str], added: str, f) -> DataFrame:
+    """df with the columns `added`, a struct of what f makes of a row's inputs. Other columns pass by untouched."""
+    df = spread(df)
+    target = StructType([*df.schema, *StructType.fromDDL(added)])
+    schema = to_arrow_schema(target)
+    new = [x for x in schema if x.name not in df.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = [r for k, t in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True) for r in f(k, t)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[x.name] for r in rows], type=x.type) for x in target], schema=target)
+                part = batch.slice(at, 256)
+                rows = [f(*x) for x in zip(*(part.column(c).to_pylist() for c in inputs), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([r[x.name] for r in rows], type=x.type) for x in new)], names=schema.names)
+
+    return df.mapInArrow(run, target)
+
+
+def with_sentences(df: DataFrame, text: str, variant: str = "v1") -> DataFrame:
+    """df with sentences: array of sid (from 1), text, start, end, tokens."""
+    f = lambda t: {"sentences": [{"sid": i, "text": x, "start": a, "end": b, "tokens": len(x.split())} for i, (a, b, x) in enumerate(sentences(t, variant), 1)]}
+    return _mapped(df, [text], f"sentences array<{SENTENCE}>", f)
+
+
+def with_steps(df: DataFrame, text: str, gold: str | None = None, most: int | None = MOST, top: int = 0) -> DataFrame:
+    """df with sentences, macro_steps and candidate_macro_ids (the `top` steps of highest score). most: None leaves steps unmerged. gold: a column."""
+
+    def f(t, g=None):
+        found = sentences(t)
+        parts = [x for _, _, x in found]
+        at = spans(parts)
+        steps = [macro(parts, a, b, i, len(at)) for i, (a, b) in enumerate(at)]
+        steps = finished(compressed(steps, most) if most else steps, g)
+        return {
+            "sentences": [{"sid": i, "text": x, "start": a, "end": b, "tokens": len(x.split())} for i, (a, b, x) in enumerate(found, 1)],
+            "macro_steps": steps, "candidate_macro_ids": candidates(steps, top),
+        }
 
-    return df.mapInArrow(run, schema)
+    return _mapped(df, [text, *([gold] if gold else [])], f"sentences array<{SENTENCE}>, macro_steps array<{STEP}>, candidate_macro_ids array<int>", f)
 
 
 def sentence_rows(df: DataFrame, key: str, text: str, variant: str = "v1") -> DataFrame:
-    """key, sid (from 1), text, tokens."""
-    f = lambda k, t: [{"key": k, "sid": i, "text": x, "tokens": len(x.split())} for i, x in enumerate(sentences(t, variant), 1)]
-    return _mapped(df.select(df[key].cast("long"), text), "key long, sid int, text string, tokens int", f).withColumnRenamed("key", key)
+    """key and the fields of each sentence."""
+    return with_sentences(df.select(key, text), text, variant).select(key, F.inline("sentences"))
 
 
-def macro_rows(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
-    """key, mid (from 1) and the fields of each macro step; merged down to `most` if given."""
+def macro_rows(df: DataFrame, key: str, text: str, most: int | None = None, gold: str | None = None) -> DataFrame:
+    """key and the fields of each macro step; merged down to `most` if given."""
+    return with_steps(df.select(*dict.fromkeys([key, text, *([gold] if gold else [])])), text, gold, most).select(key, F.inline("macro_steps"))
 
-    def f(k, t):
-        parts = sentences(t)
-        found = spans(parts)
-        steps = [macro(parts, a, b, i, len(found)) for i, (a, b) in enumerate(found)]
-        return [{"key": k, "mid": i} | x for i, x in enumerate(compressed(steps, most) if most else steps, 1)]
 
-    fields = "key long, mid int, start_sid int, end_sid int, text string, role string, has_equation boolean, is_check boolean, is_conclusion boolean, tokens int, rel_pos double, cheap_score double"
-    return _mapped(df.select(df[key].cast("long"), text), fields, f).withColumnRenamed("key", key)
+def correctness(answer: Column, gold: Column, verified: Column, judged: Column) -> Column:
+    """Struct is_correct, verified_by: the verifier's word, else the judge's, else equality of the two answers' cores, else null and 'unknown'."""
+    both = (F.coalesce(answer, F.lit("")) != "") & (F.coalesce(gold, F.lit("")) != "")
+    pick = lambda ok, by: F.struct(ok.cast("boolean").alias("is_correct"), F.lit(by).alias("verified_by"))
+    out = F.when(verified.isNotNull(), pick(verified, "math_verify")).when(judged.isNotNull(), pick(judged, "llama_judge"))
+    return out.when(both, pick(X.unwrapped(answer) == X.unwrapped(gold), "string_match")).otherwise(pick(F.lit(None), "unknown"))

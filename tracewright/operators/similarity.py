@@ -93,3 +93,16 @@ def lcs_f1(ref: Column, hyp: Column) -> Column:
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
     return f(ref, hyp)
+
+
+def coverage_report(units: DataFrame, importance: DataFrame, key: str, theta: float = 0.05, tau: float = 0.25, q: float = 0.2, floor: float = 0.2) -> DataFrame:
+    """The whole chain for each key with units on both sides: weights from importance (key, side, idx, w) scaled to sum 1 (even if all are 0), tf-idf
+    similarity, soft alignment, coverage and unsupported units; the keys that miss most first."""
+    total = Window.partitionBy(key, "side")
+    w = units.select(key, "side", "idx").join(importance, [key, "side", "idx"], "left").withColumn("w", F.coalesce("w", F.lit(1e-8)))
+    w = w.withColumn("w", F.when(F.sum("w").over(total) > 0, F.col("w") / F.sum("w").over(total)).otherwise(1.0 / F.count(F.lit(1)).over(total)))
+    both = units.groupBy(key).agg(F.count_if(F.col("side") == "s").alias("s"), F.count_if(F.col("side") == "t").alias("t")).where("s > 0 and t > 0").select(key)
+    sims = tfidf_cosine(units.join(both, key), key)
+    covered = weighted_coverage(soft_align(sims, key, theta, tau), w.join(both, key).where("side = 't'").select(key, F.col("idx").alias("t_idx"), "w"), key, q)
+    bare = unsupported(sims, w.where("side = 's'").select(key, F.col("idx").alias("s_idx"), "w"), key, floor)
+    return covered.join(bare, key).orderBy(F.desc("miss_top"), key)

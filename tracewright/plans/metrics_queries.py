@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as X
+from ..functions import metrics as M
 from ..functions.metrics import losses
 from ..functions.metrics import regression_metrics as metrics
 from .registry import query, table
@@ -66,15 +67,18 @@ def class_center_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT label, i AS dim, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i")
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    return e.groupBy("label", (F.col("i") + 1).cast("long").alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    """Each embedding is pooled from two token vectors, of which the mask keeps the first; then the vectors of a label are averaged."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    other = F.transform("v", lambda x: x + 1)
+    e = e.select("label", F.posexplode(A.masked_mean(F.array("v", other), F.array(F.lit(1), F.lit(0)))).alias("i", "x"))
+    return e.groupBy("label", (F.col("i") + 1).cast("long").alias("dim")).agg(F.round(F.avg("x"), 6).alias("mean"))
 
 
 @query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, min(value) AS min, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, max(value) AS max FROM events GROUP BY event_type")
 def coverage_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    d = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.percentile(v, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"), F.max(v).alias("max"))
-    return _rounded(d.select("event_type", "n", "mean", "sd", "min", "max", *[F.get("q", i).alias(n) for i, n in enumerate(("q25", "q50", "q75"))]), "mean", "sd", "q25", "q50", "q75")
+    d = M.described(table(spark, sf_dir, "events"), "value", ["event_type"])
+    d = d.withColumnsRenamed({"std": "sd", "low": "min", "high": "max"})
+    return _rounded(d, "mean", "sd", "q25", "q50", "q75").select("event_type", "n", "mean", "sd", "min", "q25", "q50", "q75", "max")
 
 
 @query("SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -141,9 +141,20 @@ def kfold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.kfold(table(spark, sf_dir, "orders"), "o_custkey", 5, 42)
 
 
-@query(f"SELECT o_custkey, CAST(n_rows AS BIGINT) AS n_rows FROM ({_RANK}) WHERE before + n_rows <= 2000")
+@query(f"""WITH RECURSIVE g AS ({_RANK}), w AS (SELECT o_custkey, rk, CAST(n_rows AS BIGINT) AS total, true AS taken FROM g WHERE rk = 0
+ UNION ALL SELECT g.o_custkey, g.rk, CAST(w.total + CASE WHEN w.total + g.n_rows <= 2000 THEN g.n_rows ELSE 0 END AS BIGINT), w.total + g.n_rows <= 2000 FROM w JOIN g ON g.rk = w.rk + 1 WHERE w.total < 2000),
+ i AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM w WHERE taken)),
+ m AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM w WHERE taken) ORDER BY md5('42' || o_orderkey), o_orderkey LIMIT greatest(0, 2000 - (SELECT count(*) FROM i))) SELECT * FROM i UNION ALL SELECT * FROM m""")
 def group_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.group_sample(table(spark, sf_dir, "orders"), "o_custkey", 2000, 42).withColumnRenamed("rows", "n_rows")
+    """A sampling operator: the limit is the feature."""
+    return S.group_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 2000, 42, ["o_orderkey"])
+
+
+@query(f"SELECT o_orderkey, o_custkey, CASE WHEN rk < greatest(1, CAST(floor(n * CAST(0.1 AS DOUBLE)) AS BIGINT)) THEN 'validation' ELSE 'training' END AS side FROM orders JOIN ({_RANK}) USING (o_custkey)")
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    valid, rest = S.parted(d, S.holdout(d, "o_custkey", 0.1, 42), "o_custkey", "is_validation")
+    return valid.withColumn("side", F.lit("validation")).unionByName(rest.withColumn("side", F.lit("training")))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('7' || o_orderkey), o_orderkey LIMIT 500")
@@ -160,13 +171,6 @@ def record_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT l_orderkey, l_partkey, CAST(least(a, qa) + CASE WHEN who = 0 THEN give ELSE 0 END AS BIGINT) AS first_a FROM (SELECT *, CASE WHEN a - least(a, qa) >= b - least(b, qb) AND a - least(a, qa) >= c - least(c, qc) THEN 0 WHEN b - least(b, qb) >= c - least(c, qc) THEN 1 ELSE 2 END AS who, greatest(0, least(a - least(a, qa), 100 - least(a, qa) - least(b, qb) - least(c, qc))) AS give FROM (SELECT DISTINCT l_orderkey, l_partkey, CAST(l_quantity AS INT) * 2 AS a, l_linenumber AS b, 3 AS c, 40 AS qa, 40 AS qb, 20 AS qc FROM lineitem WHERE l_quantity * 2 >= l_linenumber + 40)) WHERE a - least(a, qa) >= 0")
-def three_segment_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").where("l_quantity * 2 >= l_linenumber + 40").select("l_orderkey", "l_partkey", (F.col("l_quantity").cast("int") * 2).alias("a"), F.col("l_linenumber").alias("b")).distinct()
-    q = A.three_quotas(F.col("a"), F.col("b"), F.lit(3), F.lit(100))
-    return d.select("l_orderkey", "l_partkey", q["x0"].cast("long").alias("first_a"))
-
-
 @query()
 def three_segment_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three quotas over the whole table, with three segments of varying length; a brute-force test stands for SQL."""

@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import metrics_queries, record_queries, scoring_queries, similarity_queries, text_queries  # noqa: F401
+    from . import extract_queries, metrics_queries, record_queries, scoring_queries, similarity_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,15 +23,12 @@ def think_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size(bodies).cast("long").alias("n_think"), F.md5(F.get(bodies, 0)).alias("body_md5"), F.md5(X.think_tail(F.col("t"))).alias("tail_md5"))
 
 
-@query("""SELECT p_partkey, list_extract(regexp_extract_all(t, '\\\\boxed\\{(.*?)\\}', 1), -1) AS boxed, regexp_replace('\\boxed{' || p_brand || '}', '\\\\boxed\\{(.*)\\}', '\\1') AS unwrapped,
- regexp_replace(regexp_replace(regexp_replace('\\left( ' || p_type || '\\right) $\\text{cm}', '\\\\(mathrm|text|hspace|phantom)\\{[^}]*\\}', '', 'g'), '\\\\left|\\\\right|[$]', '', 'g'), '[ ]+', '', 'g') AS spaceless
- FROM (SELECT *, 'x \\boxed{' || p_size || '} y \\boxed{' || p_brand || '} z' AS t FROM part)""")
+@query("""SELECT p_partkey, p_brand AS boxed, p_brand AS unwrapped, 'see \\boxed{' || p_brand || '}' AS not_whole, '\\boxed{' || p_brand || '}' AS model_answer FROM part""")
 def boxed_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    t = F.concat(F.lit("x \\boxed{"), F.col("p_size").cast("string"), F.lit("} y \\boxed{"), "p_brand", F.lit("} z"))
-    raw = F.concat(F.lit("\\left( "), "p_type", F.lit("\\right) $\\text{cm}"))
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, X.LATEX_WRAPPED, ""), r"\\left|\\right|[$]", ""), "[ ]+", "")
-    return p.select("p_partkey", X.last_boxed(t).alias("boxed"), X.unwrapped(F.concat(F.lit("\\boxed{"), "p_brand", F.lit("}"))).alias("unwrapped"), bare.alias("spaceless"))
+    t = F.concat(F.lit("x \\boxed{"), F.col("p_size").cast("string"), F.lit("} y \\boxed{ "), "p_brand", F.lit(" } z"))
+    whole = F.concat(F.lit(" \\boxed{"), "p_brand", F.lit("} "))
+    return p.select("p_partkey", X.last_boxed(t).alias("boxed"), X.unwrapped(whole).alias("unwrapped"), X.unwrapped(F.concat(F.lit("see"), whole)).alias("not_whole"), X.model_answer(t).alias("model_answer"))
 
 
 @query("""SELECT p_partkey, replace(p_type, ' ', '') AS norm, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE p_brand END AS final FROM part""")
@@ -42,9 +39,9 @@ def answer_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", X.answer_norm(F.concat(F.lit("$\\left("), "p_type", F.lit("\\right)$\\quad"))).alias("norm"), X.final_answer(t).alias("final"))
 
 
-@query("""SELECT doc_id, md5(regexp_replace(text, '(?i)' || g, '<ANS>', 'g')) AS scrubbed_md5 FROM (SELECT *, regexp_extract(text, '[A-Za-z]+', 0) AS g FROM documents) WHERE g <> ''""")
+@query("""SELECT doc_id, md5(CASE WHEN g = '' THEN text ELSE regexp_replace(text, '(?i)' || g, '<ANS>', 'g') END) AS scrubbed_md5 FROM (SELECT *, regexp_extract(text, '[A-Za-z]+', 0) AS g FROM documents)""")
 def answer_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("g", F.regexp_extract("text", "[A-Za-z]+", 0)).where("g <> ''")
+    d = table(spark, sf_dir, "documents").withColumn("g", F.regexp_extract("text", "[A-Za-z]+", 0))
     return d.select("doc_id", F.md5(X.scrubbed(F.col("text"), F.col("g"))).alias("scrubbed_md5"))
 
 
@@ -61,8 +58,8 @@ def trace_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.head_tail(F.col("text"), 1000)).alias("cut_md5"))
 
 
-@query(f"""SELECT doc_id, CAST(u.i AS BIGINT) AS unit_index, md5(u.x) AS unit_md5 FROM (SELECT doc_id, unnest(list_transform(l, lambda x, i: {{'i': i - 1, 'x': x}})) AS u FROM
- (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[\u3002\uff01\uff1f!?\uff1b;\uff1a:.\\n]+'), lambda s: {_strip("s")}), lambda s: s <> '') AS l FROM documents))""")
+@query(f"""SELECT doc_id, CAST(u.i AS BIGINT) AS unit_index, md5(u.x) AS unit_md5 FROM (SELECT doc_id, unnest(list_transform(CASE WHEN len(l) > 0 THEN l WHEN text <> '' THEN [{_strip("text")}] ELSE [] END, lambda x, i: {{'i': i - 1, 'x': x}})) AS u FROM
+ (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '[。！？!?；;：:.\\n]+'), lambda s: {_strip("s")}), lambda s: s <> '') AS l FROM documents))""")
 def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.units(F.col("text"))).alias("i", "x"))
     return d.select("doc_id", F.col("i").cast("long").alias("unit_index"), F.md5("x").alias("unit_md5"))
@@ -89,20 +86,35 @@ def token_budget_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "total", F.lit(700).cast("long").alias("max_model_len"), F.lit("too_long").alias("note"))
 
 
-@query("""SELECT p_partkey, CASE WHEN regexp_matches(t, '(?i)\\b(plan|strategy|let''s|we (will|shall)|first|next|then|step|approach)\\b') THEN 'plan' WHEN regexp_matches(t, '(?i)\\b(assume|let|denote|define|set)\\b') THEN 'introduce'
- WHEN regexp_matches(t, '=|\\\\frac') THEN 'derive' WHEN regexp_matches(t, '(?i)\\b(substitute|plug)\\b') THEN 'substitute' WHEN regexp_matches(t, '(?i)\\b(obtain|get|compute|combine)\\b') THEN 'intermediate'
- WHEN regexp_matches(t, '(?i)\\b(verify|check)\\b') THEN 'check' WHEN regexp_matches(t, '(?i)\\b(therefore|thus|hence)\\b') THEN 'conclude' WHEN regexp_matches(t, '[=+*/^-]') THEN 'derive' ELSE 'other' END AS role
- FROM (SELECT p_partkey, ['First we ', 'Let us take ', 'Plug in ', 'We obtain ', 'Check ', 'Hence ', 'x = 1 ', 'a/b ', ''][1 + p_partkey % 9] || p_name AS t FROM part)""")
+# The roles as they are defined, in the oracle's own syntax: every word of every role is tried.
+_ROLE_WORDS = (
+    ("plan", "plan strategy let's lets we_will we_shall first next then step approach assume"), ("introduce", "let denote define set"), ("derive", "= >= != \\\\frac \\\\cdot \\\\div \\\\Rightarrow"),
+    ("substitute", "substitute plug"), ("intermediate", "obtain get compute simplify simplifies combine rearrange collect expand"), ("check", "verify check plug_in substitution"),
+    ("conclude", "therefore thus hence consequently in_conclusion final_answer answer_is"), ("derive", "a+b a/b x^2 \\\\sqrt \\\\theta"), ("other", "blue almost planning settle"),
+)
+_WORDS = [w.replace("_", " ").replace("\\\\", "\\") for _, words in _ROLE_WORDS for w in words.split()]
+_sql_list = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+@query(f"""SELECT p_partkey, w AS word, CASE WHEN regexp_matches(w, '(?i)\\b(plan|strategy|let''?s|we (will|shall)|first|next|then|step|approach|assume)\\b') THEN 'plan' WHEN regexp_matches(w, '(?i)\\b(let|denote|define|set)\\b') THEN 'introduce'
+ WHEN regexp_matches(w, '=|\\\\Rightarrow|≥|≤|!=|\\\\approx|\\\\sim|\\\\frac|\\\\cdot|\\\\times|\\\\div') THEN 'derive' WHEN regexp_matches(w, '(?i)\\b(substitute|plug)\\b') THEN 'substitute'
+ WHEN regexp_matches(w, '(?i)\\b(obtain|get|compute|simplif(y|ies)|combine|rearrange|collect|expand)\\b') THEN 'intermediate' WHEN regexp_matches(w, '(?i)\\b(verify|check|plug\\s+in|substitute\\s+back|substitution)\\b') THEN 'check'
+ WHEN regexp_matches(w, '(?i)\\b(therefore|thus|hence|consequently|in conclusion|final answer|answer is)\\b') THEN 'conclude'
+ WHEN regexp_matches(w, '[=+*/^-]|\\\\frac|\\\\sqrt|\\\\sum|\\\\int|\\\\prod|\\\\lim|\\\\binom|\\\\alpha|\\\\beta|\\\\gamma|\\\\pi|\\\\theta') THEN 'derive' ELSE 'other' END AS role
+ FROM (SELECT p_partkey, {_sql_list(_WORDS)}[1 + p_partkey % {len(_WORDS)}] || ' ' || split_part(p_name, ' ', 1) AS w FROM part)""")
 def role_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = F.array(*map(F.lit, ("First we ", "Let us take ", "Plug in ", "We obtain ", "Check ", "Hence ", "x = 1 ", "a/b ", "")))
-    p = table(spark, sf_dir, "part").withColumn("t", F.concat(F.get(heads, (F.col("p_partkey") % 9).cast("int")), "p_name"))
-    return p.select("p_partkey", X.role(F.col("t")).alias("role"))
+    words = F.array(*map(F.lit, _WORDS))
+    p = table(spark, sf_dir, "part").withColumn("word", F.concat(F.get(words, (F.col("p_partkey") % len(_WORDS)).cast("int")), F.lit(" "), F.substring_index("p_name", " ", 1)))
+    return p.select("p_partkey", "word", X.role(F.col("word")).alias("role"))
 
 
-@query("""SELECT doc_id, CAST(contains(text, '=') AS INT) AS has_equation, CAST(regexp_matches(text, '[=+*/^-]') AS INT) AS is_symbolic, CAST(regexp_matches(text, '(?i)\\b(therefore|thus|hence|consequently)\\b') AS INT) AS is_conclusion FROM documents""")
+@query("""SELECT doc_id, CAST(regexp_matches(text, '=|\\\\Rightarrow|≥|≤|!=|\\\\approx|\\\\sim|\\\\frac|\\\\cdot|\\\\times|\\\\div') AS INT) AS has_equation,
+ CAST(regexp_matches(text, '[=+*/^-]|\\\\frac|\\\\sqrt|\\\\sum|\\\\int|\\\\prod|\\\\lim|\\\\binom|\\\\alpha|\\\\beta|\\\\gamma|\\\\pi|\\\\theta') AS INT) AS is_symbolic,
+ CAST(regexp_matches(text, '(?i)\\b(therefore|thus|hence|consequently|in conclusion|final answer|answer is)\\b') AS INT) AS is_conclusion, CAST(regexp_matches(text, '(?i)\\b(verify|check|plug\\s+in|substitute\\s+back|substitution)\\b') AS INT) AS is_check,
+ CAST(regexp_matches(text, '(?i)^\\s*(ok(ay)?|hmm+|let me|now|wait|note that|remember|i need to|i should|maybe|well|alright)\\b') AS INT) AS is_meta,
+ CAST(regexp_matches(text, '(?i)^\\s*(simplify|which simplifies|combine like terms|so now|now we have|therefore we can write|thus)\\b') AS INT) AS is_continuation, CAST(contains(text, '\\boxed') AS INT) AS has_boxed FROM documents""")
 def sentence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", t.contains("=").cast("int").alias("has_equation"), t.rlike(r"[=+*/^-]").cast("int").alias("is_symbolic"), t.rlike(r"(?i)\b(therefore|thus|hence|consequently)\b").cast("int").alias("is_conclusion"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.cast("int").alias(n) for n, c in X.flags(F.col("text")).items()])
 
 
 @query("""SELECT source, string_agg(md5(text), ',' ORDER BY first_id) AS texts, CAST(count(*) AS BIGINT) AS n FROM (SELECT source, text, min(doc_id) AS first_id FROM documents GROUP BY source, text) GROUP BY source""")

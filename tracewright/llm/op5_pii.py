@@ -1,19 +1,24 @@
 """Personal data: base patterns, and a semi-Markov conditional random field over whole spans.
 
-The field scores candidate segments by features of the whole span (shape, digit count, checksum, separators, neighbours), and dynamic programming over
-segments of bounded length picks the boundaries and kinds of a stretch of text jointly. Weights are the maximum-likelihood fit, by stochastic gradient
-over forward-backward marginals, to annotated sentences that a seeded generator writes (filler, entities in many notations, and look-alikes such as
-versions, dates and numbers with a wrong checksum); TRAIN sentences is the documented bound. Scores are only worked out in windows that hold every
-admissible segment (one with four digits, an at-sign or the word at, in any case), so this loses nothing.
+The field scores candidate segments by features of the whole span (shape, digit count, checksum, separators, neighbours) and of the label before it
+(an entity's kind, or none), and dynamic programming over segments of bounded length picks boundaries and kinds of a stretch of text jointly. Weights are
+the maximum-likelihood fit, by stochastic gradient over forward-backward marginals, to annotated sentences that a seeded generator writes (filler, entities
+in many notations, and look-alikes such as versions, dates and numbers with a wrong checksum); TRAIN sentences is the documented bound.
+
+A segment is admissible if it has LONGEST tokens at most, no line break, and is either a number (four digits or more, no letters, from a digit, plus sign or
+bracket to a digit) or an address (letters or digits at both ends, an at-sign or the word at in any case, and a dot or the word dot after it). Tokens in no
+admissible segment are outside in every segmentation, so stretches of overlapping segments are decoded one by one, with the result of the whole text.
 
 Base spans stay; a segment of the field is added where it overlaps none of them.
 
-Null text: as an empty one. Null doc_id: as any other. Repeated rows: each its own row. Empty table: no rows.
+Null text: as an empty one. Null doc_id: as any other. Repeated rows: each its own row. Very long texts: whole; time and memory grow with their length.
+Ties: the earlier start, then the kind listed first. Extra columns, whatever their names: not read. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import random
 import re
@@ -91,22 +96,58 @@ def features(tokens: list[str], i: int, j: int) -> list[str]:
     return out
 
 
-def segments(tokens: list[str]) -> dict[tuple[int, int], list[str]]:
-    """Admissible entity segments and their features: bounded, not blank at an end, with a digit run of some length or an at-sign."""
-    found = {}
+_OPEN = frozenset("0123456789+(")
+_AT, _DOT = frozenset(("@", "at")), frozenset((".", "dot"))
+
+
+def admissible(tokens: list[str]) -> list[tuple[int, int]]:
+    """All admissible segments, by start, then end."""
+    starts: set[int] = set()
     for i, t in enumerate(tokens):
-        if t.isspace():
-            continue
-        digits, at = 0, False
-        for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-            last = tokens[j - 1]
-            digits += len(last) if last[0] in "0123456789" else 0
-            at = at or last == "@" or last.lower() == "at"
-            if (digits >= 4 or at) and not last.isspace() and "\n" not in last:
-                found[i, j] = features(tokens, i, j)
+        if t[0] in _OPEN:
+            starts.add(i)
+        elif t in _AT or t.lower() == "at":
+            starts.update(range(max(0, i - LONGEST + 1), i))
+    found = []
+    for i in sorted(starts):
+        t = tokens[i]
+        number, address = t[0] in _OPEN, t[0].isalnum()
+        digits, at, dot = 0, False, False
+        for j in range(i, min(len(tokens), i + LONGEST)):
+            x = tokens[j]
+            if "\n" in x:
+                break
+            first = x[0]
+            if first in "0123456789":
+                digits += len(x)
+                if number and digits >= 4 or address and dot:
+                    found.append((i, j + 1))
+            elif first.isalpha():
+                number = False
+                low = x.lower()
+                if address and dot and low not in ("at", "dot"):
+                    found.append((i, j + 1))
+                at = at or (low == "at" and j > i)
+                dot = dot or (at and low == "dot")
+            elif x == "@":
+                number, at = False, at or j > i
+            elif x == ".":
+                dot = dot or at
+            if not (number or address):
+                break
     return found
 
 
+def segments(tokens: list[str]) -> dict[tuple[int, int], list[str]]:
+    """Admissible segments and their features."""
+    return {(i, j): features(tokens, i, j) for i, j in admissible(tokens)}
+
+
+#: Label of a token outside entities; kinds are the labels before it. Feature that stands for the weights of label after label.
+OUT = len(KINDS)
+LABELS = range(OUT + 1)
+
+
 def _score(weights: dict, names: list[str], kinds: int) -> list[float]:
     total = [0.0] * kinds
     for f in names:
@@ -116,28 +157,49 @@ def _score(weights: dict, names: list[str], kinds: int) -> list[float]:
     return total
 
 
+def _after(weights: dict) -> list[list[float]]:
+    """Weight of each label (column) after each (row); outside after outside is 0."""
+    rows = [weights.get(f">{y}", [0.0] * OUT) for y in LABELS]
+    ends = weights.get(">out", [0.0] * OUT)
+    return [[*rows[y], ends[y] if y < OUT else 0.0] for y in LABELS]
+
+
 def decode(tokens: list[str], weights: dict) -> list[tuple[int, int, int]]:
-    """The best segmentation's entities, (first token, end, kind); a token outside has score 0."""
-    n, scored = len(tokens), {s: _score(weights, f, len(KINDS)) for s, f in segments(tokens).items()}
+    """The best segmentation's entities, (first token, end, kind)."""
+    spans = admissible(tokens)
+    if not spans:
+        return []
+    return _decoded(tokens, 0, len(tokens), spans, weights, _after(weights))
+
+
+def _decoded(tokens: list[str], low: int, high: int, spans: list[tuple[int, int]], weights: dict, after: list[list[float]]) -> list[tuple[int, int, int]]:
+    """The best segmentation of tokens[low:high], what comes before being outside."""
+    n = high - low
     ending: dict[int, list] = {}
-    for (i, j), x in scored.items():
-        k = max(range(len(KINDS)), key=x.__getitem__)
-        if x[k] > 0:
-            ending.setdefault(j, []).append((i, k, x[k]))
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
+    for i, j in spans:
+        ending.setdefault(j - low, []).append((i - low, _score(weights, features(tokens, i, j), OUT)))
+    worst = -1e31
+    best = [[worst] * (OUT + 1) for _ in range(n + 1)]
+    back: list[list] = [[None] * (OUT + 1) for _ in range(n + 1)]
+    best[0][OUT] = 0.0
     for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, k, x in ending.get(j, ()):
-            if best[i] + x > best[j]:
-                best[j], back[j] = best[i] + x, (i, k)
+        now, before = best[j], best[j - 1]
+        y = max(LABELS, key=lambda y: before[y] + after[y][OUT])
+        now[OUT], back[j][OUT] = before[y] + after[y][OUT], (j - 1, y)
+        for i, x in ending.get(j, ()):
+            from_ = best[i]
+            for k in range(OUT):
+                y = max(LABELS, key=lambda y: from_[y] + after[y][k])
+                value = from_[y] + after[y][k] + x[k]
+                if value > now[k]:
+                    now[k], back[j][k] = value, (i, y)
     out, j = [], n
+    y = max(LABELS, key=lambda y: (best[n][y] + after[y][OUT], y))  # what follows is outside
     while j:
-        if back[j]:
-            i, k = back[j]
-            out.append((i, j, k))
-            j = i
-        else:
-            j -= 1
+        i, z = back[j][y]
+        if y < OUT:
+            out.append((low + i, low + j, y))
+        j, y = i, z
     return out[::-1]
 
 
@@ -149,31 +211,59 @@ def _add(a: float, b: float) -> float:
 
 def _gradient(tokens: list[str], gold: set[tuple[int, int, int]], found: dict, weights: dict, rate: float, decay: float) -> None:
     """One step towards the gold segmentation's likelihood: features observed less those expected under the field."""
-    n, kinds = len(tokens), range(len(KINDS))
-    scored = {s: _score(weights, f, len(KINDS)) for s, f in found.items()}
-    ahead, behind = [-1e31] * (n + 1), [-1e31] * (n + 1)
-    ahead[0] = behind[n] = 0.0
+    n, kinds, after = len(tokens), range(OUT), _after(weights)
+    scored = {s: _score(weights, f, OUT) for s, f in found.items()}
+    low = -1e31
+    ahead, behind = ([[low] * (OUT + 1) for _ in range(n + 1)] for _ in range(2))
+    ahead[0][OUT] = 0.0
     starts: dict[int, list] = {}
     for s in scored:
         starts.setdefault(s[0], []).append(s)
     for i in range(n):
-        ahead[i + 1] = _add(ahead[i + 1], ahead[i])
-        for s in starts.get(i, ()):
-            for k in kinds:
-                ahead[s[1]] = _add(ahead[s[1]], ahead[i] + scored[s][k])
+        for y in LABELS:
+            if (x := ahead[i][y]) > -1e30:
+                ahead[i + 1][OUT] = _add(ahead[i + 1][OUT], x + after[y][OUT])
+                for s in starts.get(i, ()):
+                    for k in kinds:
+                        ahead[s[1]][k] = _add(ahead[s[1]][k], x + after[y][k] + scored[s][k])
+    for y in LABELS:
+        behind[n][y] = after[y][OUT]
     for i in range(n - 1, -1, -1):
-        behind[i] = behind[i + 1]
-        for s in starts.get(i, ()):
-            for k in kinds:
-                behind[i] = _add(behind[i], behind[s[1]] + scored[s][k])
-    for s, names in found.items():
-        for k in kinds:
-            p = math.exp(min(0.0, ahead[s[0]] + scored[s][k] + behind[s[1]] - ahead[n]))
-            step = ((*s, k) in gold) - p
-            if abs(step) > 1e-3:
-                for f in names:
-                    w = weights.setdefault(f, [0.0] * len(KINDS))
-                    w[k] += rate * (step - decay * w[k])
+        for y in LABELS:
+            total = after[y][OUT] + behind[i + 1][OUT]
+            for s in starts.get(i, ()):
+                for k in kinds:
+                    total = _add(total, after[y][k] + scored[s][k] + behind[s[1]][k])
+            behind[i][y] = total
+    whole = low
+    for y in LABELS:
+        if ahead[n][y] > -1e30:
+            whole = _add(whole, ahead[n][y] + behind[n][y])
+
+    def move(name: str, k: int, step: float) -> None:
+        if abs(step) > 1e-3:
+            w = weights.setdefault(name, [0.0] * OUT)
+            w[k] += rate * (step - decay * w[k])
+
+    ends = {b: k for _, b, k in gold}
+    inside = {x for a, b, _ in gold for x in range(a, b)}
+    for i in range(n + 1):
+        for y in LABELS:
+            if (x := ahead[i][y]) < -1e30:
+                continue
+            before = ends.get(i, OUT) if i == 0 or i - 1 in inside or i in ends else OUT
+            if y < OUT:  # label y, then outside (or the end)
+                rest = behind[i + 1][OUT] if i < n else 0.0
+                p = math.exp(min(0.0, x + after[y][OUT] + rest - whole))
+                move(">out", y, (before == y and ends.get(i) == y and i not in {a for a, _, _ in gold}) - p)
+            for s in starts.get(i, ()):
+                for k in kinds:
+                    p = math.exp(min(0.0, x + after[y][k] + scored[s][k] + behind[s[1]][k] - whole))
+                    step = ((*s, k) in gold and before == y) - p
+                    move(f">{y}", k, step)
+                    if abs(step) > 1e-3:
+                        for f in found[s]:
+                            move(f, k, step)
 
 
 def _sentence(rng: random.Random) -> tuple[list[str], set]:
@@ -225,7 +315,7 @@ def fit(seed: int = 7) -> dict[str, list[float]]:
     """Weights for each feature and kind. The same in every process: the generator and the order are seeded."""
     rng = random.Random(seed)
     made = [(t, g, segments(t)) for t, g in (_sentence(rng) for _ in range(TRAIN))]
-    weights: dict[str, list[float]] = {"bias": [-2.0] * len(KINDS)}
+    weights: dict[str, list[float]] = {"bias": [-2.0] * OUT}
     for k in range(PASSES):
         rng.shuffle(made)
         for tokens, gold, found in made:
@@ -233,53 +323,44 @@ def fit(seed: int = 7) -> dict[str, list[float]]:
     return {f: w for f, w in weights.items() if any(abs(x) > 1e-2 for x in w)}
 
 
-def windows(tokens: list[str]) -> list[tuple[int, int]]:
-    """Ranges of tokens that hold every admissible segment (see segments), apart from each other."""
-    n, ranges, digits = len(tokens), [], []
-    for j, t in enumerate(tokens):
-        if t[0] in "0123456789":
-            digits.append((j, len(t)))
-            total = 0
-            for i, length in reversed(digits):
-                if i <= j - LONGEST:
-                    break
-                total += length
-                if total >= 4:
-                    ranges.append((max(0, j - LONGEST + 1), min(n, i + LONGEST)))
-                    break
-        elif t == "@" or t.lower() == "at":
-            ranges.append((max(0, j - LONGEST + 1), min(n, j + LONGEST)))
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a < out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def field_spans(text: str, weights: dict) -> list[tuple[int, int, int]]:
+def field_spans(text: str, weights: dict, after: list[list[float]] | None = None) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the field's entities over the whole text."""
     if not _MAY.search(text):
         return []
-    tokens, places = [], []
-    for m in _TOKEN.finditer(text):
-        tokens.append(m[0])
-        places.append(m.start())
-    places.append(len(text))
-    out = []
-    for a, b in windows(tokens):
-        a = max(0, a - 1)  # neighbours are features
-        out += [(k, places[a + i], places[a + j]) for i, j, k in decode(tokens[a : b + 1], weights)]
+    tokens = _TOKEN.findall(text)
+    spans = admissible(tokens)
+    if not spans:
+        return []
+    places = [0, *itertools.accumulate(map(len, tokens))]
+    after = after or _after(weights)
+    out, at = [], 0
+    while at < len(spans):
+        low, high = spans[at]
+        end = at + 1
+        while end < len(spans) and spans[end][0] <= high:  # neighbours that touch are decoded together
+            high = max(high, spans[end][1])
+            end += 1
+        out += [(k, places[i], places[j]) for i, j, k in _decoded(tokens, low, high, spans[at:end], weights, after)]
+        at = end
     return out
 
 
-def find(text: str | None, weights: dict) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def find(text: str | None, weights: dict, after: list[list[float]] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans by kind as listed, then start."""
     text = text or ""
     base = base_spans(text)
-    taken = [(s, e) for _, s, e in base]
-    added = [x for x in field_spans(text, weights) if not any(x[1] < e and s < x[2] for s, e in taken)]
+    taken: list[list[int]] = []  # base spans merged, in order
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    added, at = [], 0
+    for k, s, e in field_spans(text, weights, after):
+        while at < len(taken) and taken[at][1] <= s:
+            at += 1
+        if at == len(taken) or taken[at][0] >= e:
+            added.append((k, s, e))
     return base, sorted([*base, *added])
 
 
@@ -290,10 +371,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base and spans as text."""
     weights = fit()
+    after = _after(weights)
 
     def make():
         def step(c):
-            both = [find(x, weights) for x in c["text"]]
+            both = [find(x, weights, after) for x in c["text"]]
             out = {"doc_id": c["doc_id"], "base": [joined(b) for b, _ in both], "spans": [joined(a) for _, a in both]}
             return out | {f"n_{k}": [sum(x[0] == i for x in b) for b, _ in both] for i, k in enumerate(KINDS)}
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.io import spread
+
 #: Rows that a Python step turns into Python objects at once; bounds a worker's memory.
 STEP = 256
 
@@ -20,16 +22,40 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one below the warehouse where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, only a session whose driver and executors are one process
+    has another: one below its warehouse, which becomes its setting."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    return found.rstrip("/")
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again. A lost executor loses none of it."""
+    """Cut the lineage: write df as Parquet in the shared folder and read it again. A lost executor loses none of it. The files go when the session's process
+    ends, or before by release()."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    store, where = _at(spark, path)
+    store.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more, and let Spark drop the shuffle files of plans that are done."""
+    for df in tables:
+        store, where = _at(df.sparkSession, df._scratch)
+        store.delete(where, True)
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -58,7 +84,27 @@ def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[[dict],
                 out = f({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], type=x.type) for x in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
+
+
+def with_columns(df: DataFrame, inputs: list[str], schema: str, make: Callable[[], Callable[[dict], dict]], step: int = STEP) -> DataFrame:
+    """df with the columns of schema, made of its inputs as map_columns does; one of a name that df has takes its place. All others pass by untouched."""
+    made = T.StructType.fromDDL(schema)
+    target = T.StructType([*(x for x in df.schema if x.name not in made.names), *made])
+    new = to_arrow_schema(made)
+    kept = [i for i, n in enumerate(df.columns) if n not in made.names]
+    where = {n: df.columns.index(n) for n in inputs}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                out = f({n: part.column(i).to_pylist() for n, i in where.items()})
+                arrays = [*(part.column(i) for i in kept), *(pa.array(out[x.name], type=x.type) for x in new)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*(part.schema.names[i] for i in kept), *new.names])
+
+    return spread(df).mapInArrow(run, target).select(*[F.col(f"`{n}`") for n in df.columns], *[F.col(f"`{n}`") for n in made.names if n not in df.columns])
 
 
 def bucket_count(spark: SparkSession) -> int:

@@ -1,26 +1,28 @@
 """Secret scan with structural confirmation.
 
-Base spans come from three patterns. Beyond them, runs that look like base64 or hexadecimal are decoded, and reported only if what they hold parses:
- der    nested tag-length-value elements whose lengths add up to the whole (private keys, certificates);
- sshkey length-prefixed strings that begin with a known key type, or the private-key magic;
+Base spans come from three patterns. Beyond them, runs that look like base64 or hexadecimal are decoded, and reported only if what they hold parses as
+something secret:
+ der    nested tag-length-value elements whose lengths add up to the whole, in the order of a private key (plain, in a PKCS #8 envelope, or encrypted);
+ sshkey an OpenSSH private key: magic, cipher, derivation, public and private parts, whose lengths fill it;
  jwt    three base64url parts of which the first is a JSON header that names an algorithm;
- pem    a BEGIN ... PRIVATE KEY block whose body decodes to one of these.
+ pem    a BEGIN ... PRIVATE KEY block whose body decodes to one of these, or says in its header lines how it is encrypted.
+Public keys and certificates parse too, but are no secrets and aren't reported.
 
-Null text: as an empty one. Null doc_id: as any other. Repeated rows: each its own row. Empty table: no rows.
+Null text: as an empty one. Null doc_id: as any other. Repeated rows: each its own row. Very long texts: whole. Ties: spans of one start are ordered by kind
+(base kinds first, as listed), then end. Extra columns, whatever their names: not read; redact keeps them. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_columns, small_batches
+from .common import documents, map_columns, small_batches, with_columns
 
 BASE_KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -28,7 +30,8 @@ _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})(?!\.?[A-Za-z0-9_-])")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])*)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----((?:(?:\s|\\[nr])*[A-Za-z-]+:[^\n\\]*(?:\n|\\[nr]))*)((?:[A-Za-z0-9+/=\s]|\\[nr])*)-----END \1-----")
+_ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED.*DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,}", re.S)
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])")
 _BASE64_URL = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,}={0,2}(?![A-Za-z0-9_=-])")
 #: Lines of a wrapped run: breaks may be escaped, as in JSON.
@@ -36,8 +39,7 @@ _BREAK = r"(?:[\x20\t]*\r?\n[\x20\t]*|(?:\\r)?\\n)"
 _WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)+={{0,2}}")
 _LINE = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]+={0,2}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
-#: Names that open a public key's first string, and the magic of an OpenSSH private key.
-_SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+#: Fixed value: what an OpenSSH private key begins with.
 _SSH_MAGIC = b"openssh-key-v1\x00"
 #: Nesting that a DER parse follows.
 _DEPTH = 6
@@ -71,15 +73,54 @@ def is_der(data: bytes, depth: int = 0) -> bool:
     return depth != 1 or not first
 
 
-def is_ssh(data: bytes) -> bool:
-    if data.startswith(_SSH_MAGIC):
+def elements(data: bytes) -> list[tuple[int, bytes]]:
+    """(tag, content) of the elements in the outer sequence of data that is_der() has passed."""
+    out, at = [], 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)
+    while at < len(data):
+        tag, length = data[at], data[at + 1]
+        at += 2
+        if length & 0x80:
+            n = length & 0x7F
+            length = int.from_bytes(data[at : at + n], "big")
+            at += n
+        out.append((tag, data[at : at + length]))
+        at += length
+    return out
+
+
+def is_private(data: bytes) -> bool:
+    """Whether a DER sequence is laid out as a private key: a version and then at least five integers, an octet string, or an algorithm and an octet string;
+    or, encrypted, an algorithm and an octet string alone."""
+    if not is_der(data):
+        return False
+    found = elements(data)
+    tags = [t for t, _ in found]
+    if tags[:2] == [0x30, 0x04] and len(tags) == 2:
         return True
-    if len(data) < 12 or not any(data[4 : 4 + len(t)] == t and int.from_bytes(data[:4], "big") == len(t) for t in _SSH_TYPES):
+    if tags[0] != 0x02 or not found[0][1] or int.from_bytes(found[0][1], "big") > 1:
         return False
-    at, n = 0, 0
-    while at + 4 <= len(data):
-        at, n = at + 4 + int.from_bytes(data[at : at + 4], "big"), n + 1
-    return at == len(data) and n >= 2
+    return tags[1:2] == [0x04] or tags[1:3] == [0x30, 0x04] or (len(tags) >= 6 and set(tags[:6]) == {0x02})
+
+
+def is_ssh(data: bytes) -> bool:
+    """Whether data is an OpenSSH private key whose lengths fill it."""
+    if not data.startswith(_SSH_MAGIC):
+        return False
+    at = len(_SSH_MAGIC)
+
+    def skip(count: int) -> bool:
+        nonlocal at
+        for _ in range(count):
+            if at + 4 > len(data):
+                return False
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return at <= len(data)
+
+    if not skip(3) or at + 4 > len(data):
+        return False
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    return 1 <= keys <= 64 and skip(keys + 1) and at == len(data)
 
 
 def decoded(run: str, url: bool = False) -> bytes | None:
@@ -106,7 +147,7 @@ def is_signed_token(head: str, body: str, signature: str) -> bool:
 def structured(data: bytes | None) -> str | None:
     if not data:
         return None
-    return "der" if is_der(data) else "sshkey" if is_ssh(data) else None
+    return "der" if is_private(data) else "sshkey" if is_ssh(data) else None
 
 
 def decoded_any(run: str) -> bytes | None:
@@ -131,7 +172,7 @@ def wrapped_spans(text: str) -> list[tuple[int, int, str]]:
                     chars += len(text[slice(*lines[j])].rstrip("="))
                     j += 1
                 ends = [j]
-            elif head and (head[:4] == _SSH_MAGIC[:4] or head[:3] == b"\0\0\0"):
+            elif head and head[:4] == _SSH_MAGIC[:4]:
                 j = i
                 while j < len(lines) and lines[j][1] - lines[j][0] == e - s:
                     j += 1
@@ -162,7 +203,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            if structured(decoded("".join(m[2].replace("\\n", " ").replace("\\r", " ").split()))):
+            body = decoded("".join(m[3].replace("\\n", " ").replace("\\r", " ").split()))
+            if structured(body) or (body and len(body) % 8 == 0 and _ENCRYPTED.search(m[2])):
                 found.append((m.start(), m.end(), "pem"))
     if text.count(".") > 1:
         found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[1], m[2], m[3])]
@@ -225,24 +267,22 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """documents with every found secret replaced in text, and n_chars to match."""
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    """docs with every found secret replaced in text, and n_chars, if there is one, to match. Other columns stay."""
+    sized = "n_chars" in docs.columns
 
     def make():
         def step(c):
             done = [redact_text(t, scan_text(t)[1]) for t in c["text"]]
-            return c | {"text": done, "n_chars": [n if a is b or b is None else len(b) for n, a, b in zip(c["n_chars"], c["text"], done, strict=True)]}
+            sizes = [n if a is b or b is None else len(b) for n, a, b in zip(c["n_chars"], c["text"], done, strict=True)] if sized else []
+            return {"text": done, "n_chars": sizes}
 
         return step
 
-    return map_columns(docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")), schema, make)
+    kind = docs.schema["n_chars"].dataType.simpleString() if sized else ""
+    return with_columns(docs, ["text", "n_chars"] if sized else ["text"], "text string" + (f", n_chars {kind}" if sized else ""), make)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = scan(documents(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
-
-
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()

@@ -132,6 +132,8 @@ def test_crowded_near_duplicates(spark):
 def test_rules(docs):
     for t in texts():
         n, chars, symbols, dup, repeat, *_ = op4_quality_rules.measure(t)
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (symbols, dup) == (len(re.findall(r"[#*$%&|<>]", t or "")), sum(x in lines[:i] for i, x in enumerate(lines)))
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         tri = Counter(zip(w, w[1:], w[2:], strict=False))
         cover = {i + k for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for k in range(3)}
@@ -139,7 +141,18 @@ def test_rules(docs):
     book = op4_quality_rules.decide(op4_quality_rules.ledger(docs))
     assert book.count() == docs.count()
     assert {r["rule"]: r["failed"] for r in op4_quality_rules.ablation(book).collect()}["few_words"] == book.where("n_words < 50").count()
-    assert op4_quality_rules.accepted(docs).count() == book.where("kept").count()
+    assert op4_quality_rules.accepted(docs).count() == book.where("kept").count() and op4_quality_rules.accepted(docs).dtypes == docs.dtypes
+    assert op4_quality_rules.accepted(docs.select("text")).count() == book.where("kept").count() and op4_quality_rules.ledger(docs.limit(0)).count() == 0
+
+
+def test_rules_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    got, expect = op4_quality_rules.op4_quality_rules(spark, "/root/testdata/sf0.01").toPandas(), con.execute(op4_quality_rules.SQL).df()
+    key = lambda d: sorted(map(str, d[sorted(d.columns)].itertuples(index=False)))
+    assert key(got) == key(expect)
 
 
 def test_personal_data():

@@ -3,16 +3,20 @@
 Every rule is evaluated once for each document. The ledger keeps the measurements and one failure bit for each rule; a policy is a versioned mask, so
 applying another version, or asking what a rule alone rejects (ablation), is bitwise arithmetic over the ledger and reads no text again.
 
-Null text: no words, so it fails the base rules. Null doc_id: as any other. Repeated rows: each its own row. Empty table: no rows.
+Null text: no words, so it fails the base rules. Null doc_id: as any other. Repeated rows: each its own row. Very long texts: whole. Ties: rules count
+alike. Extra columns, whatever their names: not read by the ledger; accepted keeps them. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import re
+from string import ascii_lowercase, ascii_uppercase
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_columns, small_batches, words_of
+from .common import documents, free_name, map_columns, small_batches, with_columns, words_of
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_letters long, n_upper long, n_marks long, top_word long"
 
@@ -52,28 +56,48 @@ def measure(text: str | None) -> tuple[int, ...]:
             cover[k : len(hit) + k] |= hit
         repeat = int(cover.sum())
     lines = [x for x in text.split("\n") if x.strip(_SPACES)]
-    upper = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) if text.isascii() else sum(map(str.isupper, text))
-    letters = sum(map(text.lower().count, "abcdefghijklmnopqrstuvwxyz")) if text.isascii() else sum(map(str.isalpha, text))
+    upper = sum(map(text.count, ascii_uppercase))
+    letters = upper + sum(map(text.count, ascii_lowercase))
     return (
         len(words), len(text) - sum(map(text.count, _SPACES)), sum(map(text.count, _SYMBOLS)), len(lines) - len(set(lines)), repeat,
         len(lines), letters, upper, text.count("!"), int(np.bincount(ids).max()) if words else 0,
     )
 
 
+NAMES = [x.split()[0] for x in MEASURES.split(", ")]
+
+
+def bits(prefix: str = "") -> Column:
+    """The failure bits, over measurements that are columns, or fields of the column named by a prefix."""
+    total = F.lit(0).cast("long")
+    for i, (_, rule) in enumerate(RULES):
+        rule = re.sub(rf"\b({'|'.join(NAMES)})\b", rf"{prefix}\1", rule)
+        total = total + F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    return total
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements and fail_bits."""
-    names = [x.split()[0] for x in MEASURES.split(", ")]
 
     def make():
-        return lambda c: {"doc_id": c["doc_id"]} | dict(zip(names, zip(*map(measure, c["text"])), strict=True))
+        return lambda c: {"doc_id": c["doc_id"]} | dict(zip(NAMES, zip(*map(measure, c["text"])), strict=True))
 
     measured = map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), f"doc_id long, {MEASURES}", make)
-    bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, rule) in enumerate(RULES)), F.lit(0).cast("long"))
-    return measured.withColumn("fail_bits", bits)
+    return measured.withColumn("fail_bits", bits())
 
 
-def fails(mask: int) -> Column:
-    return F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long")) != 0
+def with_ledger(docs: DataFrame, out: str) -> DataFrame:
+    """docs with a column of the measurements and one, named out with _bits, of the failure bits."""
+
+    def make():
+        return lambda c: {out: [dict(zip(NAMES, measure(t), strict=True)) for t in c["text"]]}
+
+    fields = ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in MEASURES.split(", "))
+    return with_columns(docs, ["text"], f"`{out}` struct<{fields}>", make).withColumn(f"{out}_bits", bits(f"`{out}`."))
+
+
+def fails(mask: int, column: str = "fail_bits") -> Column:
+    return F.col(column).bitwiseAND(F.lit(mask).cast("long")) != 0
 
 
 def decide(book: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -94,27 +118,27 @@ def ablation(book: DataFrame, version: str = CURRENT) -> DataFrame:
     )
 
 
-def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    book = decide(ledger(documents(spark, sf_dir)))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
-
-
 def accepted(docs: DataFrame, version: str = CURRENT) -> DataFrame:
-    """The documents that a policy keeps, row by row, with the columns of documents."""
-    columns = "doc_id long, text string, lang string, source string, n_chars long"
-    names = [x.split()[0] for x in MEASURES.split(", ")]
-
-    def make():
-        return lambda c: c | {f"_{n}": v for n, v in zip(names, zip(*map(measure, c["text"])), strict=True)}
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    measured = map_columns(slim, columns + ", " + ", ".join(f"_{x}" for x in MEASURES.split(", ")), make)
-    bad = [F.expr(_prefixed(rule, names)) for name, rule in RULES if BITS[name] & (POLICIES[version] | BASE)]
-    for rule in bad:
-        measured = measured.where(~rule)
-    return measured.select("doc_id", "text", "lang", "source", "n_chars")
+    """The documents, with all their columns, whose ledger a policy keeps."""
+    book = free_name(docs, "ledger")
+    return with_ledger(docs, book).where(~fails(POLICIES[version] | BASE, f"{book}_bits")).select(docs.columns)
 
 
-def _prefixed(rule: str, names: list[str]) -> str:
-    return " ".join(f"_{x}" if x in names else x for x in rule.split())
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    book = decide(ledger(documents(spark, sf_dir)))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return book.select(*first, *[c for c in book.columns if c not in first])
+
+
+_BLANK = r"[ \t\n\x0b\f\r]"
+SQL = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT r, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT r, list_filter(string_split_regex(t, '{_BLANK}+'), lambda x: x <> '') AS l FROM d)),
+ g AS (SELECT r, i, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS g FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+ h AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g WHERE g IS NOT NULL) WHERE c > 1) GROUP BY r),
+ c AS (SELECT r, sum(n) AS n, max(n) AS top FROM (SELECT r, w, count(*) AS n FROM w GROUP BY r, w) GROUP BY r),
+ m AS (SELECT doc_id, coalesce(c.n, 0) AS n_words, length(regexp_replace(t, '{_BLANK}', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+  coalesce(h.n, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]', '', 'g')) AS n_marks, coalesce(top, 0) AS top_word
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')) AS l FROM d) LEFT JOIN c USING (r) LEFT JOIN h USING (r)),
+ b AS (SELECT *, {" + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES))} AS bits FROM m)
+SELECT doc_id, {", ".join(f"CAST({n} AS BIGINT) AS {n}" for n in NAMES)}, bits & {BASE} <> 0 AS base_failed, bits & {POLICIES[CURRENT] | BASE} = 0 AS kept, CAST(bits AS BIGINT) AS fail_bits FROM b"""

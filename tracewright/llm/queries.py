@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op1_shard import op1_shard
 from .op2_syncmers import op2_syncmers
 from .op3_near_dedup import op3_near_dedup
+from .op4_quality_rules import SQL as op4_quality_rules_sql
 from .op4_quality_rules import op4_quality_rules
 from .op5_pii import op5_pii
 from .op6_pack import op6_pack
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": op4_quality_rules_sql}

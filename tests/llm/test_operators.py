@@ -177,6 +177,50 @@ def test_packing(docs):
     assert op6_pack.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_order(spark, docs, monkeypatch):
+    """The stream follows the curve, whatever the parts: against a full sort. Nulls and repeated rows too."""
+    many = docs.unionByName(docs.where("doc_id < 3")).unionByName(docs.where("doc_id = 5").withColumn("x", op6_pack.F.explode(op6_pack.F.sequence(op6_pack.F.lit(1), op6_pack.F.lit(30)))).drop("x"))
+    keys = {(r.doc_id, r.n): r.key for r in op6_pack.tokenised(many).collect()}
+    for rows in (1 << 20, 7):
+        monkeypatch.setattr(op6_pack, "PART_ROWS", rows)
+        got = op6_pack.pack(many).toPandas()
+        got["at"] = got["sequence_id"] * 4096 + got["offset"]
+        got = got.sort_values("at")
+        assert got["length"].sum() == sum(r.n for r in op6_pack.tokenised(many).collect()) and (got["at"].to_numpy()[1:] == (got["at"] + got["length"]).to_numpy()[:-1]).all()
+        first = got[got["start"] == 0]
+        assert len(first) == many.count()
+        seen = [keys[None if d != d else int(d), n] for d, n in zip(first["doc_id"], first["doc_tokens"], strict=True)]
+        assert seen == sorted(seen)
+
+
+def test_packing_keeps_the_mix(spark, docs, tmp_path):
+    """Documents stay within their windows of rows, window by window."""
+    docs.coalesce(1).write.parquet(str(tmp_path / "m"))
+    read = spark.read.parquet(str(tmp_path / "m"))
+    order = [r.doc_id for r in read.select("doc_id", "_metadata.row_index").orderBy("row_index").collect()]
+    got = op6_pack.pack_mixed(read, window=8).where("start = 0").toPandas()
+    got["at"] = got["sequence_id"] * 4096 + got["offset"]
+    ids = [None if x != x else int(x) for x in got.sort_values("at")["doc_id"]]
+    assert len(ids) == len(order) and all(Counter(ids[i : i + 8]) == Counter(order[i : i + 8]) for i in range(0, len(ids), 8)) and ids != order
+
+
+def test_other_tokenizers():
+    """One whose pieces reach across blanks gets whole texts."""
+    import glob
+    import os
+
+    from tokenizers import Tokenizer
+
+    for path in glob.glob(os.path.join(os.path.dirname(op6_pack.tokenizer_path(None)), "*.json")):
+        try:
+            encoder = op6_pack.Encoder(path)
+        except Exception:  # no tokenizer, or too many ids
+            continue
+        t = Tokenizer.from_file(path)
+        for x in texts():
+            assert encoder.ids([x])[0] == np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u2").tobytes()
+
+
 def test_classifier(spark):
     sf = "/root/testdata/sf0.01"
     got = op7_quality_rulefit.op7_quality_rulefit(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()

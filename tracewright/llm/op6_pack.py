@@ -4,10 +4,15 @@ A document's token counts are hashed to a vector of few dimensions by random sig
 distribution, and the cell's number on the Hilbert curve is the document's key. Documents in key order form one stream of ids, cut every 4,096: so like
 documents share sequences, and only the last sequence is padded.
 
-The order is (cell, part, key, doc_id): a cell is the leading bits of the key, and a cell of many documents is dealt into parts, so that no task holds a
-whole cell. Offsets are sums over parts and cells. Ids are tokenised once and travel as 16 bits.
+The order is (key, doc_id, count, ids). A cell is the leading bits of the key, and is dealt into parts at keys between which PART_ROWS documents or few more
+stand, so that no task holds a whole cell; a key that many documents share is a part of its own, and only that is dealt on by hash. Offsets are sums over
+parts and cells. Ids are tokenised once and travel as 16 bits.
 
-Null text: as an empty one, the end id alone. Null doc_id: sorts first in its part. Repeated rows: each packed. Empty table: no rows.
+pack_mixed keeps the order in which the rows stand in their files as well: windows of WINDOW rows follow one another, and the curve orders documents within
+each. So the sequences carry the sources of a mix in its proportions, and documents of a window still stand beside those like them.
+
+Null text: as an empty one, the end id alone. Null doc_id: sorts first among equal keys. Repeated rows: each packed. Very long texts: whole, over as many
+sequences as they need. Ties: rows equal in key, doc_id, count and ids are alike. Extra columns, whatever their names: not read. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -22,15 +27,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_columns, materialise, small_batches
+from .common import documents, map_columns, materialise, small_batches, with_columns
 
 LENGTH = 4096
 END = 2
 DIMS, BITS = 4, 8
 #: Leading bits of the key that make a cell: 2**12 cells at most reach the driver.
 CELL_BITS = 12
-#: Documents for which a cell gets one more part.
-PART_ROWS = 4096
+#: Documents of a part of a cell.
+PART_ROWS = 1024
+#: Rows of a window of pack_mixed.
+WINDOW = 1024
 #: Distinct chunks whose ids a worker remembers, in each of two generations.
 CACHE = 200_000
 #: Chunks that the tokenizer gets at once.
@@ -41,6 +48,8 @@ _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _SIMPLE = re.compile("[\x00-\x26\x28-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[^a-z\u00df-\u00f6\u00f8-\u00ff \t\n\r\x0b\x0c]+")
 _WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Texts on which a tokenizer must give the same by chunks.
+_PROBES = ["The quick  brown\tfox's don't", "A-b c_d, e.f! 12 345 6e7", " Émile\u00a0\u3000naïve ſ ﬁ ½", "x\n\ny  ", "日本語 text 漢字", "a\u0301b \U0001f600 ok", "UPPER lower MiXeD", "end.</w> <|x|>"]
 
 
 def chunks(text: str) -> list[str]:
@@ -85,8 +94,11 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         if self.size > 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        self.parted = True
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        whole = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in _PROBES]
+        self.parted = [x[:-2] for x in self.ids(_PROBES)] == whole
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for at in range(0, len(texts), BATCH) for e in self.tokenizer.encode_batch_fast(texts[at : at + BATCH], add_special_tokens=False)]
@@ -109,14 +121,16 @@ class Encoder:
             self.known[x] += ids.tobytes()
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text, with the end id."""
+        """Little-endian 16-bit ids of each text, with the end id. A tokenizer that doesn't treat chunks on their own gets whole texts."""
+        end = np.array([END], "<u2").tobytes()
+        if not self.parted:
+            return [x.tobytes() + end for x in self._encoded([t or "" for t in texts])]
         if len(self.known) > CACHE:
             self.known.older = {}
             self.known = _Memory(self.known)
         known = self.known
         found = [list(map(known.__getitem__, chunks(t or ""))) for t in texts]
         self._fill(known.new)
-        end = np.array([END], "<u2").tobytes()
         out = [b"".join(f) + end for f in found]
         for x in known.new:
             known[x] = bytes(known[x])
@@ -176,8 +190,8 @@ def curve_keys(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     return hilbert(np.minimum((even * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, key, n, ids."""
+def tokenised(docs: DataFrame, path: str | None = None, more: list[str] | None = None) -> DataFrame:
+    """more columns of docs, doc_id, key, n, ids."""
 
     def make():
         encoder = encoder_of(path)
@@ -186,11 +200,12 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
         def step(c):
             ids = encoder.ids(c["text"])
             arrays = [np.frombuffer(x, "<u2") for x in ids]
-            return {"doc_id": c["doc_id"], "key": curve_keys(arrays, table), "n": [len(x) for x in arrays], "ids": ids}
+            return {"key": curve_keys(arrays, table), "n": [len(x) for x in arrays], "ids": ids}
 
         return step
 
-    return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, key long, n long, ids binary", make)
+    slim = docs.select(*(more or []), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_columns(slim, ["text"], "key long, n long, ids binary", make).drop("text")
 
 
 def pieces_of(start: int, n: int, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
@@ -204,25 +219,22 @@ def pieces_of(start: int, n: int, length: int = LENGTH) -> list[tuple[int, int,
     return out
 
 
-def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    spark = docs.sparkSession
-    cell = F.shiftright("key", DIMS * BITS - CELL_BITS)
-    rows = materialise(tokenised(docs, path), "pack-ids").withColumn("cell", cell)
-    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")).collect()  # 2**CELL_BITS rows at most
-    at, table = 0, []
-    for c, n, tokens in sorted(cells):
-        table.append((c, 1 + n // PART_ROWS, at))
-        at += tokens
-    table = F.broadcast(spark.createDataFrame(table, "cell long, parts long, cell_start long"))
-    # A large cell's documents are alike to its leading bits: its parts are slices by hash, each in key order.
-    dealt = rows.join(table, "cell").withColumn("part", F.pmod(F.xxhash64("doc_id", "n"), F.col("parts")))
-    sums = dealt.groupBy("cell", "part", "cell_start").agg(F.sum("n").alias("tokens"))
-    before = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("cell", "part", (F.col("cell_start") + F.coalesce(F.sum("tokens").over(before), F.lit(0))).alias("part_start"))
-    within = Window.partitionBy("cell", "part").orderBy("key", "doc_id", "n", "ids").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.select("doc_id", "n", "ids", "cell", "part", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("inner")).join(starts, ["cell", "part"])
-    placed = placed.select("doc_id", "n", "ids", (F.col("part_start") + F.col("inner")).alias("at"))
+def placed(rows: DataFrame, starts_of: dict[int, int]) -> DataFrame:
+    """doc_id, n, ids and at, the document's place in the stream. rows: doc_id, key, n, ids, and cell, part, salt, in whose order parts follow one another.
+    starts_of: where each cell begins."""
+    spark = rows.sparkSession
+    cells = spark.createDataFrame(list(starts_of.items()), "cell long, cell_start long")
+    sums = rows.groupBy("cell", "part", "salt").agg(F.sum("n").alias("tokens"))
+    before = Window.partitionBy("cell").orderBy("part", "salt").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    starts = sums.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).join(F.broadcast(cells), "cell")
+    starts = starts.select("cell", "part", "salt", (F.col("cell_start") + F.col("before")).alias("part_start"))
+    within = Window.partitionBy("cell", "part", "salt").orderBy("key", "doc_id", "n", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    inner = rows.select("doc_id", "n", "ids", "cell", "part", "salt", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("inner"))
+    return inner.join(starts, ["cell", "part", "salt"]).select("doc_id", "n", "ids", (F.col("part_start") + F.col("inner")).alias("at"))
+
+
+def pieces(rows: DataFrame, length: int) -> DataFrame:
+    """A row for each piece of placed documents."""
 
     def make():
         def step(c):
@@ -236,7 +248,43 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Data
 
         return step
 
-    return map_columns(placed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", make)
+    return map_columns(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", make)
+
+
+def running(sums: list[tuple[int, int]]) -> dict[int, int]:
+    """Where each cell begins, from the tokens of each."""
+    out, at = {}, 0
+    for cell, tokens in sorted(sums):
+        out[cell] = at
+        at += tokens
+    return out
+
+
+def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    cell = F.shiftright("key", DIMS * BITS - CELL_BITS)
+    rows = materialise(tokenised(docs, path), "pack-ids").withColumn("cell", cell)
+    keys = rows.groupBy("cell", "key").agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy("cell").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))  # 2**20 keys of a cell at most
+    hot = F.col("rows") >= PART_ROWS
+    keys = keys.withColumn("part", (2 * F.floor(F.coalesce(upto, F.lit(0)) / PART_ROWS) + hot.cast("int")).cast("long"))
+    parts = keys.groupBy("cell", "part").agg(F.min("key").alias("low"), F.sum("rows").alias("rows"))
+    salts = F.when(F.col("part") % 2 == 1, F.floor(F.col("rows") / PART_ROWS)).otherwise(0) + 1  # an odd part is one key
+    parts = parts.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("low", "part", salts.alias("salts")))).alias("parts"))
+    dealt = rows.join(materialise(parts, "pack-parts"), "cell").withColumn("p", F.element_at(F.filter("parts", lambda x: x["low"] <= F.col("key")), -1))
+    dealt = dealt.select("doc_id", "key", "n", "ids", "cell", F.col("p.part").alias("part"), F.pmod(F.xxhash64("doc_id", "n"), F.col("p.salts")).alias("salt"))
+    sums = [(r[0], r[1]) for r in rows.groupBy("cell").agg(F.sum("n")).collect()]  # 2**CELL_BITS rows at most
+    return pieces(placed(dealt, running(sums)), length)
+
+
+def pack_mixed(docs: DataFrame, length: int = LENGTH, path: str | None = None, window: int = WINDOW) -> DataFrame:
+    """As pack, for docs that are read from files: windows of their rows follow one another in the order of file names and of rows in a file."""
+    named = docs.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = materialise(tokenised(named, path, ["file", "row"]), "pack-ids")
+    found = sorted((r[0], r[1]) for r in rows.groupBy("file").agg(F.sum("n")).collect())  # a row for each file
+    files = rows.sparkSession.createDataFrame([(f, i) for i, (f, _) in enumerate(found)], "file string, cell long")
+    dealt = rows.join(F.broadcast(files), "file").withColumns({"part": F.floor(F.col("row") / window), "salt": F.lit(0).cast("long")})
+    return pieces(placed(dealt.drop("file", "row"), running([(i, n) for i, (_, n) in enumerate(found)])), length)
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

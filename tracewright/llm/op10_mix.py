@@ -7,7 +7,11 @@ Weights are used as exact fractions over the whole schedule. It depends on the w
 block of each source at a time, and writes it to a table in chunks; rows find their slot by a join. A source whose blocks are spent leaves its slots empty;
 the others keep their proportions. All rows are placed once.
 
-Null source: a source of its own, named ''. Null doc_id: as any other. Repeated rows: each placed. Empty table: no rows.
+interleaved writes the order down as the order of rows in files; pack_mixed of op6 reads it from there.
+
+Null source, or none: a source of its own, named ''. Null doc_id: as any other. Repeated rows: each placed; in interleaved they stand together, at the first
+place. Very long texts: only hashed. Ties of doc_id: by the text's hash. Extra columns, whatever their names: not read; interleaved keeps them. Empty table:
+no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, ranked, scratch
+from .common import documents, free_name, materialise, ranked, scratch
 
 BLOCK = 64
 #: Target weights where none are given: shares of rows to this power, which lifts small sources.
@@ -87,7 +91,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     """doc_id, tie (hash of the text), source, block (from 0 in its source), release, deadline, slot, position (gapless from 0 over all rows, in slot order)."""
     spark = docs.sparkSession
     tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
-    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), F.coalesce(F.col("source"), F.lit("")).alias("source")), "mix-rows")
+    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), (F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")).alias("source")), "mix-rows")
     counts = {r[0]: r[1] for r in rows.groupBy("source").agg(F.count(F.lit(1))).collect()}  # a row for each source, as many as weights
     named = "doc_id long, tie long, source string, block long, release long, deadline long, slot long, position long"
     if not counts:
@@ -104,11 +108,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
 
 
 def interleaved(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """documents in the order of their positions: dealt by ranges of it, and sorted within each."""
+    """docs, with all their columns, in the order of their positions: dealt by ranges of it, and sorted within each."""
+    i, t, at = (free_name(docs, n) for n in ("id", "tie", "position"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    at = mix(docs, weights, block).groupBy(key.alias("__id"), F.col("tie").alias("__tie")).agg(F.min("position").alias("__position"))
-    found = docs.withColumns({"__id": key, "__tie": F.xxhash64("text")}).join(at, ["__id", "__tie"])
-    return found.repartitionByRange("__position").sortWithinPartitions("__position").select(docs.columns)
+    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    found = mix(docs, weights, block).groupBy(key.alias(i), F.col("tie").alias(t)).agg(F.min("position").alias(at))
+    out = docs.withColumns({i: key, t: tie}).join(found, [i, t])
+    return out.repartitionByRange(at).sortWithinPartitions(at).select(docs.columns)
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

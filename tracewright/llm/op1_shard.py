@@ -5,7 +5,9 @@ balanced tree. Groups of like size are interchangeable, so the packing runs on a
 2**17 classes whatever the data), which is all that reaches the driver; groups are numbered within their class in a distributed way and find their
 bin by number. Law: bytes.
 
-Null text: size 1, as an empty one, and in its group. Null doc_id: dealt like any other row. Repeated rows: each gets a slot. Empty table: no rows.
+Null text: size 1, as an empty one, and in its group. Null doc_id: dealt like any other row. Repeated rows: each gets a slot. Very long texts: whole, a
+group like others. Ties: groups of a class are interchangeable; slots follow doc_id, then the text's hash. Extra columns, whatever their names: not read.
+Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -139,10 +141,14 @@ def shard(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = N
     groups = base.groupBy("text_key").agg(F.sum("size").alias("group_size"))
     unit = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(F.col("group_size"))) - (CLASS_BITS - 1))).cast("long")
     groups = materialise(groups.withColumn("size_class", (F.col("group_size") / unit).cast("long") * unit), "shard-groups")
-    classes = [(r[0], r[1] / r[2], r[2]) for r in groups.groupBy("size_class").agg(F.sum("group_size"), F.count(F.lit(1))).collect()]
-    runs = even_bins(classes, shards) if shards else best_fit_decreasing(classes, capacity)
-    plan = spark.createDataFrame(runs, "size_class long, first long, end long, shard int")
-    placed = ranked(groups, ["size_class"], ["text_key"], "n").join(F.broadcast(plan), "size_class").where("n >= first and n < end")
+    size = F.sum("group_size") / F.count(F.lit(1)) if shards else F.max("group_size").cast("double")  # a fixed capacity must hold the largest of a class
+    classes = [(r[0], r[1], r[2]) for r in groups.groupBy("size_class").agg(size, F.count(F.lit(1))).collect()]  # fewer than 2**17 rows
+    runs: dict[int, list] = {}
+    for c, first, _, to in even_bins(classes, shards) if shards else best_fit_decreasing(classes, capacity):
+        runs.setdefault(c, []).append((first, to))
+    plan = spark.createDataFrame([(c, sorted(x)) for c, x in runs.items()], "size_class long, runs array<struct<first:long,shard:int>>")
+    placed = ranked(groups, ["size_class"], ["text_key"], "n").join(plan, "size_class")
+    placed = placed.withColumn("shard", F.element_at(F.filter("runs", lambda x: x["first"] <= F.col("n")), -1)["shard"])
     rows = materialise(base.join(placed.select("text_key", "shard"), "text_key").select("doc_id", "size", "text_crc32", "shard"), "shard-placed")
     return ranked(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot").select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 

@@ -2,13 +2,15 @@
 
 A text is a sequence of symbols: words [^\\x20\\x09-\\x0D]+, runs of over PIECE characters cut into pieces. A k-mer of K symbols is picked if the least hash among
 its inner S-mers stands at its first or last place. Whether a k-mer is picked depends on the k-mer alone, so equal passages pick equal anchors wherever
-they stand. The fingerprint is the KEPT least hashes of the picked k-mers in hexadecimal; likeness is the share of the union's KEPT least hashes that both hold.
-A text of fewer than K symbols, or with none picked, has the hash of its whole sequence.
+they stand (within a run of over PIECE characters without a blank, only at equal distances from its start). anchors gives every pick with its position. The
+fingerprint is the KEPT least hashes of the picked k-mers in hexadecimal; likeness is the share of the union's KEPT least hashes that both hold. A text of
+fewer than K symbols, or with none picked, has the hash of its whole sequence.
 
 The next document is found by dealing rows into ranges of doc_id, in each of which the first row of the next range stands as a guard: one shuffle.
 
 Null text: as an empty one, with an empty fingerprint; two empty fingerprints are alike (1), an empty and another are not (0). Null doc_id: sorts first.
-Repeated rows: ordered by text hash, each its own row. A single document is its own next one. Empty table: no rows.
+Repeated rows: ordered by text hash, each its own row. Very long texts: whole. A single document is its own next one. Extra columns, whatever their names: not
+read. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -25,18 +27,32 @@ K, S, PIECE, KEPT = 6, 2, 12, 64
 RANGE_ROWS, RANGES = 2048, 1 << 16
 
 
-def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the sorted least hashes of the picked k-mers of a text column. Each step is a column of its own, so that nothing is worked out twice."""
-    h, m, at = f"__h_{out}", f"__m_{out}", f"__at_{out}"
+def with_picks(df: DataFrame, text: str, h: str, at: str) -> DataFrame:
+    """df with the hashes of a text's symbols and the places (from 1) of its picked k-mers, null for fewer than K symbols. Each step is a column of its own,
+    so that nothing is worked out twice."""
+    m = f"{h}_m"
     df = df.withColumn(h, F.transform(F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0)), lambda x: F.xxhash64(x)))
     n = F.size(h)
     df = df.withColumn(m, F.when(n >= S, F.zip_with(F.slice(h, 1, n - 1), F.slice(h, 2, n - 1), lambda a, b: F.xxhash64(a, b))))
     inner = K - S + 1
     edge = lambda i: F.array_min(F.slice(m, i, inner)) == F.least(F.get(m, i - 1), F.get(m, i + (inner - 2)))
-    df = df.withColumn(at, F.when(n >= K, F.filter(F.sequence(F.lit(1), n - (K - 1)), edge)))
+    return df.withColumn(at, F.when(n >= K, F.filter(F.sequence(F.lit(1), n - (K - 1)), edge))).drop(m)
+
+
+def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the sorted least hashes of the picked k-mers of a text column."""
+    h, at = f"__h_{out}", f"__at_{out}"
+    df = with_picks(df, text, h, at)
     picked = F.transform(at, lambda i: F.xxhash64(F.slice(h, i, K)))
-    df = df.withColumn(out, F.when(n == 0, F.array().cast("array<bigint>")).when(F.size(at) > 0, F.slice(F.array_sort(F.array_distinct(picked)), 1, KEPT)).otherwise(F.array(F.xxhash64(h))))
-    return df.drop(h, m, at)
+    df = df.withColumn(out, F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(at) > 0, F.slice(F.array_sort(F.array_distinct(picked)), 1, KEPT)).otherwise(F.array(F.xxhash64(h))))
+    return df.drop(h, at)
+
+
+def anchors(docs: DataFrame) -> DataFrame:
+    """doc_id, position (of the k-mer's first symbol, from 0) and hash of every picked k-mer of every whole text: a row for each, for positional matching by
+    joins on the hash. Nothing is left out, however long the text."""
+    rows = with_picks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), "text", "h", "at")
+    return rows.select("doc_id", "h", F.explode("at").alias("i")).select("doc_id", (F.col("i") - 1).cast("long").alias("position"), F.xxhash64(F.slice("h", F.col("i"), K)).alias("hash"))
 
 
 def likeness(a: str, b: str) -> Column:

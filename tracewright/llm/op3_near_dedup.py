@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, free_name, map_columns, materialise, small_batches, words_of
+from .common import documents, free_name, map_columns, materialise, release, small_batches, words_of
 
 #: Linked sets share so many retained values at least (if they have as many), or this share of the smaller set: more of them make longer sketches, but
 #: fewer classes in the lists.
@@ -266,6 +266,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     some = rows.where("n_shingles > 0")
     classes = some.groupBy("cid").agg(F.min(F.struct(_least_id().alias("did"), "text_hash")).alias("rep"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialise(classes, "dedup-classes")
+    sketched, rows = rows, materialise(rows.drop("sketch"), "dedup-plain")
+    release(sketched)
 
     # Inverted lists of retained values, and each class's rarest values. Counts are written, so that a crowded list is split like any skewed join.
     values = classes.select("cid", "n", F.explode("sketch").alias("v"))
@@ -275,7 +277,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     by_class = Window.partitionBy("cid")
     listed = values.join(often, "v").withColumns({"shared": F.count(F.lit(1)).over(by_class), "central": F.sum("df").over(by_class)}).withColumn("rank", F.row_number().over(by_class.orderBy("df", "v")))
     listed = listed.where(F.col("rank") <= F.col("shared") - wanted + 1).select("v", "cid", "n", "central")
-    listed = materialise(listed, "dedup-lists")
+    listed = listed_all = materialise(listed, "dedup-lists")
     involved = classes.join(listed.select("cid").distinct(), "cid", "left_semi")
     involved = materialise(involved.select("cid", "n", "rep.did", "rep.text_hash", "sketch"), "dedup-involved")
     texts = docs.select(_least_id().alias("did"), F.xxhash64("text").alias("text_hash"), "text").join(involved.select("cid", "did", "text_hash"), ["did", "text_hash"])
@@ -286,6 +288,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     rest = involved.select("cid", "n").join(owned, "cid", "left").select("cid", (F.col("n") - F.coalesce("own", F.lit(0))).alias("rest"))
     listed = listed.join(rest, "cid").where(F.lit(den) * F.col("rest") >= F.lit(num) * F.col("n"))
     listed = materialise(listed.select("v", "cid", "n", "central"), "dedup-rare")
+    release(often, listed_all)
 
     confirmed = F.lit(den) * F.col("shared") >= F.lit(num) * F.col("union")
     heads = listed.groupBy("v").agg(F.max(F.struct("central", "cid")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("v", F.col("l.cid").alias("head"))
@@ -311,7 +314,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     named = classes.select("cid", "least").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     first = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = named.join(first, "comp").select("cid", "component_id")
-    out = rows.drop("sketch").join(named, "cid", "left")
+    out = rows.join(named, "cid", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", component)
     return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

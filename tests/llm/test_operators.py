@@ -61,6 +61,20 @@ def test_best_fit():
     assert sorted((sizes[c], b) for c, x, y, b in runs for _ in range(x, y)) == sorted(expect)
 
 
+def test_capacity(spark):
+    """No bin is over the capacity, but those of one larger group; best fit decreasing of the class maxima by brute force for the number of bins."""
+    rng = random.Random(6)
+    rows = [(i, "x" * int(2 ** rng.uniform(3, 14))) for i in range(400)] + [(400 + i, "y" * 30000) for i in range(2)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", op1_shard.F.lit(1)).withColumn("runs", op1_shard.F.lit(1))
+    got = op1_shard.shard(docs, None, 40000).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    crowded = got.groupby("shard")["text_crc32"].nunique()
+    assert len(got) == len(rows) and ((sums <= 40000) | (crowded == 1)).all() and sums.sum() == sum(len(t or "") + 1 for _, t in rows)
+    assert len(sums) <= 1.2 * sums.sum() / 40000 + 2
+    even = op1_shard.shard(docs, 8).toPandas().groupby("shard")["size"].sum()
+    assert even.max() <= max(60002, 1.02 * even.sum() / 8)
+
+
 def test_fingerprints(docs):
     got = op2_syncmers.fingerprints(docs.dropDuplicates()).toPandas().sort_values("doc_id", na_position="first").reset_index(drop=True)
     all_texts = ["a null id", *[t or "" for t in texts()]]
@@ -74,6 +88,48 @@ def test_fingerprints(docs):
     assert got["near_edited"].between(0, 1).all() and got["near_next"].between(0, 1).all()
 
 
+def picks_of(text):
+    """Brute force: (position, hash) of the picked k-mers, with Spark's xxhash64 of strings, of two longs and of arrays of longs."""
+    import xxhash
+
+    word = lambda w: xxhash.xxh64_intdigest(w.encode(), 42)
+    fold = lambda xs: __import__("functools").reduce(lambda seed, x: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed), xs, 42)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = [word(w) for w in re.findall(rf"[^\x20\x09-\x0D]{{1,{op2_syncmers.PIECE}}}", text)]
+    out = []
+    for i in range(len(h) - op2_syncmers.K + 1):
+        inner = [signed(fold(h[j : j + op2_syncmers.S])) for j in range(i, i + op2_syncmers.K - op2_syncmers.S + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, signed(fold(h[i : i + op2_syncmers.K]))))
+    return out, [signed(fold(h))] if h else []
+
+
+def sketch_of(text):
+    picked, whole = picks_of(text)
+    return sorted({h for _, h in picked})[: op2_syncmers.KEPT] if picked else whole
+
+
+def alike(a, b):
+    union = sorted({*a, *b})[: op2_syncmers.KEPT]
+    return 1.0 if not union else len({*a} & {*b} & {*union}) / len(union)
+
+
+def test_anchors_by_brute_force(docs):
+    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    got = {}
+    for r in op2_syncmers.anchors(some).collect():
+        got.setdefault(r.doc_id, []).append((r.position, r.hash))
+    for i, t in enumerate(texts()):
+        assert sorted(got.get(i, [])) == picks_of(t or "")[0]
+    assert op2_syncmers.anchors(docs.limit(0)).count() == 0 and op2_syncmers.fingerprints(docs.limit(0)).count() == 0
+    found = op2_syncmers.fingerprints(docs.dropDuplicates()).toPandas().sort_values("doc_id", na_position="first").reset_index(drop=True)
+    all_texts = ["a null id", *[t or "" for t in texts()]]
+    for i, t in enumerate(all_texts):
+        own, half, after = sketch_of(t), len(t) // 2, all_texts[(i + 1) % len(all_texts)]
+        assert found["fingerprint"][i] == "".join(f"{x & (2**64 - 1):016x}" for x in own)
+        assert found["near_next"][i] == pytest.approx(alike(own, sketch_of(after))) and found["near_edited"][i] == pytest.approx(alike(own, sketch_of(t[: len(t) - half] + after[:half])))
+
+
 def components_of(all_texts, num=85):
     """Brute force: shingle set and least reachable number of each text."""
     sets = {}
@@ -259,6 +315,35 @@ def test_language_model(spark, docs):
         assert sum(q.values()) + 10 ** model.alpha[h] * (1 - sum(uni[w] for w in q)) == pytest.approx(1)
 
 
+def katz_score(rows, cut):
+    """Brute force: score of each text by the definitions."""
+    tok = lambda t: [b"", *[w.lower() for w in (t or "").encode().split()], b""]
+    train = [tok(t) for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 10]
+    uni, pairs = Counter(w for x in train for w in x[1:]), Counter(p for x in train for p in zip(x, x[1:], strict=False))
+    n = sum(uni.values())
+    slope1, slope2 = (op9_katz.line({r: k for r, k in Counter(c.values()).items() if r <= op9_katz.FITTED}) for c in (uni, pairs))
+    share = lambda c, b: c * (1 + 1 / c) ** (b + 1)
+    p = {w: share(c, slope1) / n for w, c in uni.items()}
+    unknown = 1 - sum(p.values())
+    q = {x: share(c, slope2) / uni[x[0]] for x, c in pairs.items() if c >= cut}
+    kept: dict = {}
+    for (h, w), v in q.items():
+        a, b = kept.get(h, (0, 0))
+        kept[h] = (a + v, b + p[w])
+    alpha = {h: (1 - a) / (1 - b) for h, (a, b) in kept.items()}
+    one = lambda h, w: q[h, w] if (h, w) in q else alpha.get(h, 1) * p.get(w, unknown)
+    return [sum(np.log10(one(h, w)) for h, w in zip(tok(t), tok(t)[1:], strict=False)) for _, t in rows]
+
+
+@pytest.mark.parametrize("cut", [1, 2])
+def test_language_model_by_brute_force(docs, cut):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    expect = sorted((-1 if i is None else i, round(s, 5)) for (i, _), s in zip(rows, katz_score(rows, cut), strict=True))
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 5)) for r in op9_katz.scored(docs, cut).collect())
+    assert [i for i, _ in got] == [i for i, _ in expect] and np.allclose([s for _, s in got], [s for _, s in expect], atol=2e-5)
+    assert op9_katz.scored(docs.limit(0), cut).count() == 0
+
+
 def test_language_model_beyond_broadcast(docs, monkeypatch):
     """What is broadcast decides only where a count is looked up."""
     score = lambda: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in op9_katz.scored(docs).collect())
@@ -278,7 +363,13 @@ def test_mixing(docs):
     for t, (s, *_) in enumerate(op10_mix.schedule(share), 1):
         done[s] += 1
         assert all(abs(done[x] - a * t / 64) < 1 for x, a in share.items())
-    assert op10_mix.interleaved(docs).count() == docs.count()
+    rows = sorted((r.source or "", -(2**63) if r.doc_id is None else r.doc_id) for r in docs.collect())
+    expect = {s: [i for x, i in rows if x == s] for s, _ in rows}
+    for (s, b), g in got.sort_values("position").groupby(["source", "block"]):
+        assert [-(2**63) if x != x else int(x) for x in g["doc_id"]] == expect[s][4 * b : 4 * b + 4] or len(expect[s]) > 4
+    assert sorted(-(2**63) if x != x else int(x) for x in got["doc_id"]) == sorted(i for _, i in rows)
+    mixed = op10_mix.interleaved(docs)
+    assert mixed.count() == docs.count() and mixed.dtypes == docs.dtypes and op10_mix.interleaved(docs.select("doc_id")).count() == docs.count()
     assert op10_mix.mix(docs.limit(0)).count() == 0
 
 

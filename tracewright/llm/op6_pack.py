@@ -24,6 +24,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -278,7 +279,12 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Data
 
 
 def pack_mixed(docs: DataFrame, length: int = LENGTH, path: str | None = None, window: int = WINDOW) -> DataFrame:
-    """As pack, for docs that are read from files: windows of their rows follow one another in the order of file names and of rows in a file."""
+    """As pack, for docs that are read from files (others are written first): windows of their rows follow one another in the order of file names and of
+    rows in a file."""
+    try:
+        docs.select("_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        docs = materialise(docs, "pack-docs")
     named = docs.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialise(tokenised(named, path, ["file", "row"]), "pack-ids")
     found = sorted((r[0], r[1]) for r in rows.groupBy("file").agg(F.sum("n")).collect())  # a row for each file

@@ -10,7 +10,9 @@ The cut is a parameter, the same at every size of input. The query's is CUT: pai
 test tables, are counted, enter the Good-Turing line, and back off. With a cut of 1 every pair is kept, at about twice the cost.
 
 Words and pairs above a relative frequency are broadcast: counts add up to N, so no more than MOST_WORDS and MOST_PAIRS of them. This decides only where a
-count is looked up. All kept pairs stand in a table; those that are not broadcast, and rarer words, find their counts by joins.
+count is looked up. All kept pairs stand in a table; those that are not broadcast, and rarer words, find their counts by joins. A bitmap of fixed size, in
+which each kept pair sets one bit, is broadcast too: a pair whose bit isn't set has no entry to find and isn't sent. With more pairs than bits it lets all
+pass, and the joins decide alone.
 
 Null text: as an empty one (one end). Null doc_id: crc32 of empty text. Repeated rows: each its own row. Very long texts: whole. Ties: none matter. Extra
 columns, whatever their names: not read. Empty table: no rows.
@@ -24,13 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import STEP, crc_mod, documents, materialise, small_batches, words_of
 
 #: Words and pairs above these relative frequencies are broadcast: at most so many of each.
-MOST_WORDS, MOST_PAIRS = 1 << 21, 1 << 21
+MOST_WORDS, MOST_PAIRS = 1 << 22, 1 << 21
+#: Leading bits of a pair's hash that are its place in the bitmap.
+PLACE = 27
 #: Least count of a pair that is kept, at every size.
 CUT = 2
 #: Entries at which a task passes on what it has counted.
@@ -107,6 +112,40 @@ def rare_pairs(text: str | None, x: np.ndarray, keys: np.ndarray) -> list[tuple[
     return [(k, name[i] + b"\n" + name[i + 1]) for i, k in zip(at.tolist(), keys[at].tolist(), strict=True)]
 
 
+_U = np.uint64
+
+
+def places(keys: np.ndarray, rare: list[bytes] | None, bits: int) -> np.ndarray:
+    """Place of each pair in a bitmap of 2**bits."""
+    x = keys.astype(np.int64).view(_U)
+    if rare is not None:
+        x = x ^ np.fromiter((xxhash.xxh3_64_intdigest(r) if r else 0 for r in rare), _U, len(rare))
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return (x ^ (x >> _U(31))) >> _U(64 - bits)
+
+
+def bitmap(pairs: DataFrame, place: int) -> np.ndarray:
+    """2**place bits in bytes, set for the pairs (key, rare). Words of bits are joined in each task and then over tasks; 2**place / 64 rows at most reach the
+    driver."""
+
+    def run(batches):
+        for batch in batches:
+            at = np.unique(places(batch.column(0).to_numpy(), batch.column(1).to_pylist(), place))
+            word, start = np.unique(at >> _U(6), return_index=True)
+            bits = np.bitwise_or.reduceat(_U(1) << (at & _U(63)), start) if len(at) else np.empty(0, _U)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    found = pairs.select("key", "rare").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(max(1, (1 << place) // 64), np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def may_hold(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
+
+
 def pair_counts(texts: DataFrame, words, end: int) -> DataFrame:
     """key and rare (see pair_keys and rare_pairs; rare is empty where both words are indexed), c. words: a broadcast list in order of id."""
 
@@ -154,6 +193,8 @@ class Model:
         self.n, self.kinds, self.slope, self.slope2, self.unknown = n, kinds, slope, -2.0, unknown
         self.alpha = np.zeros(len(words))
         self.keys, self.pair = np.empty(0, np.int64), np.empty(0)
+        self.place = PLACE
+        self.bits = np.zeros((1 << PLACE) // 8, np.uint8)
 
     def text(self, text: str | None, index: dict[bytes, int]) -> tuple[int, int, float, float, Counter, np.ndarray, list]:
         """Tokens, indexed ones, sums of base and model over what is indexed, the other words, whose unigrams and alphas are still to be added, and the
@@ -173,7 +214,12 @@ class Model:
         words = words_of(text, lower=True)
         other = Counter(words[i] if i < len(words) else END for i in np.flatnonzero(~known))
         keys = pair_keys(x, self.wide)
-        return len(w), int(known.sum()), base, float(score.sum()), other, keys[both[~hit]], rare_pairs(text, x, keys) if self.words else []
+        near = keys[both[~hit]]
+        near = near[may_hold(self.bits, places(near, None, self.place))] if len(near) else near
+        far = rare_pairs(text, x, keys) if self.words else []
+        if far:
+            far = [r for r, ok in zip(far, may_hold(self.bits, places(np.array([k for k, _ in far], np.int64), [r for _, r in far], self.place)).tolist(), strict=True) if ok]
+        return len(w), int(known.sum()), base, float(score.sum()), other, near, far
 
 
 def _found(df: DataFrame, word: str, table: DataFrame, value: str) -> DataFrame:
@@ -239,6 +285,7 @@ def gathered(docs: DataFrame, cut: int = CUT) -> tuple[Model, DataFrame, DataFra
     keys = (keys // (model.wide + 1) - 1) * model.wide + keys % (model.wide + 1) - 1
     order = np.argsort(keys)
     model.keys, model.pair = keys[order], np.log10(kept["q"].to_numpy()[order])
+    model.bits = bitmap(pairs.where(~near), model.place)
     return model, unigrams, materialise(by_word, "katz-alphas"), pairs.where(~near)
 
 

@@ -348,7 +348,8 @@ def test_language_model_beyond_broadcast(docs, monkeypatch):
     """What is broadcast decides only where a count is looked up."""
     score = lambda: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in op9_katz.scored(docs).collect())
     expect = score()
-    for words, pairs in ((1 << 22, 500), (200, 500)):
+    for words, pairs, place in ((1 << 22, 500, 27), (200, 500, 27), (200, 500, 8)):
+        monkeypatch.setattr(op9_katz, "PLACE", place)
         monkeypatch.setattr(op9_katz, "MOST_WORDS", words)
         monkeypatch.setattr(op9_katz, "MOST_PAIRS", pairs)
         assert score() == expect

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP, crc_mod, documents, materialise, small_batches, words_of
+from .common import STEP, crc_mod, documents, materialise, release, small_batches, words_of
 
 #: Words and pairs above these relative frequencies are broadcast: at most so many of each.
 MOST_WORDS, MOST_PAIRS = 1 << 22, 1 << 21
@@ -89,9 +89,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def indexed(text: str | None, index: dict[bytes, int], end: int) -> np.ndarray:
+def indexed(words: list[bytes], index: dict[bytes, int], end: int) -> np.ndarray:
     """Ids of an end, the words and an end; -1 for a word outside the index."""
-    words = words_of(text, lower=True)
     out = np.empty(len(words) + 2, np.int64)
     get = index.get
     out[1:-1] = [get(w, -1) for w in words]
@@ -104,12 +103,13 @@ def pair_keys(x: np.ndarray, wide: int) -> np.ndarray:
     return (x[:-1] + 1) * (wide + 1) + x[1:] + 1
 
 
-def rare_pairs(text: str | None, x: np.ndarray, keys: np.ndarray) -> list[tuple[int, bytes]]:
+def rare_pairs(words: list[bytes], x: np.ndarray, keys: np.ndarray) -> list[tuple[int, bytes]]:
     """Key of each pair with a word outside the index, and its words outside the index around a newline, which no word holds."""
-    seq = [END, *words_of(text, lower=True), END]
-    name = [b"" if i >= 0 else w for i, w in zip(x.tolist(), seq, strict=True)]
     at = np.flatnonzero((x[:-1] < 0) | (x[1:] < 0))
-    return [(k, name[i] + b"\n" + name[i + 1]) for i, k in zip(at.tolist(), keys[at].tolist(), strict=True)]
+    if not len(at):
+        return []
+    seq, out = [END, *words, END], (x < 0).tolist()
+    return [(k, (seq[i] if out[i] else b"") + b"\n" + (seq[i + 1] if out[i + 1] else b"")) for i, k in zip(at.tolist(), keys[at].tolist(), strict=True)]
 
 
 _U = np.uint64
@@ -163,10 +163,11 @@ def pair_counts(texts: DataFrame, words, end: int) -> DataFrame:
 
         for some in _texts(batches):
             for t in some:
-                x = indexed(t, index, end)
+                found = words_of(t, lower=True)
+                x = indexed(found, index, end)
                 keys = pair_keys(x, wide)
                 waiting.append(keys[(x[:-1] >= 0) & (x[1:] >= 0)])
-                seen.update(rare_pairs(t, x, keys))
+                seen.update(rare_pairs(found, x, keys))
                 n += len(waiting[-1])
             if n > 8 * FLUSH:
                 yield from out()
@@ -199,7 +200,8 @@ class Model:
     def text(self, text: str | None, index: dict[bytes, int]) -> tuple[int, int, float, float, Counter, np.ndarray, list]:
         """Tokens, indexed ones, sums of base and model over what is indexed, the other words, whose unigrams and alphas are still to be added, and the
         pairs that are not broadcast, of indexed words and of others."""
-        x = indexed(text, index, self.end)
+        words = words_of(text, lower=True)
+        x = indexed(words, index, self.end)
         h, w = x[:-1], x[1:]
         known = w >= 0
         base = float(self.base[w[known]].sum())
@@ -211,12 +213,11 @@ class Model:
             at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
             hit = self.keys[at] == k
             score[both[hit]] = self.pair[at[hit]]
-        words = words_of(text, lower=True)
-        other = Counter(words[i] if i < len(words) else END for i in np.flatnonzero(~known))
+        other = Counter(words[i] if i < len(words) else END for i in np.flatnonzero(~known).tolist())
         keys = pair_keys(x, self.wide)
         near = keys[both[~hit]]
         near = near[may_hold(self.bits, places(near, None, self.place))] if len(near) else near
-        far = rare_pairs(text, x, keys) if self.words else []
+        far = rare_pairs(words, x, keys) if self.words else []
         if far:
             far = [r for r, ok in zip(far, may_hold(self.bits, places(np.array([k for k, _ in far], np.int64), [r for _, r in far], self.place)).tolist(), strict=True) if ok]
         return len(w), int(known.sum()), base, float(score.sum()), other, near, far
@@ -275,6 +276,7 @@ def gathered(docs: DataFrame, cut: int = CUT) -> tuple[Model, DataFrame, DataFra
     of_counts = {r: few.get[f"n{r}"] for r in range(1, cut) if few.get[f"n{r}"]}
     model.slope2 = line(of_counts | dict(map(tuple, bigrams.where(F.col("c") <= FITTED).groupBy("c").count().collect())))
     pairs = materialise(annotated(bigrams, model, unigrams), "katz-pairs")
+    release(bigrams)
     alpha = (1 - F.sum("q")) / (1 - F.sum("p"))
     by_id = pairs.where("h >= 0").groupBy("h").agg(F.log10(alpha).alias("la")).toArrow()  # as many rows as indexed words at most
     model.alpha[by_id["h"].to_numpy()] = by_id["la"].to_numpy()
@@ -286,7 +288,9 @@ def gathered(docs: DataFrame, cut: int = CUT) -> tuple[Model, DataFrame, DataFra
     order = np.argsort(keys)
     model.keys, model.pair = keys[order], np.log10(kept["q"].to_numpy()[order])
     model.bits = bitmap(pairs.where(~near), model.place)
-    return model, unigrams, materialise(by_word, "katz-alphas"), pairs.where(~near)
+    alphas, others = materialise(by_word, "katz-alphas"), materialise(pairs.where(~near), "katz-others")
+    release(pairs)
+    return model, unigrams, alphas, others
 
 
 def fit(docs: DataFrame, cut: int = CUT) -> tuple[Model, DataFrame]:
@@ -341,6 +345,7 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
     sums = words.select("row", F.when(c > 0, F.col("tf")).otherwise(0).alias("k"), (F.col("tf") * base).alias("b"), (F.col("tf") * (uni + F.coalesce("la", F.lit(0.0)))).alias("s"))
     if pairs is not None:
         gain = materialise(gains(pairs, alphas, model), "katz-gains")
+        release(pairs)
         near = rows.select("row", F.explode("pairs").alias("key")).join(gain.where(F.length("rare") == 0).select("key", "gain"), "key")
         far = rows.select("row", F.explode("rare").alias("o")).select("row", "o.key", "o.rare").join(gain.where(F.length("rare") > 0), ["key", "rare"])
         more_of = [x.select("row", F.lit(0).alias("k"), F.lit(0.0).alias("b"), F.col("gain").alias("s")) for x in (near, far)]

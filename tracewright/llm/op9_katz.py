@@ -9,8 +9,8 @@ A text starts after an end.
 The cut is a parameter, the same at every size of input. The query's is CUT: pairs seen once, 80 % of the distinct pairs and 45 % of their occurrences in the
 test tables, are counted, enter the Good-Turing line, and back off. With a cut of 1 every pair is kept, at about twice the cost.
 
-Words and pairs above a relative frequency are broadcast: counts add up to N, so no more than MOST_WORDS and MOST_PAIRS of them. This decides only where a
-count is looked up. All kept pairs stand in a table; those that are not broadcast, and rarer words, find their counts by joins. A bitmap of fixed size, in
+Words above a relative frequency, MOST_WORDS at most as counts add up to N, and the most frequent pairs, MOST_PAIRS at most, are broadcast. This decides only
+where a count is looked up. All kept pairs stand in a table; those that are not broadcast, and rarer words, find their counts by joins. A bitmap of fixed size, in
 which each kept pair sets one bit, is broadcast too: a pair whose bit isn't set has no entry to find and isn't sent. With more pairs than bits it lets all
 pass, and the joins decide alone.
 
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import STEP, crc_mod, documents, materialise, release, small_batches, words_of
 
-#: Words and pairs above these relative frequencies are broadcast: at most so many of each.
-MOST_WORDS, MOST_PAIRS = 1 << 22, 1 << 21
+#: Words and pairs that are broadcast, at most.
+MOST_WORDS, MOST_PAIRS = 1 << 22, 1 << 22
 #: Leading bits of a pair's hash that are its place in the bitmap.
 PLACE = 27
 #: Least count of a pair that is kept, at every size.
@@ -263,7 +263,7 @@ def gathered(docs: DataFrame, cut: int = CUT) -> tuple[Model, DataFrame, DataFra
     slope = line(dict(map(tuple, unigrams.where(F.col("c") <= FITTED).groupBy("c").count().collect())))  # FITTED rows at most
     by_count = [(r[0], r[1]) for r in unigrams.groupBy("c").count().collect()] if n else []  # distinct counts: below sqrt(2 N)
     unknown = 1 - sum(float(kept_share(c, slope)) * c * k for c, k in by_count) / n if n else 1.0
-    cut1, cut2 = max(2, math.ceil(n / MOST_WORDS)), max(cut, math.ceil(n / MOST_PAIRS))
+    cut1 = max(2, math.ceil(n / MOST_WORDS))
     top = unigrams.where((F.col("c") >= cut1) | (F.length("word") == 0)).toArrow()
     found = sorted(zip(top["c"].to_pylist(), top["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
     words, counts = [w for _, w in found], np.array([c for c, _ in found], np.float64)
@@ -273,6 +273,12 @@ def gathered(docs: DataFrame, cut: int = CUT) -> tuple[Model, DataFrame, DataFra
     few = Observation()
     counted = pair_counts(train, spark.sparkContext.broadcast(words), model.end).observe(few, F.lit(0).alias("n0"), *[F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, cut)])
     bigrams = materialise(counted.where(F.col("c") >= cut), "katz-bigrams")
+    cut2, total = cut, 0
+    for c, k in sorted(map(tuple, bigrams.groupBy("c").count().collect()), reverse=True):  # distinct counts: below sqrt(2 N)
+        total += k
+        if total > MOST_PAIRS:
+            cut2 = c + 1
+            break
     of_counts = {r: few.get[f"n{r}"] for r in range(1, cut) if few.get[f"n{r}"]}
     model.slope2 = line(of_counts | dict(map(tuple, bigrams.where(F.col("c") <= FITTED).groupBy("c").count().collect())))
     pairs = materialise(annotated(bigrams, model, unigrams), "katz-pairs")

@@ -8,9 +8,12 @@ from pyspark.sql.types import StructType
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it comes in fewer partitions (one small file), for steps that work hard on each row. Partitions are never merged."""
+    """df over all cores where it comes in fewer partitions (one small file), for steps that work hard on each row. Partitions are never merged, and what
+    comes from a shuffle stays as it is: asking for its partitions would run the shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:

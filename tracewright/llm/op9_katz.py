@@ -21,16 +21,16 @@ columns, whatever their names: not read. Empty table: no rows.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP, crc_mod, documents, materialise, release, small_batches, words_of
+from .common import crc_mod, documents, materialise, release, small_batches
 
 #: Words and pairs that are broadcast, at most.
 MOST_WORDS, MOST_PAIRS = 1 << 22, 1 << 22
@@ -40,6 +40,8 @@ PLACE = 27
 CUT = 2
 #: Entries at which a task passes on what it has counted.
 FLUSH = 400_000
+#: Bytes of text that a Python step takes at once, unless one text is longer.
+PART = 1 << 23
 #: Counts from 1 that the line is fitted to.
 FITTED = 200
 END = b""
@@ -64,37 +66,63 @@ def kept_share(c, b: float):
     return (1 + 1 / c) ** (b + 1)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with PART bytes of text (the last column) at most, or one text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            yield batch.slice(at, STEP).column(0).to_pylist()
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, done = 0, 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, done + PART, "right")))
+            yield batch.slice(at, end - at)
+            at, done = end, int(upto[end - 1])
+
+
+def sequence(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The tokens of all texts after an end, as places in a list of words; this list, lower-cased, its last one the end; tokens of each text, its end
+    included. Words are [^\\x20\\x09-\\x0D]+, which is just how ascii_split_whitespace parts; it gives an empty word beside a blank at either end of a text."""
+    parted = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = parted.flatten().dictionary_encode()
+    code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary())
+    owner = np.repeat(np.arange(len(parted)), pc.list_value_length(parted).to_numpy(zero_copy_only=False))
+    blank = pc.index(words, pa.scalar(END, pa.binary())).as_py()
+    if blank >= 0:
+        full = code != blank
+        code, owner = code[full], owner[full]
+    out = np.full(len(code) + len(parted) + 1, len(words), np.int64)
+    out[np.arange(len(code)) + owner + 1] = code
+    return out, pa.concat_arrays([words, pa.array([END], pa.binary())]), np.bincount(owner, minlength=len(parted)) + 1
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """word (UTF-8, lower-cased; empty: the end), c."""
 
     def run(batches):
-        seen: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-        for some in _texts(batches):
-            for t in some:
-                seen.update(words_of(t, lower=True))
-            seen[END] += len(some)
-            if len(seen) > FLUSH:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
+        waiting, n = [], 0
+
+        def out():
+            found = pa.Table.from_batches(waiting).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
+            return found.combine_chunks().to_batches()
+
+        for part in _parts(batches):
+            seq, words, _ = sequence(part.column(0))
+            c = np.bincount(seq[1:], minlength=len(words)).astype(np.int64)
+            there = np.flatnonzero(c)
+            waiting.append(pa.RecordBatch.from_arrays([words.take(pa.array(there)), pa.array(c[there])], ["word", "c"]))
+            n += len(there)
+            if n > 4 * FLUSH:
+                yield from out()
+                waiting, n = [], 0
+        if n:
+            yield from out()
 
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def indexed(words: list[bytes], index: dict[bytes, int], end: int) -> np.ndarray:
-    """Ids of an end, the words and an end; -1 for a word outside the index."""
-    out = np.empty(len(words) + 2, np.int64)
+def ids(words: pa.Array, index: dict[bytes, int], end: int) -> np.ndarray:
+    """Ids of the words of a sequence; -1 for a word outside the index."""
     get = index.get
-    out[1:-1] = [get(w, -1) for w in words]
-    out[0] = out[-1] = end
+    out = np.array([get(w, -1) for w in words.to_pylist()], np.int64)
+    out[-1] = end
     return out
 
 
@@ -103,23 +131,45 @@ def pair_keys(x: np.ndarray, wide: int) -> np.ndarray:
     return (x[:-1] + 1) * (wide + 1) + x[1:] + 1
 
 
-def rare_pairs(words: list[bytes], x: np.ndarray, keys: np.ndarray) -> list[tuple[int, bytes]]:
-    """Key of each pair with a word outside the index, and its words outside the index around a newline, which no word holds."""
-    at = np.flatnonzero((x[:-1] < 0) | (x[1:] < 0))
-    if not len(at):
-        return []
-    seq, out = [END, *words, END], (x < 0).tolist()
-    return [(k, (seq[i] if out[i] else b"") + b"\n" + (seq[i + 1] if out[i + 1] else b"")) for i, k in zip(at.tolist(), keys[at].tolist(), strict=True)]
+class Rare:
+    """The pairs of a sequence with a word outside the index: at, where they stand; of, which of the different ones each is, in code, c times each."""
+
+    def __init__(self, seq: np.ndarray, x: np.ndarray, words: pa.Array):
+        self.at = np.flatnonzero((x[:-1] < 0) | (x[1:] < 0))
+        self.words, wide = words, len(words)
+        code, first, self.of, self.c = np.unique(seq[self.at] * wide + seq[self.at + 1], return_index=True, return_inverse=True, return_counts=True)
+        where, end = self.at[first], wide - 1
+        self.first = where
+        self.h, self.w = np.where(x[where] < 0, code // wide, end), np.where(x[where + 1] < 0, code % wide, end)
+
+    def names(self, which: np.ndarray) -> pa.Array:
+        """Of different ones, their words outside the index (others and the end: empty) around a newline, which no word holds."""
+        return pc.binary_join_element_wise(self.words.take(pa.array(self.h[which])), self.words.take(pa.array(self.w[which])), pa.scalar(b"\n", pa.binary()))
+
+    def marks(self) -> np.ndarray:
+        """See marks(); of the different ones."""
+        need, back = np.unique(np.concatenate([self.h, self.w]), return_inverse=True)
+        hashed = marks(self.words.take(pa.array(need)).to_pylist())[back]
+        return joined_marks(hashed[: len(self.h)], hashed[len(self.h) :])
 
 
 _U = np.uint64
 
 
-def places(keys: np.ndarray, rare: list[bytes] | None, bits: int) -> np.ndarray:
-    """Place of each pair in a bitmap of 2**bits."""
+def marks(words: list[bytes]) -> np.ndarray:
+    """A hash of each word; 0 for an empty one."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) if w else 0 for w in words), _U, len(words))
+
+
+def joined_marks(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return h ^ (w * _U(0x9E3779B97F4A7C15))
+
+
+def places(keys: np.ndarray, rare: np.ndarray | None, bits: int) -> np.ndarray:
+    """Place of each pair in a bitmap of 2**bits. rare: joined marks of the words outside the index."""
     x = keys.astype(np.int64).view(_U)
     if rare is not None:
-        x = x ^ np.fromiter((xxhash.xxh3_64_intdigest(r) if r else 0 for r in rare), _U, len(rare))
+        x = x ^ rare
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return (x ^ (x >> _U(31))) >> _U(64 - bits)
@@ -131,7 +181,8 @@ def bitmap(pairs: DataFrame, place: int) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            at = np.unique(places(batch.column(0).to_numpy(), batch.column(1).to_pylist(), place))
+            names = [r.split(b"\n") if r else (b"", b"") for r in batch.column(1).to_pylist()]
+            at = np.unique(places(batch.column(0).to_numpy(), joined_marks(marks([a for a, _ in names]), marks([b for _, b in names])), place))
             word, start = np.unique(at >> _U(6), return_index=True)
             bits = np.bitwise_or.reduceat(_U(1) << (at & _U(63)), start) if len(at) else np.empty(0, _U)
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
@@ -147,38 +198,31 @@ def may_hold(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def pair_counts(texts: DataFrame, words, end: int) -> DataFrame:
-    """key and rare (see pair_keys and rare_pairs; rare is empty where both words are indexed), c. words: a broadcast list in order of id."""
+    """key and rare (see pair_keys and Rare.names; rare is empty where both words are indexed), c. words: a broadcast list in order of id."""
 
     def run(batches):
         index = {w: i for i, w in enumerate(words.value)}
         wide = len(index)
-        waiting, n, seen = [], 0, Counter()
+        waiting, n = [], 0
 
         def out():
             keys, c = np.unique(np.concatenate(waiting), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([b""] * len(keys), pa.binary()), pa.array(c.astype(np.int64))], ["key", "rare", "c"])
-
-        def out_rare():
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int64()), pa.array([r for _, r in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["key", "rare", "c"])
-
-        for some in _texts(batches):
-            for t in some:
-                found = words_of(t, lower=True)
-                x = indexed(found, index, end)
-                keys = pair_keys(x, wide)
-                waiting.append(keys[(x[:-1] >= 0) & (x[1:] >= 0)])
-                seen.update(rare_pairs(found, x, keys))
-                n += len(waiting[-1])
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([b""] * len(keys), pa.binary()), pa.array(c.astype(np.int64))], ["key", "rare", "c"])
+
+        for part in _parts(batches):
+            seq, names, _ = sequence(part.column(0))
+            x = ids(names, index, end)[seq]
+            keys = pair_keys(x, wide)
+            waiting.append(keys[(x[:-1] >= 0) & (x[1:] >= 0)])
+            n += len(waiting[-1])
+            rare = Rare(seq, x, names)
+            if len(rare.at):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[rare.first]), rare.names(np.arange(len(rare.first))), pa.array(rare.c.astype(np.int64))], ["key", "rare", "c"])
             if n > 8 * FLUSH:
-                yield from out()
+                yield out()
                 waiting, n = [], 0
-            if len(seen) > FLUSH:
-                yield from out_rare()
-                seen.clear()
         if n:
-            yield from out()
-        if seen:
-            yield from out_rare()
+            yield out()
 
     return texts.select("text").mapInArrow(run, "key long, rare binary, c long").groupBy("key", "rare").agg(F.sum("c").alias("c"))
 
@@ -197,30 +241,49 @@ class Model:
         self.place = PLACE
         self.bits = np.zeros((1 << PLACE) // 8, np.uint8)
 
-    def text(self, text: str | None, index: dict[bytes, int]) -> tuple[int, int, float, float, Counter, np.ndarray, list]:
-        """Tokens, indexed ones, sums of base and model over what is indexed, the other words, whose unigrams and alphas are still to be added, and the
-        pairs that are not broadcast, of indexed words and of others."""
-        words = words_of(text, lower=True)
-        x = indexed(words, index, self.end)
+    def texts(self, texts: pa.Array, index: dict[bytes, int]) -> list[pa.Array]:
+        """Of each text: tokens, indexed ones, sums of base and model over what is indexed, the other words, whose unigrams and alphas are still to be added,
+        and the pairs that are not broadcast, of indexed words and of others."""
+        seq, names, sizes = sequence(texts)
+        x = ids(names, index, self.end)[seq]
         h, w = x[:-1], x[1:]
-        known = w >= 0
-        base = float(self.base[w[known]].sum())
-        score = np.where(known, self.uni[np.where(known, w, 0)], 0.0) + np.where(h >= 0, self.alpha[np.where(h >= 0, h, 0)], 0.0) if len(self.words) else np.zeros(len(w))
-        both = np.flatnonzero(known & (h >= 0))
-        hit = np.zeros(len(both), bool)
-        if len(self.keys) and len(both):
-            k = h[both] * self.wide + w[both]
-            at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-            hit = self.keys[at] == k
-            score[both[hit]] = self.pair[at[hit]]
-        other = Counter(words[i] if i < len(words) else END for i in np.flatnonzero(~known).tolist())
-        keys = pair_keys(x, self.wide)
-        near = keys[both[~hit]]
-        near = near[may_hold(self.bits, places(near, None, self.place))] if len(near) else near
-        far = rare_pairs(words, x, keys) if self.words else []
-        if far:
-            far = [r for r, ok in zip(far, may_hold(self.bits, places(np.array([k for k, _ in far], np.int64), [r for _, r in far], self.place)).tolist(), strict=True) if ok]
-        return len(w), int(known.sum()), base, float(score.sum()), other, near, far
+        known, some = w >= 0, len(self.words) > 0
+        owner, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+        base, score = np.zeros(len(w)), np.zeros(len(w))
+        pairs, near = np.empty(0, np.int64), np.empty(0, np.int64)
+        if some:
+            at = np.maximum(w, 0)
+            base = np.where(known, self.base[at], 0.0)
+            score = np.where(known, self.uni[at], 0.0) + np.where(h >= 0, self.alpha[np.maximum(h, 0)], 0.0)
+            both = np.flatnonzero(known & (h >= 0))
+            k, of = np.unique(h[both] * self.wide + w[both], return_inverse=True)
+            hit = np.zeros(len(k), bool)
+            if len(self.keys) and len(k):
+                at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+                hit = self.keys[at] == k
+                found = hit[of]
+                score[both[found]] = self.pair[at[of[found]]]
+            wide_keys = (k // self.wide + 1) * (self.wide + 1) + k % self.wide + 1
+            hold = ~hit
+            hold[hold] = may_hold(self.bits, places(wide_keys[hold], None, self.place))
+            near = both[hold[of]]
+            pairs = wide_keys[of[hold[of]]]
+        rare = Rare(seq, x, names)
+        far, far_names, far_keys = np.empty(0, np.int64), pa.array([], pa.binary()), np.empty(0, np.int64)
+        if some and len(rare.at):
+            hold = may_hold(self.bits, places(pair_keys(x, self.wide)[rare.first], rare.marks(), self.place))
+            chosen = hold[rare.of]
+            far = rare.at[chosen]
+            far_names = rare.names(rare.of[chosen])
+            far_keys = pair_keys(x, self.wide)[far]
+        other, tf = np.unique(owner[~known] * len(names) + seq[1:][~known], return_counts=True)
+        starts_of = lambda at: pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(sizes)))]).astype(np.int32))
+        lists = [
+            pa.ListArray.from_arrays(starts_of(other // len(names)), pa.StructArray.from_arrays([names.take(pa.array(other % len(names))), pa.array(tf.astype(np.int64))], ["word", "tf"])),
+            pa.ListArray.from_arrays(starts_of(owner[near]), pa.array(pairs)),
+            pa.ListArray.from_arrays(starts_of(owner[far]), pa.StructArray.from_arrays([pa.array(far_keys), far_names], ["key", "rare"])),
+        ]
+        return [pa.array(sizes), *(pa.array(np.add.reduceat(v, starts)) for v in (known.astype(np.int64), base, score)), *lists]
 
 
 def _found(df: DataFrame, word: str, table: DataFrame, value: str) -> DataFrame:
@@ -245,8 +308,14 @@ def annotated(bigrams: DataFrame, model: Model, unigrams: DataFrame) -> DataFram
             hc = pa.array(counts[np.maximum(h, 0)], pa.float64(), mask=h < 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h), hs, ws, hc, pa.array(p[np.maximum(w, 0)], pa.float64(), mask=w < 0)], ["key", "rare", "c", "h", "hs", "ws", "hc", "p"])
 
-    rows = bigrams.select("key", "rare", "c").mapInArrow(run, "key long, rare binary, c long, h long, hs binary, ws binary, hc double, p double")
-    rows = _found(_found(rows, "hs", unigrams.select("word", F.col("c").alias("h_count")), "h_count"), "ws", unigrams.select("word", F.col("c").alias("w_count")), "w_count")
+    rows = lambda some: bigrams.where(some).select("key", "rare", "c").mapInArrow(run, "key long, rare binary, c long, h long, hs binary, ws binary, hc double, p double")
+    near = rows(F.length("rare") == 0).withColumns({x: F.lit(None).cast("long") for x in ("h_count", "w_count")})
+    # A row without such a word gets one that no table has, its own for each key, so that these rows spread.
+    stand_in = F.concat(F.lit("\n").cast("binary"), F.col("key").cast("string").cast("binary"))
+    far = rows(F.length("rare") > 0).withColumns({"hs_key": F.coalesce("hs", stand_in), "ws_key": F.coalesce("ws", stand_in)})
+    for x in "hw":
+        far = far.join(unigrams.select(F.col("word").alias(f"{x}s_key"), F.col("c").alias(f"{x}_count")), f"{x}s_key", "left")
+    rows = near.unionByName(far.select(near.columns))
     share = lambda c, slope: F.pow(1 + 1 / c, F.lit(slope + 1)) * c
     hc, p = F.coalesce("hc", F.col("h_count").cast("double")), F.coalesce("p", share(F.col("w_count").cast("double"), model.slope) / F.lit(float(model.n)))
     return rows.select("key", "rare", "c", "h", "hs", (share(F.col("c").cast("double"), model.slope2) / hc).alias("q"), p.alias("p"))
@@ -329,16 +398,8 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
     def run(batches):
         m = sent.value
         index = {w: i for i, w in enumerate(m.words)}
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                got = [m.text(t, index) for t in part.column(2).to_pylist()]
-                starts = lambda i: pa.array(np.cumsum([0, *(len(g[i]) for g in got)]).astype(np.int32))  # noqa: B023, E731
-                other = pa.StructArray.from_arrays([pa.array([w for g in got for w in g[4]], pa.binary()), pa.array([k for g in got for k in g[4].values()], pa.int64())], ["word", "tf"])
-                cols = [part.column(0), part.column(1), *(pa.array([g[i] for g in got], t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()), (3, pa.float64())))]
-                rare = pa.StructArray.from_arrays([pa.array([k for g in got for k, _ in g[6]], pa.int64()), pa.array([r for g in got for _, r in g[6]], pa.binary())], ["key", "rare"])
-                lists = [(starts(4), other), (starts(5), pa.array(np.concatenate([g[5] for g in got]))), (starts(6), rare)]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.ListArray.from_arrays(*x) for x in lists)], [*names, "other", "pairs", "rare"])
+        for part in _parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *m.texts(part.column(2), index)], [*names, "other", "pairs", "rare"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), "text")
     rows = slim.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, other array<struct<word:binary,tf:long>>, pairs array<long>, rare array<struct<key:long,rare:binary>>")

@@ -55,7 +55,12 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         store, where = _at(df.sparkSession, df._scratch)
         store.delete(where, True)
-    tables[0].sparkSession._jvm.System.gc()
+    drop_shuffles(tables[0].sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are done."""
+    spark._jvm.System.gc()
 
 
 def free_name(df: DataFrame, name: str) -> str:

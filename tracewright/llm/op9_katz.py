@@ -9,8 +9,8 @@ A text starts after an end.
 The cut is a parameter, the same at every size of input. The query's is CUT: pairs seen once, 80 % of the distinct pairs and 45 % of their occurrences in the
 test tables, are counted, enter the Good-Turing line, and back off. With a cut of 1 every pair is kept, at about twice the cost.
 
-Words above a relative frequency, MOST_WORDS at most as counts add up to N, and the most frequent pairs, MOST_PAIRS at most, are broadcast. This decides only
-where a count is looked up. All kept pairs stand in a table; those that are not broadcast, and rarer words, find their counts by joins. A bitmap of fixed size, in
+The most frequent words, MOST_WORDS and the end at most, and the most frequent pairs, MOST_PAIRS at most, are broadcast. This decides only where a count is
+looked up. All kept pairs stand in a table; those that are not broadcast, and rarer words, find their counts by joins. A bitmap of fixed size, in
 which each kept pair sets one bit, is broadcast too: a pair whose bit isn't set has no entry to find and isn't sent. With more pairs than bits it lets all
 pass, and the joins decide alone.
 
@@ -30,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, materialise, release, small_batches
+from .common import crc_mod, documents, drop_shuffles, materialise, release, small_batches
 
 #: Words and pairs that are broadcast, at most.
-MOST_WORDS, MOST_PAIRS = 1 << 22, 1 << 22
+MOST_WORDS, MOST_PAIRS = 1 << 19, 1 << 22
 #: Leading bits of a pair's hash that are its place in the bitmap.
 PLACE = 27
 #: Least count of a pair that is kept, at every size.
@@ -41,7 +41,7 @@ CUT = 2
 #: Entries at which a task passes on what it has counted.
 FLUSH = 400_000
 #: Bytes of text that a Python step takes at once, unless one text is longer.
-PART = 1 << 23
+PART = 1 << 22
 #: Counts from 1 that the line is fitted to.
 FITTED = 200
 END = b""
@@ -61,6 +61,16 @@ def line(counts: dict[int, int]) -> float:
     return min(b, -1.05)
 
 
+def least(of_counts: list[tuple[int, int]], most: int, low: int) -> int:
+    """Least count, low or more, that no more than so many entries reach. of_counts: each count and how many entries have it."""
+    total = 0
+    for c, k in sorted(of_counts, reverse=True):
+        total += k
+        if total > most:
+            return max(low, c + 1)
+    return low
+
+
 def kept_share(c, b: float):
     """Discount of a count."""
     return (1 + 1 / c) ** (b + 1)
@@ -329,27 +339,24 @@ def gathered(docs: DataFrame, cut: int = CUT) -> tuple[Model, DataFrame, DataFra
     unigrams = materialise(word_counts(train), "katz-unigrams")
     n, kinds = unigrams.agg(F.sum("c"), F.count(F.lit(1))).first()
     n = n or 0
-    slope = line(dict(map(tuple, unigrams.where(F.col("c") <= FITTED).groupBy("c").count().collect())))  # FITTED rows at most
     by_count = [(r[0], r[1]) for r in unigrams.groupBy("c").count().collect()] if n else []  # distinct counts: below sqrt(2 N)
+    slope = line({c: k for c, k in by_count if c <= FITTED})
     unknown = 1 - sum(float(kept_share(c, slope)) * c * k for c, k in by_count) / n if n else 1.0
-    cut1 = max(2, math.ceil(n / MOST_WORDS))
-    top = unigrams.where((F.col("c") >= cut1) | (F.length("word") == 0)).toArrow()
-    found = sorted(zip(top["c"].to_pylist(), top["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-    words, counts = [w for _, w in found], np.array([c for c, _ in found], np.float64)
+    cut1 = least(by_count, MOST_WORDS, 2)
+    top = unigrams.where((F.col("c") >= cut1) | (F.length("word") == 0)).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    words, counts = top["word"].to_pylist(), top["c"].to_numpy().astype(np.float64)
+    del top
     model = Model(words, counts, n, kinds, slope, unknown)
     if not words:
         return model, unigrams, None, None
     few = Observation()
     counted = pair_counts(train, spark.sparkContext.broadcast(words), model.end).observe(few, F.lit(0).alias("n0"), *[F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, cut)])
     bigrams = materialise(counted.where(F.col("c") >= cut), "katz-bigrams")
-    cut2, total = cut, 0
-    for c, k in sorted(map(tuple, bigrams.groupBy("c").count().collect()), reverse=True):  # distinct counts: below sqrt(2 N)
-        total += k
-        if total > MOST_PAIRS:
-            cut2 = c + 1
-            break
+    drop_shuffles(spark)
+    of_pairs = [(r[0], r[1]) for r in bigrams.groupBy("c").count().collect()]  # distinct counts: below sqrt(2 N)
+    cut2 = least(of_pairs, MOST_PAIRS, cut)
     of_counts = {r: few.get[f"n{r}"] for r in range(1, cut) if few.get[f"n{r}"]}
-    model.slope2 = line(of_counts | dict(map(tuple, bigrams.where(F.col("c") <= FITTED).groupBy("c").count().collect())))
+    model.slope2 = line(of_counts | {c: k for c, k in of_pairs if c <= FITTED})
     pairs = materialise(annotated(bigrams, model, unigrams), "katz-pairs")
     release(bigrams)
     alpha = (1 - F.sum("q")) / (1 - F.sum("p"))
@@ -362,7 +369,7 @@ def gathered(docs: DataFrame, cut: int = CUT) -> tuple[Model, DataFrame, DataFra
     keys = (keys // (model.wide + 1) - 1) * model.wide + keys % (model.wide + 1) - 1
     order = np.argsort(keys)
     model.keys, model.pair = keys[order], np.log10(kept["q"].to_numpy()[order])
-    model.bits = bitmap(pairs.where(~near), model.place)
+    model.bits = bitmap(pairs, model.place)
     alphas, others = materialise(by_word, "katz-alphas"), materialise(pairs.where(~near), "katz-others")
     release(pairs)
     return model, unigrams, alphas, others
@@ -404,6 +411,7 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), "text")
     rows = slim.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, other array<struct<word:binary,tf:long>>, pairs array<long>, rare array<struct<key:long,rare:binary>>")
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "katz-rows")
+    drop_shuffles(spark)
     words = rows.select("row", F.explode("other").alias("o")).select("row", "o.word", "o.tf").join(unigrams.join(alphas, "word", "left") if alphas is not None else unigrams.withColumn("la", F.lit(None).cast("double")), "word", "left")
     c = F.coalesce("c", F.lit(0)).cast("double")
     share = F.pow(1 + 1 / c, F.lit(model.slope + 1)) * c / F.lit(float(model.n or 1))

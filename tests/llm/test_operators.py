@@ -355,6 +355,70 @@ def test_language_model_beyond_broadcast(docs, monkeypatch):
         assert score() == expect
 
 
+def test_language_model_sends_pairs_many_to_a_row(spark, docs, monkeypatch):
+    """Tasks that hold what they send in rows of single pairs outgrew an executor."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def sent():
+        """Rows shuffled by stage; Spark forgets the oldest stages."""
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    found, one = {}, op9_katz.materialise
+
+    def watched(df, label):
+        before = sent()
+        out = one(df, label)
+        found[label] = sum(n for k, n in sent().items() if k > max(before, default=-1))
+        return out
+
+    monkeypatch.setattr(op9_katz, "materialise", watched)
+    monkeypatch.setattr(op9_katz, "MOST_PAIRS", 0)
+    assert op9_katz.scored(docs).count() == docs.count()
+    tok = lambda t: ["", *(t or "").lower().split(), ""]
+    pairs = {p for r in docs.collect() for p in zip(tok(r["text"]), tok(r["text"])[1:], strict=False)}
+    assert 0 < found["katz-bigrams"] < len(pairs) / 10 and 0 < found["katz-near"] < len(pairs) / 10
+
+
+@pytest.mark.parametrize(("words", "pairs"), [(60, 30), (1 << 19, 0)])
+def test_language_model_in_small_buckets(spark, docs, monkeypatch, words, pairs):
+    """Many buckets, and several rows of each from a task, give the scores of brute force."""
+    for name, value in (("BUCKET", 100), ("FLUSH", 1), ("GIVEN", 3), ("MOST_WORDS", words), ("MOST_PAIRS", pairs)):
+        monkeypatch.setattr(op9_katz, name, value)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "3")
+    try:
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 5)) for r in op9_katz.scored(docs).collect())
+    finally:
+        spark.conf.set(setting, before)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    expect = sorted((-1 if i is None else i, round(s, 5)) for (i, _), s in zip(rows, katz_score(rows, op9_katz.CUT), strict=True))
+    assert [i for i, _ in got] == [i for i, _ in expect] and np.allclose([s for _, s in got], [s for _, s in expect], atol=2e-5)
+
+
+def test_packed_pairs():
+    rng = np.random.default_rng(3)
+    keys, held = rng.integers(0, 1 << 45, 500), rng.integers(-5, 1 << 40, 500)
+    names = op9_katz.pa.array([b"%d\n" % k if k % 3 else b"\n%d" % k for k in keys], op9_katz.pa.binary())
+    for rare in (None, names):
+        joined = None if rare is None else op9_katz.rare_marks(rare)
+        rows = op9_katz.dealt(7, keys, held, 11, rare, joined).to_pylist()
+        assert [r["bucket"] for r in rows] == list(range(7)) and {r["first"] for r in rows} == {11}
+        got = [(k, c, *x) for r in rows for k, c, *x in zip(op9_katz.keys_of(r), op9_katz.unpacked(r["held"], r["n"]), *([op9_katz.names_of(r).to_pylist()] if rare is not None else []), strict=True)]
+        assert sorted(got) == sorted(zip(keys, held, *([names.to_pylist()] if rare is not None else []), strict=True))
+        assert all((op9_katz.mixed(op9_katz.keys_of(r), None if rare is None else op9_katz.rare_marks(op9_katz.names_of(r))) % op9_katz._U(7) == r["bucket"]).all() for r in rows)
+
+
+def test_index_of_words_with_one_hash(monkeypatch):
+    monkeypatch.setattr(op9_katz, "marks", lambda words: np.array([len(w) for w in words], np.uint64))
+    words = op9_katz.pa.array([b"aa", b"bb", b"ccc", b""], op9_katz.pa.binary())
+    index = op9_katz.Index(words)
+    asked = op9_katz.pa.array([b"ccc", b"bb", b"dd", b"aa", b"eeee", b""], op9_katz.pa.binary())
+    assert index.ids(asked, op9_katz.marks(asked.to_pylist()), 3).tolist() == [2, -1, -1, 0, -1, 3]
+
+
 def test_mixing(docs):
     got = op10_mix.mix(docs, block=4).toPandas()
     assert sorted(got["position"]) == list(range(docs.count()))

@@ -11,8 +11,11 @@ test tables, are counted, enter the Good-Turing line, and back off. With a cut o
 
 The most frequent words, MOST_WORDS and the end at most, and the most frequent pairs, MOST_PAIRS at most, are broadcast. This decides only where a count is
 looked up. All kept pairs stand in a table; those that are not broadcast, and rarer words, find their counts by joins. A bitmap of fixed size, in
-which each kept pair sets one bit, is broadcast too: a pair whose bit isn't set has no entry to find and isn't sent. With more pairs than bits it lets all
-pass, and the joins decide alone.
+which each pair of that table sets one bit, is broadcast too: a pair whose bit isn't set has no entry to find and isn't sent. With more pairs than bits it lets
+all pass, and the joins decide alone.
+
+Pairs are dealt into buckets by their hash, as many as the training tokens need (BUCKET), so a bucket's size doesn't follow the input. A task sends each bucket
+one row for many pairs: keys in order, as differences, and what belongs to them, compressed. The bucket's task adds counts up, or finds the entries of pairs.
 
 Null text: as an empty one (one end). Null doc_id: crc32 of empty text. Repeated rows: each its own row. Very long texts: whole. Ties: none matter. Extra
 columns, whatever their names: not read. Empty table: no rows.
@@ -22,26 +25,34 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import crc_mod, documents, drop_shuffles, materialise, release, small_batches
 
 #: Words and pairs that are broadcast, at most.
-MOST_WORDS, MOST_PAIRS = 1 << 19, 1 << 22
+MOST_WORDS, MOST_PAIRS = 1 << 19, 1 << 19
 #: Leading bits of a pair's hash that are its place in the bitmap.
 PLACE = 27
 #: Least count of a pair that is kept, at every size.
 CUT = 2
 #: Entries at which a task passes on what it has counted.
 FLUSH = 400_000
+#: Training tokens for each bucket of pairs.
+BUCKET = 1 << 21
+#: Rows of a batch that a Python step gives.
+GIVEN = 1 << 16
 #: Bytes of text that a Python step takes at once, unless one text is longer.
-PART = 1 << 22
+PART = 1 << 21
 #: Counts from 1 that the line is fitted to.
 FITTED = 200
 END = b""
@@ -111,7 +122,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         def out():
             found = pa.Table.from_batches(waiting).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
-            return found.combine_chunks().to_batches()
+            waiting.clear()
+            return found.to_batches(max_chunksize=GIVEN)
 
         for part in _parts(batches):
             seq, words, _ = sequence(part.column(0))
@@ -121,19 +133,32 @@ def word_counts(texts: DataFrame) -> DataFrame:
             n += len(there)
             if n > 4 * FLUSH:
                 yield from out()
-                waiting, n = [], 0
+                n = 0
         if n:
             yield from out()
+        pa.default_memory_pool().release_unused()
 
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def ids(words: pa.Array, index: dict[bytes, int], end: int) -> np.ndarray:
-    """Ids of the words of a sequence; -1 for a word outside the index."""
-    get = index.get
-    out = np.array([get(w, -1) for w in words.to_pylist()], np.int64)
-    out[-1] = end
-    return out
+class Index:
+    """Ids of words by the order of their hashes. Of words with the same hash one is found; the others count as outside the index, which only moves a lookup."""
+
+    def __init__(self, words: pa.Array):
+        self.words = words
+        hashed = marks(words.to_pylist())
+        self.order = np.argsort(hashed, kind="stable")
+        self.hashed = hashed[self.order]
+
+    def ids(self, words: pa.Array, hashed: np.ndarray, end: int) -> np.ndarray:
+        """Ids of the words of a sequence; -1 for a word outside the index."""
+        out = np.full(len(words), -1, np.int64)
+        if len(self.order):
+            at = self.order[np.minimum(np.searchsorted(self.hashed, hashed), len(self.order) - 1)]
+            same = pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+            out[same] = at[same]
+        out[-1] = end
+        return out
 
 
 def pair_keys(x: np.ndarray, wide: int) -> np.ndarray:
@@ -144,7 +169,8 @@ def pair_keys(x: np.ndarray, wide: int) -> np.ndarray:
 class Rare:
     """The pairs of a sequence with a word outside the index: at, where they stand; of, which of the different ones each is, in code, c times each."""
 
-    def __init__(self, seq: np.ndarray, x: np.ndarray, words: pa.Array):
+    def __init__(self, seq: np.ndarray, x: np.ndarray, words: pa.Array, hashed: np.ndarray):
+        self.hashed = hashed
         self.at = np.flatnonzero((x[:-1] < 0) | (x[1:] < 0))
         self.words, wide = words, len(words)
         code, first, self.of, self.c = np.unique(seq[self.at] * wide + seq[self.at + 1], return_index=True, return_inverse=True, return_counts=True)
@@ -158,9 +184,7 @@ class Rare:
 
     def marks(self) -> np.ndarray:
         """See marks(); of the different ones."""
-        need, back = np.unique(np.concatenate([self.h, self.w]), return_inverse=True)
-        hashed = marks(self.words.take(pa.array(need)).to_pylist())[back]
-        return joined_marks(hashed[: len(self.h)], hashed[len(self.h) :])
+        return joined_marks(self.hashed[self.h], self.hashed[self.w])
 
 
 _U = np.uint64
@@ -175,14 +199,73 @@ def joined_marks(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return h ^ (w * _U(0x9E3779B97F4A7C15))
 
 
-def places(keys: np.ndarray, rare: np.ndarray | None, bits: int) -> np.ndarray:
-    """Place of each pair in a bitmap of 2**bits. rare: joined marks of the words outside the index."""
+def mixed(keys: np.ndarray, rare: np.ndarray | None) -> np.ndarray:
+    """A hash of each pair. rare: joined marks of the words outside the index."""
     x = keys.astype(np.int64).view(_U)
     if rare is not None:
         x = x ^ rare
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return (x ^ (x >> _U(31))) >> _U(64 - bits)
+    return x ^ (x >> _U(31))
+
+
+def places(keys: np.ndarray, rare: np.ndarray | None, bits: int) -> np.ndarray:
+    """Place of each pair in a bitmap of 2**bits."""
+    return mixed(keys, rare) >> _U(64 - bits)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Values of 8 bytes, compressed; their bytes of equal weight stand together."""
+    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T), asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: type = np.int64) -> np.ndarray:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data, 8 * n), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view(kind).ravel()
+
+
+DEALT = pa.schema([("bucket", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("held", pa.binary()), ("sizes", pa.binary()), ("rare", pa.binary())])
+DEALT_DDL = "bucket int, first long, n long, keys binary, held binary, sizes binary, rare binary"
+
+
+def dealt(buckets: int, keys: np.ndarray, held: np.ndarray, first: int = 0, rare: pa.Array | None = None, joined: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each bucket that has some of the pairs: how many, their keys, what they hold, and, for pairs with rare words, these names and their sizes."""
+    bucket = (mixed(keys, joined) % _U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    order = np.argsort(keys, kind="stable")
+    order = order[np.argsort(bucket[order], kind="stable")]
+    which, starts = np.unique(bucket[order], return_index=True)
+    columns: list = [[], [], [], [], []]
+    for a, z in zip(starts, [*starts[1:], len(order)], strict=True):
+        at = order[a:z]
+        columns[0].append(len(at))
+        columns[1].append(packed(np.diff(keys[at], prepend=0)))
+        columns[2].append(packed(held[at]))
+        names = None if rare is None else rare.take(pa.array(at))
+        columns[3].append(None if names is None else packed(pc.binary_length(names).to_numpy().astype(np.int64)))
+        columns[4].append(None if names is None else pa.Codec("zstd", compression_level=1).compress(b"".join(names.to_pylist()), asbytes=True))
+    arrays = [which.astype(np.int32), np.full(len(which), first, np.int64), *columns]
+    return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(arrays, DEALT, strict=True)], schema=DEALT)
+
+
+def keys_of(row: dict) -> np.ndarray:
+    return np.cumsum(unpacked(row["keys"], row["n"]))
+
+
+def names_of(row: dict) -> pa.Array:
+    sizes = unpacked(row["sizes"], row["n"])
+    data = pa.Codec("zstd").decompress(row["rare"], int(sizes.sum()))
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), data])
+
+
+def rare_marks(names: pa.Array) -> np.ndarray:
+    """Joined marks of names (see Rare.names); 0 for an empty one."""
+    out = np.zeros(len(names), _U)
+    there = np.flatnonzero(pc.binary_length(names).to_numpy() > 0)
+    if len(there):
+        parted = [r.split(b"\n") for r in names.take(pa.array(there)).to_pylist()]
+        out[there] = joined_marks(marks([a for a, _ in parted]), marks([b for _, b in parted]))
+    return out
 
 
 def bitmap(pairs: DataFrame, place: int) -> np.ndarray:
@@ -191,8 +274,7 @@ def bitmap(pairs: DataFrame, place: int) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            names = [r.split(b"\n") if r else (b"", b"") for r in batch.column(1).to_pylist()]
-            at = np.unique(places(batch.column(0).to_numpy(), joined_marks(marks([a for a, _ in names]), marks([b for _, b in names])), place))
+            at = np.unique(places(batch.column(0).to_numpy(), rare_marks(batch.column(1)), place))
             word, start = np.unique(at >> _U(6), return_index=True)
             bits = np.bitwise_or.reduceat(_U(1) << (at & _U(63)), start) if len(at) else np.empty(0, _U)
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
@@ -207,41 +289,85 @@ def may_hold(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
 
 
-def pair_counts(texts: DataFrame, words, end: int) -> DataFrame:
-    """key and rare (see pair_keys and Rare.names; rare is empty where both words are indexed), c. words: a broadcast list in order of id."""
+def pair_counts(texts: DataFrame, index, end: int, buckets: int, cut: int) -> DataFrame:
+    """key and rare (see pair_keys and Rare.names; rare is empty where both words are indexed), c, of pairs counted cut times or more; and rows without a key:
+    kinds, of how many pairs c is the count, in part. index: broadcast."""
 
     def run(batches):
-        index = {w: i for i, w in enumerate(words.value)}
-        wide = len(index)
-        waiting, n = [], 0
+        known = index.value
+        wide = len(known.words)
+        waiting, rares, n = [], [], 0
 
         def out():
-            keys, c = np.unique(np.concatenate(waiting), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([b""] * len(keys), pa.binary()), pa.array(c.astype(np.int64))], ["key", "rare", "c"])
+            if any(map(len, waiting)):
+                keys = np.concatenate(waiting)
+                waiting.clear()
+                keys.sort()
+                starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                yield dealt(buckets, keys[starts], np.diff(starts, append=len(keys)))
+                del keys, starts
+            if rares:
+                keys, names, c, joined = ([x[i] for x in rares] for i in range(4))
+                rares.clear()
+                yield dealt(buckets, np.concatenate(keys), np.concatenate(c), 0, pa.concat_arrays(names), np.concatenate(joined))
 
         for part in _parts(batches):
             seq, names, _ = sequence(part.column(0))
-            x = ids(names, index, end)[seq]
+            hashed = marks(names.to_pylist())
+            x = known.ids(names, hashed, end)[seq]
             keys = pair_keys(x, wide)
             waiting.append(keys[(x[:-1] >= 0) & (x[1:] >= 0)])
-            n += len(waiting[-1])
-            rare = Rare(seq, x, names)
+            rare = Rare(seq, x, names, hashed)
             if len(rare.at):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[rare.first]), rare.names(np.arange(len(rare.first))), pa.array(rare.c.astype(np.int64))], ["key", "rare", "c"])
+                rares.append((keys[rare.first], rare.names(np.arange(len(rare.first))), rare.c.astype(np.int64), rare.marks()))
+            n += len(keys)
             if n > 8 * FLUSH:
-                yield out()
-                waiting, n = [], 0
+                yield from out()
+                n = 0
         if n:
-            yield out()
+            yield from out()
+        pa.default_memory_pool().release_unused()
 
-    return texts.select("text").mapInArrow(run, "key long, rare binary, c long").groupBy("key", "rare").agg(F.sum("c").alias("c"))
+    def add(batches):
+        near, far = [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, c = keys_of(row), unpacked(row["held"], row["n"])
+                if row["rare"] is None:
+                    near.append((keys, c))
+                else:
+                    far.append(pa.table({"key": keys, "rare": names_of(row), "c": c}))
+        found = []
+        if near:
+            keys, c = (np.concatenate([x[i] for x in near]) for i in range(2))
+            near.clear()
+            order = np.argsort(keys)
+            keys, c = keys[order], c[order]
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            found.append((keys[starts], None, np.add.reduceat(c, starts)))
+        if far:
+            whole = pa.concat_tables(far)
+            far.clear()
+            whole = whole.group_by(["key", "rare"], use_threads=False).aggregate([("c", "sum")]).combine_chunks()
+            found.append((whole["key"].to_numpy(), whole["rare"].combine_chunks(), whole["c_sum"].to_numpy()))
+        for keys, names, c in found:
+            count, kinds = np.unique(c, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(count), pa.int64()), pa.nulls(len(count), pa.binary()), pa.array(count), pa.array(kinds.astype(np.int64))], ["key", "rare", "c", "kinds"])
+            kept = np.flatnonzero(c >= cut)
+            for a in range(0, len(kept), GIVEN):
+                at = kept[a : a + GIVEN]
+                of = pa.array([b""] * len(at), pa.binary()) if names is None else names.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), of, pa.array(c[at]), pa.nulls(len(at), pa.int64())], ["key", "rare", "c", "kinds"])
+
+    return texts.select("text").mapInArrow(run, DEALT_DDL).repartitionById(buckets, F.col("bucket")).mapInArrow(add, "key long, rare binary, c long, kinds long")
 
 
 class Model:
     """Arrays for a worker: words in order of falling count, their log probabilities, alphas, and the broadcast pairs by key (history * wide + word)."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, n: int, kinds: int, slope: float, unknown: float):
-        self.words, self.counts, self.wide, self.end = words, counts, len(words), words.index(END) if words else -1
+    def __init__(self, words: pa.Array, counts: np.ndarray, n: int, kinds: int, slope: float, unknown: float):
+        self.index, self.counts, self.wide, self.end = Index(words), counts, len(words), pc.index(words, pa.scalar(END, pa.binary())).as_py()
+        self.buckets = max(1, -(-n // BUCKET))
         self.base = np.log10((counts + 0.1) / (n + 0.1 * (kinds + 1)))
         self.p = kept_share(counts, slope) * counts / n if n else np.zeros(0)
         self.uni = np.log10(self.p)
@@ -251,13 +377,18 @@ class Model:
         self.place = PLACE
         self.bits = np.zeros((1 << PLACE) // 8, np.uint8)
 
-    def texts(self, texts: pa.Array, index: dict[bytes, int]) -> list[pa.Array]:
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.index.words.to_pylist()
+
+    def texts(self, texts: pa.Array) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
         """Of each text: tokens, indexed ones, sums of base and model over what is indexed, the other words, whose unigrams and alphas are still to be added,
-        and the pairs that are not broadcast, of indexed words and of others."""
+        and the pairs of other words that are not broadcast. Then those of indexed words: the texts they stand in, and their keys."""
         seq, names, sizes = sequence(texts)
-        x = ids(names, index, self.end)[seq]
+        hashed = marks(names.to_pylist())
+        x = self.index.ids(names, hashed, self.end)[seq]
         h, w = x[:-1], x[1:]
-        known, some = w >= 0, len(self.words) > 0
+        known, some = w >= 0, self.wide > 0
         owner, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
         base, score = np.zeros(len(w)), np.zeros(len(w))
         pairs, near = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -278,7 +409,7 @@ class Model:
             hold[hold] = may_hold(self.bits, places(wide_keys[hold], None, self.place))
             near = both[hold[of]]
             pairs = wide_keys[of[hold[of]]]
-        rare = Rare(seq, x, names)
+        rare = Rare(seq, x, names, hashed)
         far, far_names, far_keys = np.empty(0, np.int64), pa.array([], pa.binary()), np.empty(0, np.int64)
         if some and len(rare.at):
             hold = may_hold(self.bits, places(pair_keys(x, self.wide)[rare.first], rare.marks(), self.place))
@@ -290,10 +421,9 @@ class Model:
         starts_of = lambda at: pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(sizes)))]).astype(np.int32))
         lists = [
             pa.ListArray.from_arrays(starts_of(other // len(names)), pa.StructArray.from_arrays([names.take(pa.array(other % len(names))), pa.array(tf.astype(np.int64))], ["word", "tf"])),
-            pa.ListArray.from_arrays(starts_of(owner[near]), pa.array(pairs)),
             pa.ListArray.from_arrays(starts_of(owner[far]), pa.StructArray.from_arrays([pa.array(far_keys), far_names], ["key", "rare"])),
         ]
-        return [pa.array(sizes), *(pa.array(np.add.reduceat(v, starts)) for v in (known.astype(np.int64), base, score)), *lists]
+        return [pa.array(sizes), *(pa.array(np.add.reduceat(v, starts)) for v in (known.astype(np.int64), base, score)), *lists], owner[near], pairs
 
 
 def _found(df: DataFrame, word: str, table: DataFrame, value: str) -> DataFrame:
@@ -312,9 +442,11 @@ def annotated(bigrams: DataFrame, model: Model, unigrams: DataFrame) -> DataFram
         for batch in batches:
             key = batch.column(0).to_numpy()
             h, w = key // wide - 1, key % wide - 1
-            names = [r.split(b"\n") if r else (None, None) for r in batch.column(1).to_pylist()]
-            hs = pa.array([a or None for a, _ in names], pa.binary())
-            ws = pa.array([b or None for _, b in names], pa.binary())
+            hs = ws = pa.nulls(batch.num_rows, pa.binary())
+            if pc.max(pc.binary_length(batch.column(1))).as_py():
+                names = [r.split(b"\n") if r else (None, None) for r in batch.column(1).to_pylist()]
+                hs = pa.array([a or None for a, _ in names], pa.binary())
+                ws = pa.array([b or None for _, b in names], pa.binary())
             hc = pa.array(counts[np.maximum(h, 0)], pa.float64(), mask=h < 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h), hs, ws, hc, pa.array(p[np.maximum(w, 0)], pa.float64(), mask=w < 0)], ["key", "rare", "c", "h", "hs", "ws", "hc", "p"])
 
@@ -344,21 +476,18 @@ def gathered(docs: DataFrame, cut: int = CUT) -> tuple[Model, DataFrame, DataFra
     unknown = 1 - sum(float(kept_share(c, slope)) * c * k for c, k in by_count) / n if n else 1.0
     cut1 = least(by_count, MOST_WORDS, 2)
     top = unigrams.where((F.col("c") >= cut1) | (F.length("word") == 0)).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
-    words, counts = top["word"].to_pylist(), top["c"].to_numpy().astype(np.float64)
+    words, counts = pa.concat_arrays([pa.array([], pa.binary()), *top["word"].chunks]), top["c"].to_numpy().astype(np.float64)
     del top
     model = Model(words, counts, n, kinds, slope, unknown)
-    if not words:
+    if not len(words):
         return model, unigrams, None, None
-    few = Observation()
-    counted = pair_counts(train, spark.sparkContext.broadcast(words), model.end).observe(few, F.lit(0).alias("n0"), *[F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, cut)])
-    bigrams = materialise(counted.where(F.col("c") >= cut), "katz-bigrams")
+    counted = materialise(pair_counts(train, spark.sparkContext.broadcast(model.index), model.end, model.buckets, cut), "katz-bigrams")
     drop_shuffles(spark)
-    of_pairs = [(r[0], r[1]) for r in bigrams.groupBy("c").count().collect()]  # distinct counts: below sqrt(2 N)
-    cut2 = least(of_pairs, MOST_PAIRS, cut)
-    of_counts = {r: few.get[f"n{r}"] for r in range(1, cut) if few.get[f"n{r}"]}
-    model.slope2 = line(of_counts | {c: k for c, k in of_pairs if c <= FITTED})
-    pairs = materialise(annotated(bigrams, model, unigrams), "katz-pairs")
-    release(bigrams)
+    of_pairs = [(r[0], r[1]) for r in counted.where("key is null").groupBy("c").agg(F.sum("kinds")).collect()]  # distinct counts: below sqrt(2 N)
+    cut2 = least([x for x in of_pairs if x[0] >= cut], MOST_PAIRS, cut)
+    model.slope2 = line({c: k for c, k in of_pairs if c <= FITTED})
+    pairs = materialise(annotated(counted.where("key is not null"), model, unigrams), "katz-pairs")
+    release(counted)
     alpha = (1 - F.sum("q")) / (1 - F.sum("p"))
     by_id = pairs.where("h >= 0").groupBy("h").agg(F.log10(alpha).alias("la")).toArrow()  # as many rows as indexed words at most
     model.alpha[by_id["h"].to_numpy()] = by_id["la"].to_numpy()
@@ -395,22 +524,97 @@ def gains(pairs: DataFrame, alphas: DataFrame, model: Model) -> DataFrame:
     return rows.select("key", "rare", "h", "lq", F.coalesce("la", F.lit(0.0)).alias("la")).mapInArrow(run, "key long, rare binary, gain double")
 
 
+def looked_up(rows: DataFrame, pairs: DataFrame, model: Model) -> DataFrame:
+    """row, s: sums of gains of each text's pairs of indexed words that are not broadcast. rows: as dealt(), held by row less the first."""
+    buckets, sent = model.buckets, pairs.sparkSession.sparkContext.broadcast(model.alpha)
+
+    def entries(batches):  # gains; without gains(), as two Python steps in a row take twice the workers
+        alpha, waiting, n = sent.value, [], 0
+
+        def out():
+            return dealt(buckets, *(np.concatenate([x[i] for x in waiting]) for i in range(2)), -1)
+
+        for batch in batches:
+            waiting.append((batch.column(0).to_numpy(), (batch.column(2).to_numpy() - alpha[batch.column(1).to_numpy()]).view(np.int64)))
+            n += batch.num_rows
+            if n > 4 * FLUSH:
+                yield out()
+                waiting, n = [], 0
+        if n:
+            yield out()
+
+    def find(batches):
+        entries, asked = [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["first"] < 0:
+                    entries.append((keys_of(row), unpacked(row["held"], row["n"], np.float64)))
+                else:
+                    asked.append(row)
+        if not entries:
+            return
+        keys, gain = (np.concatenate([x[i] for x in entries]) for i in range(2))
+        order = np.argsort(keys)
+        keys, gain = keys[order], gain[order]
+        for row in asked:
+            k = keys_of(row)
+            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == k)
+            if len(hit):
+                text, of = np.unique(unpacked(row["held"], row["n"])[hit], return_inverse=True)
+                sums = np.bincount(of, gain[at[hit]])
+                yield pa.RecordBatch.from_pylist([{"first": row["first"], "n": len(text), "keys": packed(np.diff(text, prepend=0)), "held": packed(sums)}], pa.schema([DEALT.field(x) for x in ("first", "n", "keys", "held")]))
+
+    def add(batches):
+        texts: dict[int, list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                texts.setdefault(row["first"], []).append((keys_of(row), unpacked(row["held"], row["n"], np.float64)))
+        for first, parts in texts.items():
+            text, of = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(first + text), pa.array(np.bincount(of, np.concatenate([x for _, x in parts])))], ["row", "s"])
+
+    near = pairs.where(F.length("rare") == 0).select("key", "h", (F.log10("q") - F.log10("p")).alias("lq"))
+    both = rows.unionByName(near.mapInArrow(entries, DEALT_DDL).drop("sizes", "rare"))
+    return both.repartitionById(buckets, F.col("bucket")).mapInArrow(find, "first long, n long, keys binary, held binary").repartition("first").mapInArrow(add, "row long, s double")
+
+
 def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     model, unigrams, alphas, pairs = gathered(docs, cut)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    of_texts = {"doc_id": "long", "held_out": "boolean", "n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double", "other": "array<struct<word:binary,tf:long>>", "rare": "array<struct<key:long,rare:binary>>", "row": "long"}
+    of_pairs = {"bucket": "int", "first": "long", "n": "long", "keys": "binary", "held": "binary"}
+    ddl = ", ".join(f"{k} {v}" for k, v in (of_texts | of_pairs).items())
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches):
         m = sent.value
-        index = {w: i for i, w in enumerate(m.words)}
+        row = first = TaskContext.get().partitionId() << 33  # as monotonically_increasing_id()
+        waiting, n = [], 0
+
+        def out():
+            found = dealt(m.buckets, *(np.concatenate([x[i] for x in waiting]) for i in range(2)), first)
+            return pa.RecordBatch.from_arrays([found.column(x.name) if x.name in of_pairs else pa.nulls(found.num_rows, x.type) for x in schema], schema=schema)
+
         for part in _parts(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *m.texts(part.column(2), index)], [*names, "other", "pairs", "rare"])
+            columns, text, keys = m.texts(part.column(2))
+            waiting.append((keys, text + (row - first)))
+            n += len(keys)
+            made = dict(zip(of_texts, [part.column(0), part.column(1), *columns, pa.array(np.arange(row, row + part.num_rows))], strict=True))
+            yield pa.RecordBatch.from_arrays([made[x.name].cast(x.type) if x.name in made else pa.nulls(part.num_rows, x.type) for x in schema], schema=schema)
+            row += part.num_rows
+            if n > 4 * FLUSH:
+                yield out()
+                waiting, n, first = [], 0, row
+        if n:
+            yield out()
+        pa.default_memory_pool().release_unused()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), "text")
-    rows = slim.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, other array<struct<word:binary,tf:long>>, pairs array<long>, rare array<struct<key:long,rare:binary>>")
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "katz-rows")
+    whole = materialise(slim.mapInArrow(run, ddl), "katz-rows")
+    rows = whole.where("row is not null").select(*of_texts)
     drop_shuffles(spark)
     words = rows.select("row", F.explode("other").alias("o")).select("row", "o.word", "o.tf").join(unigrams.join(alphas, "word", "left") if alphas is not None else unigrams.withColumn("la", F.lit(None).cast("double")), "word", "left")
     c = F.coalesce("c", F.lit(0)).cast("double")
@@ -419,14 +623,14 @@ def scored(docs: DataFrame, cut: int = CUT) -> DataFrame:
     uni = F.when(c > 0, F.log10(F.when(c > 0, share))).otherwise(math.log10(model.unknown))
     sums = words.select("row", F.when(c > 0, F.col("tf")).otherwise(0).alias("k"), (F.col("tf") * base).alias("b"), (F.col("tf") * (uni + F.coalesce("la", F.lit(0.0)))).alias("s"))
     if pairs is not None:
-        gain = materialise(gains(pairs, alphas, model), "katz-gains")
+        near = materialise(looked_up(whole.where("row is null").select(*of_pairs), pairs, model), "katz-near")
+        gain = materialise(gains(pairs.where(F.length("rare") > 0), alphas, model), "katz-gains")
         release(pairs)
-        near = rows.select("row", F.explode("pairs").alias("key")).join(gain.where(F.length("rare") == 0).select("key", "gain"), "key")
-        far = rows.select("row", F.explode("rare").alias("o")).select("row", "o.key", "o.rare").join(gain.where(F.length("rare") > 0), ["key", "rare"])
-        more_of = [x.select("row", F.lit(0).alias("k"), F.lit(0.0).alias("b"), F.col("gain").alias("s")) for x in (near, far)]
-        sums = sums.unionByName(more_of[0]).unionByName(more_of[1])
+        far = rows.select("row", F.explode("rare").alias("o")).select("row", "o.key", "o.rare").join(gain, ["key", "rare"]).select("row", F.col("gain").alias("s"))
+        for x in (near, far):
+            sums = sums.unionByName(x.select("row", F.lit(0).alias("k"), F.lit(0.0).alias("b"), "s"))
     sums = sums.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
-    out = rows.drop("other", "pairs", "rare").join(sums, "row", "left")
+    out = rows.drop("other", "rare").join(sums, "row", "left")
     more = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", more("n_known", "k").cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), more("base_score", "b").alias("base_score"), more("score", "s").alias("score"))
 

@@ -32,3 +32,12 @@ def test_oracle(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_truncation_of_odd_texts(spark, tmp_path):
+    """Null, empty and blank texts are no exception in the SQL."""
+    texts = [None, "", "  ", "\n\t", " " * 1500, "\u3000" * 1200, "a" * 1000, "b" * 1001, "\U0001f600" * 1001]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    odd = duckdb.connect()
+    odd.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows(catalog.queries()["trace_truncate"](spark, str(tmp_path)).toPandas()) == rows(odd.execute(catalog.oracle_sql()["trace_truncate"]).df())

@@ -55,7 +55,7 @@ def answer_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, md5(CASE WHEN length(text) <= 1000 THEN text ELSE substr(text, 1, 700) || chr(10) || '... [TRUNCATED ' || (length(text) - 900) || ' CHARS] ...' || chr(10) || right(text, 200) END) AS cut_md5 FROM documents""")
 def trace_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.head_tail(F.col("text"), 1000)).alias("cut_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.head_tail(F.col("text"), 1000, empty=None)).alias("cut_md5"))
 
 
 @query(f"""SELECT doc_id, CAST(u.i AS BIGINT) AS unit_index, md5(u.x) AS unit_md5 FROM (SELECT doc_id, unnest(list_transform(CASE WHEN len(l) > 0 THEN l WHEN text <> '' THEN [{_strip("text")}] ELSE [] END, lambda x, i: {{'i': i - 1, 'x': x}})) AS u FROM

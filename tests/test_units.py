@@ -113,3 +113,39 @@ def test_line_and_nfkc(spark):
     flat, none = spark.createDataFrame([(4.0, 1.0)], "y double, x double"), spark.createDataFrame([], "y double, x double")
     assert fit_line(flat, "y", "x").intercept == 4.0 and fit_line(none, "y", "x").intercept == 0.0
     assert one(spark, P.nfkc(F.lit("\ufb01\u2460")), P.nfkc(F.lit(None).cast("string"))) == ("fi1", None)
+
+
+def test_marks_against_patterns():
+    """Looking words up tells the same as trying the pattern of each role."""
+    import random
+    import re
+
+    from tracewright.functions import text as T
+
+    find = lambda pattern, t: re.search(pattern, t) is not None
+    rng = random.Random(5)
+    bits = "Plan let 's we will shall plug in  substitute back FINAL answer is answer: conclusion thus check ſet f\u0130rst \u212ab che\u212a = - \\frac \\pi ≥ \\boxed{1} _ . é plan_x x".split(" ")
+    for _ in range(3000):
+        t = rng.choice((" ", "")).join(rng.choice(bits) for _ in range(rng.randint(1, 8)))
+        eq, dense, names, final = G.marks(t)
+        assert (eq, dense) == (find(T.EQUATION, t), find(T.EQUATION, t) or find(T.SYMBOLIC, t))
+        assert {n for n in T.ROLES if n != "derive" and find(T.ROLES[n], t)} == set(names)
+        low = t.lower()
+        assert final == ("\\boxed" in t or "final answer" in low or "answer is" in low)
+        latex = "".join(rng.choice(("$$", "$", "\\(", "\\)", "\\[", "\\]", "a", "\n")) for _ in range(rng.randint(0, 9)))
+        assert G.held_blocks(latex)[1] == re.findall(T.LATEX_BLOCK, latex)
+
+
+def test_steps_mark_each_sentence_once(spark, monkeypatch):
+    """Single sentences that are steps are not searched again, a merge doesn't search the joined text, and rows come back flat, without the trace."""
+    calls, real = [], G.marks
+    monkeypatch.setattr(G, "marks", lambda t: calls.append(t) or real(t))
+    parts = [f"word {i} here" for i in range(500)]
+    steps = G.compressed(G.steps_of(parts), 26)
+    assert calls == parts and len(steps) == 26 and " ".join(x["text"] for x in steps) == " ".join(parts)
+    monkeypatch.undo()
+    df = spark.createDataFrame([(7, "We plan this now. So x = 1. Thus the answer is 4.", "4"), (8, None, None), (9, "", "")], "k long, t string, g string")
+    rows = G.macro_rows(df, "k", "t", most=26, gold="g", top=1)
+    assert rows.columns[:4] == ["k", "candidate_macro_ids", "mid", "start_sid"] and "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
+    nested = G.with_steps(df, "t", "g", 26, 1).select("k", "candidate_macro_ids", F.inline("macro_steps"))
+    assert sorted(map(str, rows.collect())) == sorted(map(str, nested.collect())) and rows.count() == 3 and nested.schema == rows.schema

@@ -256,8 +256,7 @@ def first_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def macro_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps with their features, and the three of highest score; an independent model in the tests stands for SQL."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", "[A-Za-z]+", 0).alias("gold"))
-    d = G.with_steps(d, "text", "gold", most=G.MOST, top=3)
-    return d.select("doc_id", "candidate_macro_ids", F.inline("macro_steps"))
+    return G.macro_rows(d, "doc_id", "text", most=G.MOST, gold="gold", top=3)
 
 
 @query()

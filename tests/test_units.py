@@ -149,3 +149,11 @@ def test_steps_mark_each_sentence_once(spark, monkeypatch):
     assert rows.columns[:4] == ["k", "candidate_macro_ids", "mid", "start_sid"] and "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
     nested = G.with_steps(df, "t", "g", 26, 1).select("k", "candidate_macro_ids", F.inline("macro_steps"))
     assert sorted(map(str, rows.collect())) == sorted(map(str, nested.collect())) and rows.count() == 3 and nested.schema == rows.schema
+
+
+def test_joined_step_knows_its_text():
+    """What merging asks of a joined step's text, kept without the text, is what the text would tell."""
+    for a, b in (("so it is final", "answer here"), ("the answer", "is 4"), ("combine", "like terms now"), ("so", "now"), ("thus", "x"), ("a", "b"), ("word " * 20, "combine"), ("\\boxed{1}", "c")):
+        whole = G.concluded(G.macro([f"{a.strip()} {b}"], 0, 1, 0, 1))
+        got = G.joined(*(G.concluded(G.macro([x], 0, 1, 0, 1)) for x in (a, b)))
+        assert all(got[k] == whole[k] for k in ("text", "size", "lead", "tail", "continues", "final", "tokens"))

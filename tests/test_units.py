@@ -157,3 +157,9 @@ def test_joined_step_knows_its_text():
         whole = G.concluded(G.macro([f"{a.strip()} {b}"], 0, 1, 0, 1))
         got = G.joined(*(G.concluded(G.macro([x], 0, 1, 0, 1)) for x in (a, b)))
         assert all(got[k] == whole[k] for k in ("text", "size", "lead", "tail", "continues", "final", "tokens"))
+
+
+def test_unmerged_steps_send_no_trace_back(spark):
+    rows = G.macro_rows(spark.createDataFrame([(1, "One two three. Four = 5.")], "k long, t string"), "k", "t")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "sentences" not in plan and [(r.mid, r.text) for r in rows.collect()] == [(1, "One two three."), (2, "Four = 5.")]
